@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +27,17 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; only Spark's readers touch the path, so any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors once for each application, for clusters where it isn't installed."""
+    context = spark.sparkContext
+    if getattr(context, "_framewright_shipped", None) is None:
+        root = Path(__file__).parent
+        archive = Path(tempfile.mkdtemp(prefix="framewright-")) / "framewright_src.zip"  # of the driver alone; Spark serves it
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, Path(root.name) / p.relative_to(root))
+        context.addPyFile(str(archive))
+        context._framewright_shipped = str(archive)
+    return spark
