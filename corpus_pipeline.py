@@ -27,14 +27,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id (of rows that repeat it, one).
+    """One document of each group of near duplicates stays, the one with the smallest id.
 
-    Shingles of five words, similarity of 0.8 or more. Rows without id stay as they are.
+    Shingles of five words, similarity of 0.8 or more. Rows without id and rows without words stay; rows that repeat the id that
+    stays, stay with it.
     """
     groups = similar_documents(docs.select("doc_id", "text"), words=5, percent=80)
-    keep = stored(groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
-    named = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]) if False else docs
-    return named.join(F.broadcast(keep) if keep.count() <= 1_000_000 else keep, "doc_id", "left_semi").select(*docs.columns)
+    gone = stored(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
