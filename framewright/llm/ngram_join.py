@@ -3,8 +3,9 @@
 Sets of hashed n-grams are compared within tiles: documents of one size band whose hashed signatures agree in one of the
 band's slices. Two sets that link differ in few n-grams, fewer than there are slices, so they agree in a slice that holds two
 n-grams or more (see ``Band``); no link is missed, however common single n-grams are. Within a tile all documents are
-compared with its first, and later only those of different components with each other. Before the exact intersection of sorted
-arrays, the bit counts of the differing bits of two bitmaps bound the overlap from above.
+compared with its hub, the one that shares most tiles, and then only those of different components with each other, in blocks of
+bitmaps. Before the exact intersection of sorted arrays, the bit counts of the differing bits of two bitmaps bound the overlap
+from above.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from framewright.llm.common import BROADCAST_ROWS, stored
+from framewright.llm.common import BROADCAST_ROWS, small, stored
 from framewright.llm.components import components
 from framewright.llm.wordhash import Powers, mix, spans_hash, text_blocks, words_of
 
@@ -27,6 +28,8 @@ WORDS, PERCENT = 4, 85
 BITS = 1024
 BAND_GROWTH = 1.35
 MAX_SIZE = 1 << 40
+#: Members of a tile that are compared at once with as many others.
+TILE_ROWS = 1024
 
 
 @dataclass(frozen=True)
@@ -135,25 +138,100 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def _may_link(n1: np.ndarray, n2: np.ndarray, b1: np.ndarray, b2: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes may link: n-grams of one alone set at least the differing bits, which bounds the overlap."""
+    apart = np.bitwise_count(b1 ^ b2).sum(axis=-1, dtype=np.int64)
+    return (n1 + n2 - apart) // 2 >= -(-percent * (n1 + n2) // (100 + percent))
+
+
+def _bits(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+
+
+def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``u, v`` that may link by their sizes and bitmaps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = _may_link(batch.column(2).to_numpy(), batch.column(4).to_numpy(), _bits(batch.column(3)), _bits(batch.column(5)), percent)
+            yield batch.select(["u", "v"]).filter(pa.array(keep))
+
+    left = sets.select(F.col("v").alias("u"), F.col("n").alias("n1"), F.col("bits").alias("b1"))
+    right = sets.select("v", F.col("n").alias("n2"), F.col("bits").alias("b2"))
+    both = left.join(small(pairs), "u").join(right, "v").where(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
+    return both.select("u", "v", "n1", "b1", "n2", "b2").mapInArrow(run, "u long, v long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``u, v`` whose sets link. The bound by bit counts comes first, the exact intersection after it."""
-    left = sets.select(F.col("v").alias("u"), F.col("n").alias("n1"), F.col("bits").alias("b1"), F.col("grams").alias("g1"))
-    right = sets.select("v", F.col("n").alias("n2"), F.col("bits").alias("b2"), F.col("grams").alias("g2"))
+    """The pairs ``u, v`` (stored) whose sets link, by exact intersection of the sorted sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
+            hit = []
+            for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                hit.append((100 + percent) * len(np.intersect1d(x, y, assume_unique=True)) >= percent * (len(x) + len(y)))
+            yield batch.select(["u", "v"]).filter(pa.array(hit, pa.bool_()))
+
+    left = sets.select(F.col("v").alias("u"), F.col("grams").alias("g1"))
+    both = left.join(small(pairs), "u").join(sets.select("v", F.col("grams").alias("g2")), "v")
+    return both.select("u", "v", "g1", "g2").mapInArrow(run, "u long, v long")
+
+
+def _crossing(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``u, v`` of one tile that are of different components and may link, from ``key, v, r, n, bits`` rows.
+
+    A tile is dealt in blocks of ``TILE_ROWS``; every pair of blocks is one group of rows, compared by bitmaps alone, so that
+    only pairs that may link leave it.
+    """
+    in_key = W.partitionBy("key")
+    block = F.floor((F.row_number().over(in_key.orderBy("v")) - 1) / TILE_ROWS).cast("int")
+    blocks = F.floor((F.count("*").over(in_key) - 1) / TILE_ROWS).cast("int")
+    dealt = members.withColumn("c", block).withColumn("last", blocks).withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+    dealt = dealt.withColumn("i", F.least("c", "other")).withColumn("j", F.greatest("c", "other"))
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def pairs(v: np.ndarray, r: np.ndarray, n: np.ndarray, c: np.ndarray, bits: np.ndarray, two: bool) -> tuple[np.ndarray, np.ndarray]:
+        if len(v) <= 64:
+            a, b = np.triu_indices(len(v), 1)
+            ok = (r[a] != r[b]) & ((c[a] != c[b]) if two else True)
+            a, b = a[ok], b[ok]
+            ok = _may_link(n[a], n[b], bits[a], bits[b], percent)
+            return v[a[ok]], v[b[ok]]
+        left, right = [], []
+        for a in range(len(v) - 1):
+            b = np.flatnonzero((r != r[a]) & ((c != c[a]) if two else True))
+            b = b[b > a]
+            b = b[_may_link(n[a], n[b], bits[a], bits[b], percent)]
+            left.append(np.full(len(b), v[a]))
+            right.append(v[b])
+        return np.concatenate(left), np.concatenate(right)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in _ended(batches):
+            now = pa.Table.from_batches([b for b in (rest, batch) if b is not None]).combine_chunks() if rest is not None or batch is not None else None
+            if now is None or not now.num_rows:
                 continue
-            n1, n2 = batch.column(2).to_numpy(), batch.column(5).to_numpy()
-            need = -(-percent * (n1 + n2) // (100 + percent))  # the least overlap that links
-            b1, b2 = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64) for c in (3, 6))
-            apart = np.bitwise_count(b1 ^ b2).sum(axis=1, dtype=np.int64)
-            keep = np.flatnonzero((n1 + n2 - apart) // 2 >= need)
-            hit = [i for i in keep.tolist() if len(np.intersect1d(np.frombuffer(batch.column(4)[i].as_buffer(), np.uint64), np.frombuffer(batch.column(7)[i].as_buffer(), np.uint64), assume_unique=True)) >= need[i]]
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(hit, pa.int64())) for c in (0, 1)], ["u", "v"])
+            whole = now.to_batches()[0]
+            key, i, j = (whole.column(x).to_numpy() for x in range(3))
+            edge = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            cuts = [0, *edge.tolist(), *([len(key)] if batch is None else [])]
+            v, r, n, c = (whole.column(x).to_numpy() for x in range(3, 7))
+            bits = _bits(whole.column(7))
+            found = [pairs(v[x:y], r[x:y], n[x:y], c[x:y], bits[x:y], i[x] != j[x]) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if y - x > 1]
+            rest = whole.slice(cuts[-1]) if batch is not None else None
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
+
+    return dealt.select("key", "i", "j", "v", "r", "n", "c", "bits").mapInArrow(run, "u long, v long").distinct()
 
-    both = pairs.select("u", "v").join(left, "u").join(right, "v").where(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
-    return both.select("u", "v", "n1", "b1", "g1", "n2", "b2", "g2").mapInArrow(run, "u long, v long")
+
+def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches, then None."""
+    yield from batches
+    yield None
 
 
 def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -165,26 +243,26 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
     """
     slim = stored(_rows(docs, text, words, "ids", f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, v long"))
     keys = _rows(docs, text, words, "tiles", "v long, key long", percent)
-    first = F.first("v").over(W.partitionBy("key").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
-    tiles = stored(keys.select("key", "v", first.alias("u")).where("u <> v"))  # tiles of two sets or more; u is the first
+    in_key = W.partitionBy("key")
+    met = keys.select("key", "v", F.min("v").over(in_key).alias("a"), F.max("v").over(in_key).alias("b"))
+    tiles = stored(met.where("a < b").select("key", "v").distinct())  # tiles of two sets or more
 
     classes = slim.groupBy("v").agg(F.min("doc_id").alias("doc_id"))
-    named = stored(tiles.select("u").union(tiles.select("v")).distinct().toDF("v").join(classes, "v"))
+    named = stored(tiles.groupBy("v").agg(F.count("*").alias("degree")).join(classes, "v"))
     few = named.select("doc_id").distinct()
     wanted = docs.select("doc_id", text).join(F.broadcast(few) if named.count() <= BROADCAST_ROWS else few, "doc_id", "left_semi")
-    sets = stored(_rows(wanted, text, words, "sets", "v long, n long, bits binary, grams binary").join(named.select("v"), "v", "left_semi").dropDuplicates(["v"]))
+    sets = stored(_rows(wanted, text, words, "sets", "v long, n long, bits binary, grams binary").join(small(named.select("v")), "v", "left_semi").dropDuplicates(["v"]))
 
-    stars = stored(tiles.select("u", "v").distinct())
+    hub = F.first("v").over(in_key.orderBy(F.desc("degree"), "v"))
+    ranked = tiles.join(small(named.select("v", "degree")), "v").select("v", hub.alias("u"))
+    stars = stored(_bounded(stored(ranked.where("u <> v").distinct()), sets, percent))
     links = stored(_verified(stars, sets, percent))
-    roots = components(links)
-
-    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    labelled = tiles.join(root("u"), "u", "left").join(root("v"), "v", "left").select("key", "u", "v", F.coalesce("u_root", "u").alias("u_root"), F.coalesce("v_root", "v").alias("v_root"))
-    labelled = stored(labelled.join(labelled.where("u_root <> v_root").select("key").distinct(), "key", "left_semi"))
-    members = labelled.select("key", "v", F.col("v_root").alias("r"))
-    others = members.select("key", F.col("v").alias("w"), F.col("r").alias("s"))
-    crossing = members.join(others, "key").where((F.col("v") < F.col("w")) & (F.col("r") != F.col("s"))).select(F.col("v").alias("u"), F.col("w").alias("v")).distinct()
-    more = _verified(crossing.join(stars, ["u", "v"], "left_anti"), sets, percent)
+    roots = components(links).withColumnRenamed("node", "v")
+
+    labelled = tiles.join(roots, "v", "left").select("key", "v", F.coalesce("root", "v").alias("r"))
+    mixed = labelled.withColumn("a", F.min("r").over(in_key)).withColumn("b", F.max("r").over(in_key)).where("a < b")
+    crossing = stored(_crossing(mixed.select("key", "v", "r").join(sets.select("v", "n", "bits"), "v"), percent).join(stars, ["u", "v"], "left_anti").join(stars.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"], "left_anti"))
+    more = _verified(crossing, sets, percent)
     roots = components(links.union(more))
 
     names = slim.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("_c", F.when(F.col("n") > 0, F.coalesce("root", "v")))
