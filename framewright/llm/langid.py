@@ -77,10 +77,12 @@ def fit(counts: pd.DataFrame, max_entries: int = MAX_ENTRIES) -> Model:
     """The frozen tables from ``lang, gram, n`` rows. Contexts beyond ``max_entries`` give way to the context one byte shorter,
     rarest first; an empty frame gives a model without languages."""
     languages = sorted(counts["lang"].unique())
+    if not languages:
+        return Model([], np.zeros(256, dtype=np.int32), np.zeros(1, dtype=np.int32), np.zeros((1, 0), dtype=np.float32))
     gram, n = counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)
-    lang = np.searchsorted(np.array(languages, dtype=object), counts["lang"].to_numpy(object)) if languages else np.zeros(0, int)
+    lang = np.searchsorted(np.array(languages, dtype=object), counts["lang"].to_numpy(object))
     last = gram & 255
-    seen = np.unique(np.concatenate([gram >> 8 * k & 255 for k in range(ORDER + 1)] or [last]))
+    seen = np.unique(np.concatenate([gram >> 8 * k & 255 for k in range(ORDER + 1)]))
     symbol = np.zeros(256, dtype=np.int64)
     symbol[seen] = np.arange(1, len(seen) + 1)
     size = len(seen) + 1

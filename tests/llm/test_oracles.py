@@ -1,0 +1,11 @@
+"""Queries with SQL against DuckDB."""
+
+import pytest
+from oracle import compare
+
+from framewright.llm.queries import ORACLES, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_matches_duckdb(spark, sf, name):
+    assert compare(spark, QUERIES[name], ORACLES[name], sf) > 0
