@@ -25,7 +25,8 @@ from framewright.llm.wordhash import Powers, mix, spans_hash, text_blocks, words
 
 #: Links: 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 4, 85
-BITS = 1024
+#: Bits of the bitmap that goes along with a tile's rows, and at most of the wide one that pairs are held against.
+BITS, MAX_BITS = 1024, 1 << 22
 BAND_GROWTH = 1.35
 MAX_SIZE = 1 << 40
 #: Members of a tile that are compared at once with as many others.
@@ -126,18 +127,29 @@ def _rows(docs: DataFrame, text: str, words: int, what: str, schema: str, percen
                     v = np.repeat(np.array([names[i] for i in new], dtype=np.int64), list(map(len, keys)))
                     yield pa.RecordBatch.from_arrays([pa.array(v), pa.array((np.concatenate(keys) if keys else np.zeros(0, np.uint64)).view(np.int64))], ["v", "key"])
                 else:
-                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in new], pa.int64()), pa.array([len(sets[i]) for i in new], pa.int64()), pa.array([bitmap(sets[i]) for i in new], pa.binary()), pa.array([sets[i].tobytes() for i in new], pa.binary())], ["v", "n", "bits", "grams"])
+                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in new], pa.int64()), pa.array([len(sets[i]) for i in new], pa.int64()), pa.array([bitmap(sets[i]) for i in new], pa.binary()), pa.array([wide_bitmap(sets[i]) for i in new], pa.binary()), pa.array([sets[i].tobytes() for i in new], pa.binary())], ["v", "n", "bits", "wide", "grams"])
 
     return docs.select("doc_id", text).mapInArrow(run, schema)
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """``BITS`` bits, set where an n-gram hashes to."""
-    bits = np.zeros(BITS, dtype=bool)
-    bits[(s >> np.uint64(40)) % np.uint64(BITS)] = True
+def bitmap(s: np.ndarray, size: int = BITS) -> bytes:
+    """``size`` bits, a power of two, set where an n-gram hashes to."""
+    bits = np.zeros(size, dtype=bool)
+    bits[(s >> np.uint64(40)) & np.uint64(size - 1)] = True
     return np.packbits(bits).tobytes()
 
 
+def wide_bitmap(s: np.ndarray) -> bytes:
+    """A bitmap of eight bits or more for each n-gram, up to ``MAX_BITS``."""
+    return bitmap(s, min(MAX_BITS, max(BITS, 1 << int(8 * len(s) - 1).bit_length())))
+
+
+def wide_apart(x: bytes, y: bytes) -> int:
+    """Differing bits of two wide bitmaps; the longer is folded to the length of the shorter."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_or.reduce(b.reshape(-1, len(a)), axis=0)).sum(dtype=np.int64))
+
+
 def _may_link(n1: np.ndarray, n2: np.ndarray, b1: np.ndarray, b2: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of these sizes may link: n-grams of one alone set at least the differing bits, which bounds the overlap."""
     apart = np.bitwise_count(b1 ^ b2).sum(axis=-1, dtype=np.int64)
@@ -149,15 +161,17 @@ def _bits(column: pa.Array) -> np.ndarray:
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``u, v`` that may link by their sizes and bitmaps."""
+    """The pairs ``u, v`` (stored) that may link by their sizes and wide bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = _may_link(batch.column(2).to_numpy(), batch.column(4).to_numpy(), _bits(batch.column(3)), _bits(batch.column(5)), percent)
+            n = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            apart = np.array([wide_apart(a.as_py(), b.as_py()) for a, b in zip(batch.column(3), batch.column(5), strict=True)], dtype=np.int64)
+            keep = (n - apart) // 2 >= -(-percent * n // (100 + percent))
             yield batch.select(["u", "v"]).filter(pa.array(keep))
 
-    left = sets.select(F.col("v").alias("u"), F.col("n").alias("n1"), F.col("bits").alias("b1"))
-    right = sets.select("v", F.col("n").alias("n2"), F.col("bits").alias("b2"))
+    left = sets.select(F.col("v").alias("u"), F.col("n").alias("n1"), F.col("wide").alias("b1"))
+    right = sets.select("v", F.col("n").alias("n2"), F.col("wide").alias("b2"))
     both = left.join(small(pairs), "u").join(right, "v").where(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
     return both.select("u", "v", "n1", "b1", "n2", "b2").mapInArrow(run, "u long, v long")
 
@@ -234,6 +248,14 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
     yield None
 
 
+def _tiles(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
+    """``key, v`` of tiles with two sets or more. The large shuffle of keys is unreachable on return, so that Spark can drop it."""
+    in_key = W.partitionBy("key")
+    keys = _rows(docs, text, words, "tiles", "v long, key long", percent)
+    met = keys.select("key", "v", F.min("v").over(in_key).alias("a"), F.max("v").over(in_key).alias("b"))
+    return stored(met.where("a < b").select("key", "v").distinct())
+
+
 def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``.
 
@@ -242,16 +264,12 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
     none else). Rows that repeat an id each get a row.
     """
     slim = stored(_rows(docs, text, words, "ids", f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, v long"))
-    keys = _rows(docs, text, words, "tiles", "v long, key long", percent)
-    in_key = W.partitionBy("key")
-    met = keys.select("key", "v", F.min("v").over(in_key).alias("a"), F.max("v").over(in_key).alias("b"))
-    tiles = stored(met.where("a < b").select("key", "v").distinct())  # tiles of two sets or more
-
+    tiles, in_key = _tiles(docs, text, words, percent), W.partitionBy("key")
     classes = slim.groupBy("v").agg(F.min("doc_id").alias("doc_id"))
     named = stored(tiles.groupBy("v").agg(F.count("*").alias("degree")).join(classes, "v"))
     few = named.select("doc_id").distinct()
     wanted = docs.select("doc_id", text).join(F.broadcast(few) if named.count() <= BROADCAST_ROWS else few, "doc_id", "left_semi")
-    sets = stored(_rows(wanted, text, words, "sets", "v long, n long, bits binary, grams binary").join(small(named.select("v")), "v", "left_semi").dropDuplicates(["v"]))
+    sets = stored(_rows(wanted, text, words, "sets", "v long, n long, bits binary, wide binary, grams binary").join(small(named.select("v")), "v", "left_semi").dropDuplicates(["v"]))
 
     hub = F.first("v").over(in_key.orderBy(F.desc("degree"), "v"))
     ranked = tiles.join(small(named.select("v", "degree")), "v").select("v", hub.alias("u"))
@@ -262,7 +280,7 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
     labelled = tiles.join(roots, "v", "left").select("key", "v", F.coalesce("root", "v").alias("r"))
     mixed = labelled.withColumn("a", F.min("r").over(in_key)).withColumn("b", F.max("r").over(in_key)).where("a < b")
     crossing = stored(_crossing(mixed.select("key", "v", "r").join(sets.select("v", "n", "bits"), "v"), percent).join(stars, ["u", "v"], "left_anti").join(stars.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"], "left_anti"))
-    more = _verified(crossing, sets, percent)
+    more = _verified(stored(_bounded(crossing, sets, percent)), sets, percent)
     roots = components(links.union(more))
 
     names = slim.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("_c", F.when(F.col("n") > 0, F.coalesce("root", "v")))
