@@ -6,7 +6,6 @@ source's headers as JSON with links, the conversion record holds the visible tex
 
 from __future__ import annotations
 
-import base64
 import gzip
 import hashlib
 import io
@@ -36,12 +35,18 @@ TAGS = re.compile(r"</?[a-z!?][^>]*>", re.I)
 def plain_text(page: str) -> str:
     """The lines of text of a page without their layout: one for each block, white space collapsed, empty ones left out."""
     lines = TAGS.sub("", BREAKS.sub("\0", UNREAD.sub(" ", page.replace("\0", " ")))).split("\0")
-    return "\n".join(line for line in (" ".join(unescape(x).split()) for x in lines) if line)
+    return "\n".join(line for line in (" ".join((unescape(x) if "&" in x else x).split()) for x in lines) if line)
+
+
+#: Two base-32 digits for each ten bits.
+DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+TEN_BITS = [a + b for a in DIGITS for b in DIGITS]
 
 
 def sha1(data: bytes) -> str:
-    """A digest as archives write it."""
-    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    """A digest as archives write it, in base 32."""
+    n = int.from_bytes(hashlib.sha1(data).digest(), "big")
+    return "sha1:" + "".join([TEN_BITS[n >> shift & 1023] for shift in range(150, -1, -10)])
 
 
 def record_id(*parts: str) -> str:
@@ -81,6 +86,11 @@ def one(fields: list[tuple[str, str]], name: str) -> str | None:
     return next((v for k, v in fields if k.lower() == name.lower()), None)
 
 
+def by_name(fields: list[tuple[str, str]]) -> dict[str, str]:
+    """The first field of each name, names in lower case."""
+    return {k.lower(): v for k, v in reversed(fields)}
+
+
 def parse_record(data: bytes) -> tuple[list[tuple[str, str]], bytes]:
     """Fields and block of one record; ValueError if it isn't one or is cut short."""
     head, rest = split_head(data)
@@ -149,18 +159,19 @@ def derive(data: bytes | None) -> dict:
         if data is None:
             raise ValueError("no record")
         fields, block = parse_record(data)
-        if one(fields, "WARC-Type") != "response":
-            raise ValueError(f"a {one(fields, 'WARC-Type')} record has no derivatives")
+        warc = by_name(fields)
+        if warc.get("warc-type") != "response":
+            raise ValueError(f"a {warc.get('warc-type')} record has no derivatives")
     except ValueError as e:
         return {"error": str(e)}
     head, body = split_head(block)
     status, http = parse_headers(head)
-    source, target, date = one(fields, "WARC-Record-ID") or "", one(fields, "WARC-Target-URI") or "", one(fields, "WARC-Date") or ""
-    payload, stated = sha1(body), one(fields, "WARC-Payload-Digest")
-    whole = one(fields, "WARC-Block-Digest")
+    kind = (by_name(http).get("content-type") or "").lower()
+    source, target, date = (warc.get(k) or "" for k in ("warc-record-id", "warc-target-uri", "warc-date"))
+    payload, stated, whole = sha1(body), warc.get("warc-payload-digest"), warc.get("warc-block-digest")
     page = decode_body(http, body).decode(charset(http), "replace")
-    is_html = "html" in (one(http, "Content-Type") or "").lower()
-    text = plain_text(page) if is_html else page if (one(http, "Content-Type") or "").lower().startswith("text/") else ""
+    is_html = "html" in kind
+    text = plain_text(page) if is_html else page if kind.startswith("text/") else ""
     title = TITLE.search(page) if is_html else None
     links = links_of(page) if is_html else []
     shared = [("WARC-Target-URI", target), ("WARC-Date", date), ("WARC-Refers-To", source)]
@@ -220,18 +231,22 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def response_records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """``page_id, record``: a response record for each row of ``pages(page_id, url, html)``, with ids and digests that depend on
     the row alone. A null page has an empty payload, a null address an empty target."""
-    one_column = F.struct(F.col("page_id").cast("string").alias("page_id"), "url", "html")
-    packed = pages.select("page_id", F.to_json(one_column).cast("binary").alias("row"))
 
-    def build(row: bytes) -> dict:
-        page = json.loads(row)
-        body, url = (page.get("html") or "").encode("utf-8", "surrogatepass"), page.get("url") or ""
+    def build(page_id: str | None, url: str | None, html: str | None) -> bytes:
+        body, url = (html or "").encode("utf-8", "surrogatepass"), url or ""
         http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body)
-        ident = record_id(str(page.get("page_id")), url, hashlib.sha1(body).hexdigest())
+        ident = record_id(str(page_id), url, hashlib.sha1(body).hexdigest())
         headers = [("WARC-Type", "response"), ("WARC-Record-ID", ident), ("WARC-Target-URI", re.sub(r"[\r\n]+", "", url)), ("WARC-Date", date), ("WARC-Payload-Digest", sha1(body)), ("Content-Type", "application/http; msgtype=response")]
-        return {"record": write_record(headers, http + body)}
+        return write_record(headers, http + body)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                records = map(build, *(c.to_pylist() for c in part.columns[1:]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(records), pa.binary())], ["page_id", "record"])
 
-    return _each_binary(packed, "row", [("record", pa.binary())], build)
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return pages.select("page_id", F.col("page_id").cast("string").alias("name"), "url", "html").mapInArrow(run, f"page_id {kind}, record binary")
 
 
 def op4_warc_derivatives(spark, sf_dir: str) -> DataFrame:
