@@ -160,6 +160,11 @@ def _bits(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
 
 
+def _of(pairs: DataFrame, column: str, sets: DataFrame) -> DataFrame:
+    """The sets that ``column`` of the pairs (stored) names, so that no others are moved to meet them."""
+    return sets.join(small(stored(pairs.select(F.col(column).alias("v")).distinct())), "v", "left_semi")
+
+
 def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``u, v`` (stored) that may link by their sizes and wide bitmaps."""
 
@@ -171,7 +176,7 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["u", "v"]).filter(pa.array(keep))
 
     left = sets.select(F.col("v").alias("u"), F.col("n").alias("n1"), F.col("wide").alias("b1"))
-    right = sets.select("v", F.col("n").alias("n2"), F.col("wide").alias("b2"))
+    right = _of(pairs, "v", sets.select("v", F.col("n").alias("n2"), F.col("wide").alias("b2")))
     both = left.join(small(pairs), "u").join(right, "v").where(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
     return both.select("u", "v", "n1", "b1", "n2", "b2").mapInArrow(run, "u long, v long")
 
@@ -188,7 +193,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["u", "v"]).filter(pa.array(hit, pa.bool_()))
 
     left = sets.select(F.col("v").alias("u"), F.col("grams").alias("g1"))
-    both = left.join(small(pairs), "u").join(sets.select("v", F.col("grams").alias("g2")), "v")
+    both = left.join(small(pairs), "u").join(_of(pairs, "v", sets.select("v", F.col("grams").alias("g2"))), "v")
     return both.select("u", "v", "g1", "g2").mapInArrow(run, "u long, v long")
 
 
