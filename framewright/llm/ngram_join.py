@@ -254,11 +254,16 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
 
 
 def _tiles(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
-    """``key, v`` of tiles with two sets or more. The large shuffle of keys is unreachable on return, so that Spark can drop it."""
+    """``key, v`` of tiles with two sets or more; tiles of the same sets become one, named by a hash of its members.
+
+    Should two tiles share a name, they are worked on as one, which loses no pair. The large shuffle of keys is unreachable on
+    return, so that Spark can drop it.
+    """
     in_key = W.partitionBy("key")
     keys = _rows(docs, text, words, "tiles", "v long, key long", percent)
-    met = keys.select("key", "v", F.min("v").over(in_key).alias("a"), F.max("v").over(in_key).alias("b"))
-    return stored(met.where("a < b").select("key", "v").distinct())
+    low = F.col("v").bitwiseAND(F.lit((1 << 31) - 1))
+    met = keys.select("v", F.min("v").over(in_key).alias("a"), F.max("v").over(in_key).alias("b"), F.count("*").over(in_key).alias("n"), F.sum(low).over(in_key).alias("lows"))
+    return stored(met.where("a < b").select(F.xxhash64("a", "b", "n", "lows").alias("key"), "v").distinct())
 
 
 def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
