@@ -16,8 +16,13 @@ from pyspark.sql import DataFrame
 # Element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("script style title head template noscript iframe object embed audio video canvas svg math noembed noframes datalist param source track area base link meta".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset menu".split())
+UNSEEN = frozenset("script style title head template noscript iframe object embed audio video canvas svg noembed noframes datalist param source track area base link meta".split())
+#: Unseen inside ``math`` only.
+UNSEEN_MATH = frozenset("annotation annotation-xml mphantom".split())
+#: What a head may hold; anything else ends one that is open.
+HEAD = frozenset("head base basefont bgsound link meta title noscript noframes style script template".split())
+PRE = frozenset(["pre", "xmp"])
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre xmp ul ol dl table figure fieldset menu".split())
 BLOCK = SPACED | frozenset("address article aside body center dd details dialog dir div dt fieldset figcaption footer form header hgroup html legend li main nav optgroup option search section summary caption tr thead tbody tfoot hr".split())
 CELL = frozenset(["td", "th"])
 SECTIONS = frozenset(["thead", "tbody", "tfoot"])
@@ -41,8 +46,10 @@ MAX_PAD = 60
 
 TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 LOOSE = re.compile(r"</?([a-zA-Z][^\s/>]*+)([^>]*+)>")
-HIDDEN = re.compile(r"""(?:^|[\s"'])hidden(?=[\s=/]|$)(?!\s*=\s*["']?until-found)|style\s*=\s*("[^"]*|'[^']*|\S*)(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))""", re.I)
-HINT = re.compile("hidden|display|collapse", re.I)
+HINT = re.compile(r"hidden|style\s*=", re.I)
+ATTRIBUTE = re.compile(r"""([^\s/=>][^\s/=>]*+)(?:\s*+=\s*+("[^"]*+"?|'[^']*+'?|[^\s>]++))?""")
+DECLARATION = re.compile(r"""(?:[^;"'()]++|"[^"]*+"|'[^']*+'|\([^()]*+\)|["'()])++""")
+REMARK = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 START = re.compile(r"""\bstart\s*=\s*["']?(-?\d{1,9})""", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 FOLDED = re.compile(r"[\t\n\r\f]|  ")
@@ -53,6 +60,34 @@ def unescape(s: str) -> str:
     return "&".join([html.unescape(p) if "&" in p else p for p in s.split("&amp;")])
 
 
+def attributes(source: str) -> dict[str, str]:
+    """Values by name in lower case, references resolved; the first of a name counts, one without a value is empty."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(source):
+        value = m[2] or ""
+        if value[:1] in ("'", '"'):
+            value = value[1:-1] if len(value) > 1 and value[-1] == value[0] else value[1:]
+        out.setdefault(m[1].lower(), unescape(value) if "&" in value else value)
+    return out
+
+
+def hidden(source: str) -> bool:
+    """Whether the attributes of a tag hide it: by ``hidden``, or by the ``style`` whose last declarations count."""
+    if not HINT.search(source):
+        return False
+    named = attributes(source)
+    if "hidden" in named and named["hidden"].strip().lower() != "until-found":
+        return True
+    style: dict[str, tuple[bool, str]] = {}
+    for declaration in DECLARATION.findall(REMARK.sub(" ", named.get("style", ""))):
+        name, _, value = declaration.partition(":")
+        name, (value, mark, _) = name.strip().lower(), value.lower().partition("!")
+        if value.strip() and bool(mark) >= style.get(name, (False, ""))[0]:
+            style[name] = bool(mark), value.strip()
+    shown = {name: value for name, (_, value) in style.items()}
+    return shown.get("display") == "none" or shown.get("visibility") in ("hidden", "collapse")
+
+
 class Node:
     __slots__ = ("attrs", "children", "tag")
 
@@ -68,7 +103,11 @@ def parse(source: str) -> Node:
     def text(a: int, b: int) -> None:
         if a < b:
             s = source[a:b]
-            stack[-1].children.append(unescape(s) if "&" in s else s)
+            if "&" in s:
+                s = unescape(s)
+            if stack[-1].tag == "head" and s.strip(" \t\n\r\f"):
+                _end_head(stack)
+            stack[-1].children.append(s)
 
     start = 0  # of text not yet added
     while (lt := source.find("<", at)) >= 0:
@@ -99,8 +138,12 @@ def parse(source: str) -> Node:
             stop = close.start() if close else n
             if tag == "textarea":
                 node.children.append(unescape(source[at:stop]))
+            elif tag == "xmp":
+                node.children.append(source[at:stop])
             at = start = close.end() if close else n
             continue
+        if attrs.endswith("/") and any(open_.tag == "math" for open_ in stack):
+            continue
         stack.append(node)
     text(start, n)
     return root
@@ -116,8 +159,16 @@ def _end(stack: list[Node], tag: str) -> None:
             return
 
 
+def _end_head(stack: list[Node]) -> None:
+    """Closes a head on top of the stack."""
+    while stack[-1].tag == "head":
+        stack.pop()
+
+
 def _imply(stack: list[Node], tag: str) -> None:
     """Closes what the start of ``tag`` ends by implication."""
+    if stack[-1].tag == "head" and tag not in HEAD:
+        _end_head(stack)
     if tag in BLOCK or tag in CELL:
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag == "p":
@@ -125,8 +176,6 @@ def _imply(stack: list[Node], tag: str) -> None:
                 break
             if stack[i].tag in BLOCK or stack[i].tag in CELL or stack[i].tag == "button":
                 break
-        if stack[-1].tag == "head" and tag != "head":
-            stack.pop()
     if tag in CLOSES:
         closes, bounds = CLOSES[tag]
         low = None
@@ -202,7 +251,7 @@ def aligned(rows: list[list[list[str]]]) -> list[str]:
 def render(root: Node) -> str:
     """All visible text of a tree."""
     page = Page()
-    pages, tables, lists, pre = [page], [], [], 0
+    pages, tables, lists, pre, maths = [page], [], [], 0, 0
     work: list[tuple[Node | str, bool]] = [(root, False)]
     while work:
         node, leaving = work.pop()
@@ -219,7 +268,7 @@ def render(root: Node) -> str:
             continue
         tag = node.tag
         if not leaving:
-            if tag in UNSEEN or node.attrs and HINT.search(node.attrs) and HIDDEN.search(node.attrs):
+            if tag in UNSEEN or maths and tag in UNSEEN_MATH or node.attrs and hidden(node.attrs):
                 continue
             if tag == "br":
                 if page.words or page.marker:
@@ -253,20 +302,24 @@ def render(root: Node) -> str:
                     page.indent += 4 if len(page.marker) > 2 else 2
                 elif tag in ("dd", "blockquote"):
                     page.indent += 4
-                elif tag == "pre":
+                elif tag in PRE:
                     pre += 1
                 elif tag == "hr":
                     continue
-            elif tag == "input" or tag == "select":
+            elif tag in ("input", "select", "mtr", "mtd"):
                 page.space = True
+            elif tag == "math":
+                maths += 1
             work.append((node, True))
             work.extend((c, False) for c in reversed(node.children))
             continue
-        if tag in CELL and tables:
+        if tag == "math":
+            maths -= 1
+        elif tag in CELL and tables:
             lines = pages.pop().finish()
             tables[-1][-1].append(lines)
         elif tag in BLOCK:
-            if tag == "pre":
+            if tag in PRE:
                 pre -= 1
             page.line()
             if tag == "table":

@@ -274,6 +274,27 @@ def test_op10_rendering(source, want):
     assert html_layout.html_text(source) == want.strip("\n")
 
 
+WHOLE = [
+    ('<p title="Hidden Valley ranch">a</p><p title="the hidden truth">b', "a\n\nb"),
+    ("<div class='nav hidden md:flex'>a</div>b", "a\nb"),
+    ('<p hidden="">a<p HIDDEN>b<p a=1 hidden/>c<p hidden=until-found>d', "d"),
+    ('<p title="x style=display:none">a<p data-style="display:none">b', "a\n\nb"),
+    ("<p style='color:red; DISPLAY : none !important; display:block'>a<p style=visibility:hidden>b<p style='display:none;display:block'>c", "c"),
+    ("<p style='/* display:none */ background:url(a;display:none)'>a", "a"),
+    ("<html><head><title>t</title>bare <b>bold", "bare bold"),
+    ("<head><meta name=a>\n <a href=x>link<p>para", "link\n\npara"),
+    ("<head><noscript><img></noscript><script>no</script><i>a<div>b</div>", "a\nb"),
+    ("<head><title>t</title> \n</head>x", "x"),
+    ("a <math><semantics><mi>x</mi><mo>=</mo><mspace/><annotation/><mn>2</mn><annotation>no</annotation></semantics></math> b", "a x=2 b"),
+    ("<p>a<xmp>  <b>&amp;\n  y</xmp>b", "a\n\n  <b>&amp;\n  y\n\nb"),
+]
+
+
+@pytest.mark.parametrize("source,want", WHOLE)
+def test_op10_keeps_all_that_is_visible(source, want):
+    assert html_layout.html_text(source) == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/ abpltdr=\"'!-&;\n", max_size=60))
 def test_op10_bears_anything(source):
