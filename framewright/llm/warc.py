@@ -1,7 +1,7 @@
 """WARC derivatives: metadata and plain-text conversion records for response records.
 
 Both derivatives name their response in WARC-Refers-To and keep its target, date and digests; the metadata record holds the
-source's headers as JSON with links, the conversion record holds the visible text.
+source's headers as JSON, as lists of names and values since names repeat, with links, the conversion record holds the visible text.
 """
 
 from __future__ import annotations
@@ -23,12 +23,17 @@ from framewright.llm.html_layout import unescape
 VERSION = b"WARC/1.1"
 #: The namespace of record ids that are derived from other ids.
 NAMESPACE = uuid.UUID("5f0c1f2e-6f3a-5b8c-9d2e-0a7b1c4d3e6f")
-LINK = re.compile(r"""<(?:a|area|link)\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S)
-
-#: What a conversion leaves out whole, and the tags that end a line. Fixed values.
-UNREAD = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|head)\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
-BREAKS = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
+LINK = re.compile(r"""<(?:a|area|link)(?=[\s/>])[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+TITLE = re.compile(r"<title(?=[\s/>])[^>]*>(.*?)</title(?=[\s/>])", re.I | re.S)
+
+#: What a conversion leaves out whole, and the tags that end a line. Fixed values. A head needs no rule of its own: it holds these
+#: and tags without text. An element without an end tag ends with the head, if it can be in one, else with the page.
+UNREAD = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)(?=[\s/>])(?:.*?</\1(?=[\s/>])[^>]*>|.*?(?=</head[\s/>]|<body[\s/>]|\Z))"
+    r"|<title(?=[\s/>]).*?(?:</title(?=[\s/>])[^>]*>|(?=</head[\s/>]|<body[\s/>]|\Z))",
+    re.I | re.S,
+)
+BREAKS = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)(?=[\s/>])[^>]*>", re.I)
 TAGS = re.compile(r"</?[a-z!?][^>]*>", re.I)
 
 
@@ -148,6 +153,24 @@ def charset(fields: list[tuple[str, str]]) -> str:
         return "utf-8"
 
 
+#: What a page starts with, and what shows one further on.
+PAGE = re.compile(
+    r"(?:\s|<!--.*?-->|<\?.*?\?>)*+<(?:!doctype\s+html|(?:html|head|body|title|meta|link|base|script|style|iframe|h[1-6]|div|span|font|table|ul|ol|a|b|i|br|p|img|form|center|main|section|article|header|nav)(?=[\s/>]))"
+    r"|.{0,1024}?<(?:!doctype\s+html|(?:html|head|body)(?=[\s/>]))",
+    re.I | re.S,
+)
+BINARY = re.compile(rb"[\x00-\x08\x0b\x0e-\x1a\x1c-\x1f]")
+MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+
+
+def sniff(body: bytes) -> tuple[str, str]:
+    """Type and charset of a payload without a stated type, from its bytes; an empty type if they aren't text."""
+    code = next((c for mark, c in MARKS if body.startswith(mark)), "utf-8")
+    if code != "utf-16" and BINARY.search(body[:1445]):
+        return "", code
+    return "text/html" if PAGE.match(body.decode(code, "replace")) else "text/plain", code
+
+
 def links_of(page: str) -> list[str]:
     """Targets of links in order, repeats kept."""
     return [a or b or c for a, b, c in LINK.findall(page)]
@@ -169,13 +192,16 @@ def derive(data: bytes | None) -> dict:
     kind = (by_name(http).get("content-type") or "").lower()
     source, target, date = (warc.get(k) or "" for k in ("warc-record-id", "warc-target-uri", "warc-date"))
     payload, stated, whole = sha1(body), warc.get("warc-payload-digest"), warc.get("warc-block-digest")
-    page = decode_body(http, body).decode(charset(http), "replace")
+    entity, code = decode_body(http, body), charset(http)
+    if not kind:
+        kind, code = sniff(entity)
+    page = entity.decode(code, "replace")
     is_html = "html" in kind
     text = plain_text(page) if is_html else page if kind.startswith("text/") else ""
     title = TITLE.search(page) if is_html else None
     links = links_of(page) if is_html else []
     shared = [("WARC-Target-URI", target), ("WARC-Date", date), ("WARC-Refers-To", source)]
-    about = {"warc": dict(fields), "status": status, "http": http, "title": title[1].strip() if title else None, "links": links}
+    about = {"warc": fields, "status": status, "http": http, "title": title[1].strip() if title else None, "links": links}
     meta_id, text_id = record_id(source, "metadata"), record_id(source, "conversion")
     block_m, block_t = json.dumps(about, ensure_ascii=False).encode("utf-8", "surrogatepass"), text.encode("utf-8", "surrogatepass")
     meta = write_record([("WARC-Type", "metadata"), ("WARC-Record-ID", meta_id), *shared, ("WARC-Source-Payload-Digest", stated or payload), ("Content-Type", "application/json")], block_m)

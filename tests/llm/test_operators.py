@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -150,6 +151,42 @@ def test_op4_bodies():
     assert warc.decode_body([("Content-Encoding", "gzip")], gzip.compress(b"hi")) == b"hi" and warc.decode_body([("Content-Encoding", "gzip")], b"no") == b"no"
 
 
+@pytest.mark.parametrize("source,want", [
+    ("<html><head><title>T</title><body><p>All of the text</p>", "All of the text"),
+    ("<head><title>T</title><meta name=a>bare <b>bold</b><p>b", "bare bold\nb"),
+    ("<style-guide>a</style-guide><p>b<header-x>c<script >no</script ><template-x>d", "a\nbc d"),
+    ("<head><style>x</head><body>a<style>b", "a"),
+    ("<head><script>'</head><body>'</script></head><p>a<title-bar>b", "ab"),
+    ("<head><title>T</head><body>a", "a"),
+])
+def test_op4_text_after_a_head_without_end(source, want):
+    assert warc.plain_text(source) == want
+
+
+def response(http, body, *more):
+    return warc.write_record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), *more], http + b"\r\n\r\n" + body)
+
+
+def test_op4_keeps_repeated_headers():
+    more = [("WARC-Concurrent-To", "<urn:a>"), ("WARC-Concurrent-To", "<urn:b>")]
+    got = warc.derive(response(b"HTTP/1.1 200 OK\r\nContent-Type: text/plain", b"x", *more))
+    about = json.loads(warc.parse_record(got["metadata"])[1])
+    assert [h for h in about["warc"] if h[0] == "WARC-Concurrent-To"] == [list(h) for h in more]
+
+
+@pytest.mark.parametrize("body,text,links", [
+    (b"\n<!-- c --><p>Hi <a href='/x'>link</a>", "Hi link", 1),
+    ("\ufeff<!DOCTYPE html><title>T</title>ä".encode(), "ä", 0),
+    ("<p>ä".encode("utf-16"), "ä", 0),
+    (b"plain < text", "plain < text", 0),
+    (b"\x89PNG\r\n\x1a\n\0\0<p>", "", 0),
+    (b"", "", 0),
+])
+def test_op4_payload_without_stated_type(body, text, links):
+    got = warc.derive(response(b"HTTP/1.1 200 OK\r\nServer: s", body))
+    assert (got["text"], got["n_links"], got["error"]) == (text, links, None)
+
+
 def test_op5_edges(spark):
     coded = matroska.encode_media(edge_docs(spark, ["media", "n_bytes"]))
     got = matroska.decode_media(coded).collect()
