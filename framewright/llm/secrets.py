@@ -58,12 +58,14 @@ def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Weak spans (kinds 3 and 4) of ``_row, start, kind, end`` rows that are linked to an access identifier (kind 1).
 
     A bare key is linked if an access identifier is within ``scope`` of it; an endpoint, if one is that has a secret (kind 0 or 3)
-    within its scope too. Intervals meet in buckets of the scope's width, so a part is compared with identifiers nearby only.
+    within its scope too. Intervals meet in buckets of the scope's width, so a part is compared with identifiers nearby only. Both
+    sides are in every bucket that they reach; a pair counts in the first bucket that it shares.
     """
     near = lambda p: F.floor(p / F.lit(scope))
     ids = parts.where("kind = 1").select("_row", F.col("start").alias("_id"), F.col("end").alias("_end"), F.explode(F.sequence(near(F.col("start") - scope), near(F.col("end") + scope))).alias("_b"))
-    others = parts.where("kind IN (0, 3, 4)").withColumn("_b", near(F.col("start")))
-    met = others.join(ids, ["_row", "_b"]).where((F.col("start") <= F.col("_end") + scope) & (F.col("end") >= F.col("_id") - scope))
+    others = parts.where("kind IN (0, 3, 4)").withColumn("_b", F.explode(F.sequence(near(F.col("start")), near(F.col("end")))))
+    first = F.col("_b") == near(F.greatest("start", F.col("_id") - scope))
+    met = others.join(ids, ["_row", "_b"]).where(first & (F.col("start") <= F.col("_end") + scope) & (F.col("end") >= F.col("_id") - scope))
     has_secret = F.max((F.col("kind") != 4).cast("int")).over(W.partitionBy("_row", "_id"))
     return met.withColumn("_s", has_secret).where("kind = 3 OR kind = 4 AND _s = 1").select("_row", "start", "kind", "end").distinct()
 
@@ -72,7 +74,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", scope: int = SCOPE, keep_t
     """``docs`` with ``base_spans`` (kinds 0 to 2) and ``all_spans``, arrays of ``start, kind, end`` in order.
 
     Positions are code points, the end is exclusive; ``kind`` indexes ``KINDS``. A null text counts as empty and has no spans. Repeated
-    rows are scanned by themselves. Without ``keep_text`` the texts are left out and only spans are stored. Other columns are kept; ``base_spans`` and ``all_spans`` are replaced.
+    rows are scanned by themselves. A linked span may overlap others, but doesn't lie within one of ``base_spans``. Without ``keep_text`` the texts are left out and only spans are stored. Other columns are kept; ``base_spans`` and ``all_spans`` are replaced.
     """
     docs = docs.drop("base_spans", "all_spans", "_row", "_weak")
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -80,8 +82,8 @@ def scan_secrets(docs: DataFrame, text: str = "text", scope: int = SCOPE, keep_t
     scanned = docs.withColumn("base_spans", F.array_sort(_strong(whole)))
     has_id = F.exists("base_spans", lambda s: s["kind"] == 1)
     bare = F.filter(_spans(whole, SECRET, 3), lambda s: s["end"] - s["start"] == 40)
-    apart = lambda w: ~F.exists("base_spans", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
-    weak = F.filter(F.concat(bare, _spans(whole, ENDPOINT, 4)), apart)
+    inside = lambda w: F.exists("base_spans", lambda s: (s["start"] <= w["start"]) & (w["end"] <= s["end"]))
+    weak = F.filter(F.concat(bare, _spans(whole, ENDPOINT, 4)), lambda w: ~inside(w))
     scanned = scanned.withColumn("_weak", F.when(has_id, weak).otherwise(nothing)).withColumn("_row", F.monotonically_increasing_id())
     kept = stored(scanned if keep_text else scanned.drop(text))  # row numbers are fixed from here on
     linked = link_parts(kept.where("size(_weak) > 0").select("_row", F.inline(F.concat("base_spans", "_weak"))), scope)
