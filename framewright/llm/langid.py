@@ -3,30 +3,35 @@
 Each language has a variable-order tree of byte contexts. A context that has seen a byte n times among N predicts it with
 n / (N + q), where q is the number of different bytes it has seen; the escape, q / (N + q), hands the remaining bytes to the
 context one byte shorter, whose probabilities are scaled to the bytes not yet seen. Statistics are frozen after training, so
-a byte's code length depends on the bytes before it alone: the trees become one table by (context, byte, language), and the
-exact code length of a text is a sum of look-ups. The language with the shortest code wins.
+a byte's code length depends on the bytes before it alone: the trees become sparse tables by (context, byte, language), and the
+exact code length of a text is a sum of look-ups. The language with the shortest code wins. Languages whose tables don't fit
+together are scored in blocks, one pass over the texts for each, so neither contexts nor languages are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from framewright.llm.common import small, stored
 
 #: Bytes of context.
 ORDER = 3
-#: Bounds of training, all documented parameters: labelled rows sampled for each language, languages (the most frequent),
-#: context-and-byte counts kept for each language (the largest), entries of the table.
+#: Labelled rows sampled for each language, a documented parameter.
 SAMPLE_ROWS = 2500
-MAX_LANGUAGES = 200
-MAX_GRAMS = 150_000
-MAX_ENTRIES = 12_000_000
+#: What one block of languages may hold: entries of its largest table, languages. A language that is larger is alone in its block.
+BLOCK_ENTRIES = 12_000_000
+BLOCK_LANGUAGES = 32
+#: The longest code of a byte.
+MAX_BITS = -np.log2(1e-30)
 #: Bytes that a task scores at once.
 BLOCK = 1 << 19
 
@@ -64,79 +69,115 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """``symbol`` maps bytes to symbols (0: never seen), ``context`` the last three symbols to a row of ``cost``, whose
-    last axis is the language: bits of a symbol after a context."""
+    """Tables of a block of languages, with a column for each. ``root``: bits of a byte in the empty context. For each order from 1:
+    ``keys``, the sorted contexts-and-bytes that a language of the block has seen, packed, and their ``bits``; ``contexts``, and the
+    bits of their escapes, 0 where a language hasn't seen the context. ``alphabet`` are the bytes seen in training."""
 
     languages: list[str]
-    symbol: np.ndarray
-    context: np.ndarray
-    cost: np.ndarray
-
-
-def fit(counts: pd.DataFrame, max_entries: int = MAX_ENTRIES) -> Model:
-    """The frozen tables from ``lang, gram, n`` rows. Contexts beyond ``max_entries`` give way to the context one byte shorter,
-    rarest first; an empty frame gives a model without languages."""
+    alphabet: np.ndarray
+    root: np.ndarray
+    keys: list[np.ndarray]
+    bits: list[np.ndarray]
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
+
+    @property
+    def cost(self) -> np.ndarray:
+        """The whole table, for small models: bits by context of the highest order and by byte, one that was never seen first."""
+        new = np.setdiff1d(np.arange(256), self.alphabet)[:1]
+        grams = self.contexts[-1].astype(np.int64)[:, None] << 8 | np.concatenate([new, self.alphabet])[None, :]
+        return gram_bits(self, grams.ravel().astype(np.uint32))
+
+
+def fit(counts: pd.DataFrame, alphabet: np.ndarray | None = None) -> Model:
+    """The frozen tables from ``lang, gram, n`` rows; an empty frame gives a model without languages. ``alphabet`` are the bytes of
+    all languages if these rows are of some only."""
     languages = sorted(counts["lang"].unique())
-    if not languages:
-        return Model([], np.zeros(256, dtype=np.int32), np.zeros(1, dtype=np.int32), np.zeros((1, 0), dtype=np.float32))
     gram, n = counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)
-    lang = np.searchsorted(np.array(languages, dtype=object), counts["lang"].to_numpy(object))
-    last = gram & 255
-    seen = np.unique(np.concatenate([gram >> 8 * k & 255 for k in range(ORDER + 1)]))
-    symbol = np.zeros(256, dtype=np.int64)
-    symbol[seen] = np.arange(1, len(seen) + 1)
-    size = len(seen) + 1
-    part = [symbol[gram >> 8 * k & 255] for k in range(ORDER + 1)]  # part[0]: the byte itself, part[k]: k bytes before
-    room = max(1, max_entries // max(1, size * len(languages)))
-
-    root = np.full((1, size, len(languages)), 1 / size)
-    for j in range(len(languages)):
-        c = np.bincount(part[0][lang == j], weights=n[lang == j], minlength=size)
+    if alphabet is None:
+        alphabet = np.unique(np.concatenate([gram >> 8 * k & 255 for k in range(ORDER + 1)]))
+    if not languages:
+        return Model([], alphabet, np.zeros((256, 0), dtype=np.float32), [], [], [], [])
+    number = {x: j for j, x in enumerate(languages)}
+    lang, size = counts["lang"].map(number).to_numpy(np.int64), len(alphabet) + 1
+    mine = [np.flatnonzero(lang == j) for j in range(len(languages))]
+
+    root = np.zeros((256, len(languages)), dtype=np.float32)
+    prob = []  # of each language's own keys of the order below
+    for j, at in enumerate(mine):
+        c = np.bincount(gram[at] & 255, weights=n[at], minlength=256)
         q = np.count_nonzero(c)
-        root[0, :, j] = (c + q / size) / (c.sum() + q)  # what escapes from the empty context is uniform
-    prob, row_of, place, packed = root, np.zeros(1, dtype=np.int64), 1, np.zeros_like(last)
+        p = (c + q / size) / (c.sum() + q)  # what escapes from the empty context is uniform
+        root[:, j] = -np.log2(p)
+        prob.append((np.arange(256), p))
+    below, lower = np.arange(256), root
+    all_keys, all_bits, all_contexts, all_escapes = [], [], [], []
     for k in range(1, ORDER + 1):
-        packed = packed + part[k] * place
-        contexts, at = np.unique(packed, return_inverse=True)
-        weight = np.bincount(at, weights=n, minlength=len(contexts))
-        keep = np.zeros(len(contexts), dtype=bool)
-        keep[np.argsort(-weight, kind="stable")[: max(0, room - len(prob))]] = True
-        row = np.where(keep, np.cumsum(keep) - 1, -1)
-        new = prob[row_of[contexts[keep] % place]]  # of the contexts one byte shorter
-        for j in range(len(languages)):
-            mine = (lang == j) & keep[at]
-            count = np.zeros((len(new), size))
-            np.add.at(count, (row[at[mine]], part[0][mine]), n[mine])
-            new[:, :, j] = _escape(count, new[:, :, j])
-        table = np.tile(row_of, size)  # unless kept, a context is the one a byte shorter
-        table[contexts[keep]] = len(prob) + row[keep]
-        prob, row_of, place = np.concatenate([prob, new]), table, place * size
-    cost = -np.log2(np.maximum(prob, 1e-30)).astype(np.float32)
-    return Model(languages, symbol.astype(np.int32), row_of.astype(np.int32), cost.reshape(-1, len(languages)))
-
-
-def _escape(count: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Probabilities by context and byte from counts and the probabilities of the contexts one byte shorter."""
-    total, hit = count.sum(axis=1, keepdims=True), count > 0
-    q = hit.sum(axis=1, keepdims=True)
-    unseen = np.where(hit, 0.0, lower)
-    rest = unseen.sum(axis=1, keepdims=True)
-    closed = rest <= 1e-12  # every byte has been seen: nothing to escape to
-    below = np.where(closed, 1.0, total + q)
-    ppm = np.where(hit, count / np.where(closed, np.maximum(total, 1.0), np.maximum(below, 1.0)), unseen / np.where(closed, 1.0, rest) * np.where(closed, 0.0, q / np.maximum(below, 1.0)))
-    return np.where(total > 0, ppm, lower)
+        packed = gram & ((1 << 8 * (k + 1)) - 1)
+        keys = np.unique(packed)
+        contexts = np.unique(keys >> 8)
+        escapes = np.zeros((len(contexts), len(languages)), dtype=np.float32)
+        own = []
+        for j, at in enumerate(mine):
+            key, which = np.unique(packed[at], return_inverse=True)
+            c = np.bincount(which, weights=n[at])
+            context, of = np.unique(key >> 8, return_inverse=True)
+            low = prob[j][1][np.searchsorted(prob[j][0], key & ((1 << 8 * k) - 1))]
+            total, q, rest = np.bincount(of, weights=c), np.bincount(of), 1 - np.bincount(of, weights=low)
+            closed = rest <= 1e-12  # every byte has been seen: nothing to escape to
+            p = c / np.where(closed, total, total + q)[of]
+            escapes[np.searchsorted(contexts, context), j] = np.where(closed, 2 * MAX_BITS, -np.log2(q / (total + q) / np.where(closed, 1.0, rest)))
+            prob[j] = key, p
+            own.append((np.searchsorted(keys, key), p))
+        bits = escapes[np.searchsorted(contexts, keys >> 8)]
+        bits += lower[np.searchsorted(below, keys & ((1 << 8 * k) - 1))]
+        for j, (rows, p) in enumerate(own):
+            bits[rows, j] = -np.log2(p)
+        all_keys.append(keys.astype(np.uint32))
+        all_bits.append(bits)
+        all_contexts.append(contexts.astype(np.uint32))
+        all_escapes.append(escapes)
+        below, lower = keys, bits
+    return Model(languages, alphabet, root, all_keys, all_bits, all_contexts, all_escapes)
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in sorted ``keys``, and whether each is there."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def gram_bits(model: Model, grams: np.ndarray) -> np.ndarray:
+    """Bits of the last byte of each packed gram after the bytes before it, by language."""
+    at, there = _found(model.keys[-1], grams)
+    out = model.bits[-1][at]
+    left = np.flatnonzero(~there)
+    out[left] = 0
+    for k in range(ORDER, 0, -1):  # what no language has seen escapes to the context one byte shorter
+        g = grams[left]
+        at, there = _found(model.contexts[k - 1], g >> np.uint32(8))
+        out[left[there]] += model.escapes[k - 1][at[there]]
+        grams = grams & np.uint32((1 << 8 * k) - 1)
+        g = grams[left]
+        if k == 1:
+            out[left] += model.root[g]
+            break
+        at, there = _found(model.keys[k - 2], g)
+        out[left[there]] += model.bits[k - 2][at[there]]
+        left = left[~there]
+    return np.minimum(out, np.float32(MAX_BITS), out=out)
 
 
 def code_lengths(model: Model, texts: list[str]) -> np.ndarray:
     """Bits of each whole text by language, one row for each text; nothing for an empty text."""
-    size, out = len(np.unique(model.symbol[model.symbol > 0])) + 1, np.zeros((len(texts), len(model.languages)))
+    out = np.zeros((len(texts), len(model.languages)))
 
     def score(rows: list[int], pieces: list[bytes]) -> None:
-        s = model.symbol[np.frombuffer(b" " * ORDER + b"".join(pieces), dtype=np.uint8)]
-        context = (s[:-3] * size + s[1:-2]) * size + s[2:-1]
+        s = np.frombuffer(b" " * ORDER + b"".join(pieces), dtype=np.uint8).astype(np.uint32)
+        grams = s[:-3] << 24 | s[1:-2] << 16 | s[2:-1] << 8 | s[3:]
         starts = np.cumsum([0, *map(len, pieces[:-1])])
         ends = np.stack([starts, starts + ORDER], axis=1).ravel()  # the context before a text, then the text
-        bits = np.add.reduceat(model.cost[model.context[context] * size + s[3:]], ends, axis=0, dtype=np.float64)[1::2]
+        bits = np.add.reduceat(gram_bits(model, grams), ends, axis=0, dtype=np.float64)[1::2]
         np.add.at(out, rows, bits)
 
     rows, pieces, used = [], [], 0
@@ -154,47 +195,91 @@ def code_lengths(model: Model, texts: list[str]) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, rows: int = SAMPLE_ROWS, languages: int = MAX_LANGUAGES, grams: int = MAX_GRAMS) -> Model:
-    """A model of the rows of ``docs`` that have a language, a text and aren't held out.
+@dataclass(frozen=True)
+class Trained:
+    """Counts ``lang, gram, n`` (stored) of all languages, and the blocks in which the languages are scored."""
+
+    counts: DataFrame
+    alphabet: np.ndarray
+    blocks: list[list[str]]
 
-    It sees about ``rows`` texts of each of the ``languages`` most frequent languages, chosen by a hash of the id, whole, and keeps the
-    ``grams`` largest counts of each, so what reaches the driver is bounded.
-    """
-    labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    totals = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    if not totals:
-        return fit(pd.DataFrame({"lang": pd.Series([], dtype=object), "gram": [], "n": []}))
-    share = F.create_map(*[F.lit(x) for r in totals for x in (r["lang"], min(1.0, rows / r["n"]))])
-    sampled = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * (1 << 30))
-    counts = gram_counts(sampled.where(F.col("text").isNotNull()))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    return fit(counts.withColumn("_r", rank).where(F.col("_r") <= grams).select("lang", "gram", "n").toPandas())
+    def model(self, block: int) -> Model:
+        mine = self.blocks[block]
+        number = F.array_position(F.lit(mine), F.col("lang")).cast("int") - 1
+        rows = self.counts.where(F.col("lang").isin(mine)).select(number.alias("lang"), "gram", "n").toPandas()
+        return fit(rows.assign(lang=pd.Categorical.from_codes(rows["lang"], mine).astype(object)), self.alphabet)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def train(docs: DataFrame, rows: int = SAMPLE_ROWS, entries: int = BLOCK_ENTRIES, languages: int = BLOCK_LANGUAGES) -> Trained:
+    """What the rows of ``docs`` tell that have a language, a text and aren't held out.
+
+    About ``rows`` texts of each language are seen, chosen by a hash of the id, whole. All languages and all that is counted in
+    these texts are kept. A block has at most ``languages`` languages and ``entries`` entries; a language beyond that is alone.
+    """
+    labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    totals = stored(labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(rows)) / F.count("*")).alias("_share")))
+    chosen = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < F.col("_share") * (1 << 30)
+    sampled = labelled.where(F.col("text").isNotNull()).join(small(totals), "lang").where(chosen)
+    counts = stored(gram_counts(sampled))
+    last = [r.b for r in counts.select(F.col("gram").bitwiseAND(F.lit(255)).alias("b")).distinct().collect()]
+    blocks: list[list[str]] = []
+    keys = 0
+    for lang, n in sorted(map(tuple, counts.groupBy("lang").count().collect())):
+        if not blocks or len(blocks[-1]) == languages or (keys + n) * (len(blocks[-1]) + 1) > entries:
+            blocks.append([])
+            keys = 0
+        blocks[-1].append(lang)
+        keys += n
+    return Trained(counts, np.unique([32, *last]), blocks)
+
+
+def _scores(model: Model, series: pd.Series) -> pd.DataFrame:
+    """Of each text the best language, its bits, the sum of 2 ** -(bits above those) over languages, and the text's bytes; -1 bytes
+    if it is null or has no letter."""
+    texts = [t if isinstance(t, str) and any(map(str.isalpha, t)) else "" for t in series]
+    bits = code_lengths(model, texts)
+    best = bits.argmin(axis=1)
+    least = bits[np.arange(len(texts)), best]
+    weight = np.exp2(-np.minimum(bits - least[:, None], 1000)).sum(axis=1)
+    n = [len(t.encode("utf-8", "replace")) or -1 for t in texts]
+    return pd.DataFrame({"bits": least, "lang": [model.languages[b] for b in best], "weight": weight, "n": np.array(n, dtype=np.int64)})
+
+
+def identify(docs: DataFrame, trained: Trained, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``bits_per_byte`` of every whole text.
 
     ``score`` is the posterior of the predicted language given equal priors; ties go to the first language by code point. A text
-    that is null or has no letter is ``und`` with score 0, as is every text if the model has no languages. Other columns are kept.
+    that is null or has no letter is ``und`` with score 0, as is every text if there are no languages. Other columns are kept.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("lang_pred string, score double, bits_per_byte double")
-    def predict(series: pd.Series) -> pd.DataFrame:
-        m = shared.value
-        texts = [t if isinstance(t, str) and any(map(str.isalpha, t)) else "" for t in series]
-        if not m.languages:
-            return pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": 0.0, "bits_per_byte": 0.0})
-        bits = code_lengths(m, texts)
-        best = bits.argmin(axis=1)
-        least = bits[np.arange(len(texts)), best] if len(texts) else np.zeros(0)
-        posterior = 1 / np.exp2(-np.minimum(bits - least[:, None], 1000)).sum(axis=1)
-        known = np.array([t != "" for t in texts], dtype=bool)
-        n = np.array([max(1, len(t.encode("utf-8", "replace"))) for t in texts], dtype=np.float64)
-        return pd.DataFrame({"lang_pred": [m.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], "score": np.where(known, posterior, 0.0), "bits_per_byte": np.where(known, least / n, 0.0)})
-
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "bits_per_byte", "_p")]
-    return docs.select(*kept, predict(text).alias("_p")).select(*kept, "_p.*")
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "bits_per_byte", "_p", "_row")]
+
+    def scores(block: int) -> tuple[Column, Broadcast]:
+        shared = docs.sparkSession.sparkContext.broadcast(trained.model(block))
+
+        @F.pandas_udf("bits double, lang string, weight double, n long")
+        def predict(series: pd.Series) -> pd.DataFrame:
+            return _scores(shared.value, series)
+
+        return predict(text), shared
+
+    def named(df: DataFrame, bits: Column, lang: Column, weight: Column, n: Column) -> DataFrame:
+        outputs = F.when(n > 0, lang).otherwise("und"), F.when(n > 0, 1 / weight).otherwise(0.0), F.when(n > 0, bits / n).otherwise(0.0)
+        return df.select(*kept, *[c.alias(x) for c, x in zip(outputs, ("lang_pred", "score", "bits_per_byte"), strict=True)])
+
+    if not trained.blocks:
+        return docs.select(*kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
+    if len(trained.blocks) == 1:
+        return named(docs.select(*kept, scores(0)[0].alias("_p")), *[F.col(f"_p.{x}") for x in ("bits", "lang", "weight", "n")])
+    rows = stored(docs.select(*kept, *[c for c in (text,) if c not in kept]).withColumn("_row", F.monotonically_increasing_id()))
+    parts = []
+    for block in range(len(trained.blocks)):
+        predict, shared = scores(block)
+        parts.append(stored(rows.select("_row", predict.alias("_p"))))
+        shared.destroy()
+    every = reduce(DataFrame.unionByName, parts).groupBy("_row").agg(F.collect_list("_p").alias("_all")).withColumn("_p", F.array_min("_all"))
+    weight = F.aggregate("_all", F.lit(0.0), lambda sum_, x: sum_ + x["weight"] * F.pow(F.lit(2.0), -F.least(x["bits"] - F.col("_p.bits"), F.lit(1000.0))))
+    best = every.select("_row", "_p", weight.alias("_weight"))
+    return named(rows.join(best, "_row"), F.col("_p.bits"), F.col("_p.lang"), F.col("_weight"), F.col("_p.n"))
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

@@ -77,6 +77,62 @@ def test_op2_code_lengths_are_a_distribution():
     assert whole[2] == 0 and whole[1] < whole[0]
 
 
+def dense(text_counts, contexts, size, lang):
+    """Bits by plain recursion over whole byte distributions."""
+    from collections import Counter
+
+    c = [Counter() for _ in range(4)]
+    for (x, g), n in text_counts.items():
+        if x == lang:
+            for k in range(4):
+                c[k][g & (1 << 8 * (k + 1)) - 1] += n
+    symbols = sorted({g >> 8 * k & 255 for _, g in text_counts for k in range(4)}) + [-1]
+
+    def dist(context, k):
+        if k == 0:
+            seen = {s: c[0][s] for s in symbols if c[0][s]}
+            return {s: (seen.get(s, 0) + len(seen) / size) / (sum(seen.values()) + len(seen)) for s in symbols}
+        low = dist(context & (1 << 8 * (k - 1)) - 1, k - 1)
+        seen = {s: c[k][context << 8 | s] for s in symbols if s >= 0 and c[k][context << 8 | s]}
+        if not seen:
+            return low
+        total, q, rest = sum(seen.values()), len(seen), sum(p for s, p in low.items() if s not in seen)
+        return {s: seen[s] / (total + q) if s in seen else low[s] / rest * q / (total + q) for s in symbols}
+
+    return np.array([[-np.log2(dist(x, 3)[s]) for s in symbols] for x in contexts]), symbols
+
+
+def test_op2_tables_keep_every_context_of_every_language():
+    import pandas as pd
+
+    counts = defaultdict(int)
+    for lang, text in (("a", b"   the cat sat on the mat"), ("b", b"   that hat, a cat!"), ("c", b"   zzzzzz xz")):
+        for i in range(len(text) - 3):
+            counts[lang, int.from_bytes(text[i : i + 4], "big")] += 1
+    m = langid.fit(pd.DataFrame([(x, g, n) for (x, g), n in counts.items()], columns=["lang", "gram", "n"]))
+    contexts = sorted({g >> 8 for _, g in counts} | {g & 0xFFFFFF for _, g in counts}) + [0x616263, 0x7A7A20, 0x010203]
+    for j, lang in enumerate(m.languages):
+        want, symbols = dense(counts, contexts, len(m.alphabet) + 1, lang)
+        grams = np.array([[x << 8 | (s if s >= 0 else 1) for s in symbols] for x in contexts], dtype=np.uint32)
+        assert np.allclose(langid.gram_bits(m, grams.ravel())[:, j].reshape(want.shape), want, atol=1e-4)
+
+
+def test_op2_many_languages_in_blocks(spark):
+    rng, rows = np.random.default_rng(3), []
+    for k in range(230):
+        letters = [chr(0x4E00 + 40 * k + i) for i in range(20)]
+        rows += [(1000 * k + i, f"l{k:03}", "".join(rng.choice(letters, 30))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(2)
+    found = {}
+    for languages, entries in ((64, langid.BLOCK_ENTRIES), (300, 10**9)):
+        trained = langid.train(docs, entries=entries, languages=languages)
+        assert sum(map(len, trained.blocks)) == 230 and len(trained.blocks) == (4 if languages == 64 else 1)
+        found[languages] = {r.doc_id: r for r in langid.identify(docs.select("doc_id", "text", F.col("lang").alias("truth")), trained).collect()}
+        assert len(found[languages]) == len(rows) and np.mean([r.lang_pred == r.truth for r in found[languages].values()]) > 0.99
+    for i, r in found[64].items():
+        assert r.lang_pred == found[300][i].lang_pred and abs(r.score - found[300][i].score) < 1e-9 and abs(r.bits_per_byte - found[300][i].bits_per_byte) < 1e-9
+
+
 def test_op3_matches_tokenizer_and_packs(spark, sf):
     from tokenizers import Tokenizer
 
