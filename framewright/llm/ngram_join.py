@@ -278,7 +278,8 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
     classes = slim.groupBy("v").agg(F.min("doc_id").alias("doc_id"))
     named = stored(tiles.groupBy("v").agg(F.count("*").alias("degree")).join(classes, "v"))
     few = named.select("doc_id").distinct()
-    wanted = docs.select("doc_id", text).join(F.broadcast(few) if named.count() <= BROADCAST_ROWS else few, "doc_id", "left_semi")
+    few = F.broadcast(few) if named.count() <= BROADCAST_ROWS else few
+    wanted = docs.select("doc_id", text).join(few.withColumnRenamed("doc_id", "_few"), F.col("doc_id").eqNullSafe(F.col("_few")), "left_semi")
     sets = stored(_rows(wanted, text, words, "sets", "v long, n long, bits binary, wide binary, grams binary").join(small(named.select("v")), "v", "left_semi").dropDuplicates(["v"]))
 
     hub = F.first("v").over(in_key.orderBy(F.desc("degree"), "v"))

@@ -75,6 +75,15 @@ def test_op6_edges(spark):
     assert similar_documents(edge_docs(spark).limit(0)).count() == 0
 
 
+def test_op6_texts_that_only_rows_without_id_hold(spark):
+    w = [f"n{i}" for i in range(200)]
+    changed = lambda k: " ".join(x + "!" if i < k else x for i, x in enumerate(w))
+    rows = [(1, changed(0)), (None, changed(12)), (2, changed(24)), (3, "quite another text of six words"), (None, "a b c d e f g h"), (None, "a b c d e f g h")]
+    assert brute_components(rows)[:2] == [(1, 197, 1), (2, 197, 1)] and brute_components([r for r in rows if r[0]])[1] == (2, 197, 2)
+    got = similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert rows_of(got) == brute_components(rows)
+
+
 def test_op6_near_copies_that_link_only_among_themselves(spark):
     rng = np.random.default_rng(1)
     base = [f"b{i}" for i in range(150)]
