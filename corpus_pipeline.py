@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import stored, word_count
+from framewright.llm.common import small, stored, word_count
 from framewright.llm.langid import identify, train
 from framewright.llm.mixing import mix_sources
 from framewright.llm.ngram_join import similar_documents
@@ -27,14 +27,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id.
+    """One row of each group of near duplicates stays, the one with the smallest id.
 
-    Shingles of five words, similarity of 0.8 or more. Rows without id and rows without words stay; rows that repeat the id that
-    stays, stay with it.
+    Shingles of five words, similarity of 0.8 or more. Rows are told apart by id and text, so an id that repeats with different
+    texts loses only those that are near duplicates; of equal rows one stays. A row without id stays if its group has no ids and
+    it is the one; rows without words stay.
     """
-    groups = similar_documents(docs.select("doc_id", "text"), words=5, percent=80)
-    gone = stored(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, "doc_id", "left_anti").select(*docs.columns)
+    text = F.coalesce("text", F.lit(""))
+    row = F.struct(F.col("doc_id").isNull().alias("no"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b"))
+    groups = similar_documents(docs.select(row.alias("doc_id"), "text"), words=5, percent=80).where("n_shingles > 0")
+    marks = groups.groupBy(F.col("doc_id").alias("_row"), (F.col("doc_id") != F.col("component_id")).alias("_gone")).agg(F.count("*").alias("_n"))
+    marks = stored(marks.where("_gone OR _n > 1"))
+    again, whole = small(stored(marks.where("NOT _gone").select("_row"))), docs.withColumn("_row", row)
+    once = whole.join(again, "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("_d")).select("_d.*")
+    return whole.join(small(marks.select("_row")), "_row", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +65,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mix", mix), ("packing", packing)]
 
-#: Statistical models and tokenizers are beyond SQL; the stages are tested against plain versions.
+#: Statistical models and tokenizers are beyond SQL; near_duplicates is tested against a plain version, the others by what they must keep.
 ORACLE_SQL = None
 
 

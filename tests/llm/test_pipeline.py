@@ -6,6 +6,8 @@ import corpus_pipeline
 from edge import edge_docs, edge_rows
 from pyspark.sql import functions as F
 
+from test_joins import brute_components
+
 from framewright.llm.common import stored
 
 
@@ -34,3 +36,23 @@ def test_edge_rows(spark, sf):
     assert corpus_pipeline.mix(spark, docs, sf).count() > 0
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def plain_near_duplicates(rows):
+    """One row of each group at 5 words and 80/100, the smallest id first; rows without words all stay."""
+    named = [(i, r[1]) for i, r in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)))]
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    return sorted(((order[i][0], order[i][1]) for i, n, c in brute_components(named, 5, 80) if n == 0 or i == c), key=repr)
+
+
+def test_near_duplicates_match_brute_force(spark, sf):
+    w = [f"n{i}" for i in range(100)]
+    near, other, third = " ".join(w), " ".join(x.upper() + "z" for x in w), " ".join(x[::-1] for x in w)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [r[:2] for r in edge_rows()]
+    rows += [(9001, near), (9002, near + " tail"), (9002, other), (9002, other), (9001, near), (9003, third), (None, third + " x"), (None, "alone without id here"), (None, "alone without id here"), (9004, ""), (9004, "")]
+    docs = stored(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "0L n_chars"))
+    got = corpus_pipeline.near_duplicates(spark, docs, sf)
+    assert got.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+    assert kept == plain_near_duplicates(rows)
+    assert kept.count((9002, other)) == 1 and kept.count((9001, near)) == 1 and kept.count((9004, "")) == 2 and (None, third + " x") not in kept
