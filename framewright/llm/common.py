@@ -1,25 +1,33 @@
-"""What several operators share: tables in the shared folder, checked broadcasts, word counts."""
+"""What several operators share: tables in the shared folder, checked broadcasts, word counts, batches cut by bytes."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of a few longs that may be broadcast; a side with more rows is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of rows that may be broadcast; a side that takes more is joined by shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Bytes of input that a Python task works on at once, about, and rows at most; a longer value is taken whole.
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 256
 
 
 def shared_folder(df: DataFrame) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set, as in tests."""
+    """The cluster's checkpoint folder. Only a local session, as in tests, gets a temporary one where none is set."""
     context = df.sparkSession.sparkContext
     folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(folder)
     return folder
@@ -30,14 +38,61 @@ def stored(df: DataFrame) -> DataFrame:
     its size is known to the planner, and a lost executor loses none of it."""
     path = f"{shared_folder(df)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (stored, of a few narrow columns) marked for broadcast if it has at most ``rows`` rows, else as it is."""
-    return F.broadcast(df) if df.count() <= rows else df
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``stored`` that nothing reads any more: what was made from them must have been stored itself."""
+    for table in tables:
+        session = table.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _width(value: Column, kind: DataType) -> Column:
+    """About the bytes that a value takes in a broadcast row."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, StructType):
+        return sum((_width(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    if isinstance(kind, ArrayType):
+        each = F.transform(value, lambda x: _width(x, kind.elementType))
+        return F.coalesce(F.aggregate(each, F.lit(16).cast("bigint"), lambda a, x: a + x), F.lit(16))
+    if isinstance(kind, MapType):
+        raise TypeError("maps aren't broadcast here")
+    return F.lit(8)
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (stored) marked for broadcast if its rows take at most ``most`` bytes, else as it is."""
+    row = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(24)).cast("bigint")
+    return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= most else df
 
 
 def word_count(text: Column) -> Column:
     """Words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores added until no column of the frames is named so in any case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def batches_by_bytes(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut into parts of ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` bytes of a string or binary column at most."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        start = used = 0
+        for i, n in enumerate(sizes):
+            if i > start and (used + n > BATCH_BYTES or i - start == BATCH_ROWS):
+                yield batch.slice(start, i - start)
+                start, used = i, 0
+            used += n
+        if start < len(sizes):
+            yield batch.slice(start)

@@ -4,8 +4,9 @@ Sets of hashed n-grams are compared within tiles: documents of one size band who
 band's slices. Two sets that link differ in few n-grams, fewer than there are slices, so they agree in a slice that holds two
 n-grams or more (see ``Band``); no link is missed, however common single n-grams are. Within a tile all documents are
 compared with its hub, the one that shares most tiles, and then only those of different components with each other, in blocks of
-bitmaps. Before the exact intersection of sorted arrays, the bit counts of the differing bits of two bitmaps bound the overlap
-from above.
+bitmaps. A bitmap holds the parity of the n-grams that hash to each bit, and its size follows the set's, so the differing bits of two
+bitmaps are at most the n-grams that only one set has: they bound the overlap from above, closely enough that few pairs which do
+not link leave a tile. What is left is decided by exact intersection of sorted arrays.
 """
 
 from __future__ import annotations
@@ -19,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from framewright.llm.common import BROADCAST_ROWS, small, stored
+from framewright.llm.common import discard, small, stored
 from framewright.llm.components import components
-from framewright.llm.wordhash import Powers, mix, spans_hash, text_blocks, words_of
+from framewright.llm.wordhash import Memo, final_name, mix, names, shared_names, text_blocks, words_of
 
 #: Links: 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 4, 85
-#: Bits of the bitmap that goes along with a tile's rows, and at most of the wide one that pairs are held against.
-BITS, MAX_BITS = 1024, 1 << 22
+#: Bits of a bitmap: at least two for each n-gram, within these bounds.
+LEAST_BITS, MAX_BITS = 64, 1 << 22
 BAND_GROWTH = 1.35
 MAX_SIZE = 1 << 40
 #: Members of a tile that are compared at once with as many others.
@@ -56,34 +57,23 @@ def bands(percent: int) -> list[Band]:
     return out
 
 
-def ngram_sets(texts: list[str | None], words: int, p: Powers) -> list[np.ndarray]:
+def ngram_sets(texts: list[str | None], words: int, memo: Memo) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's n-grams; a text with fewer words gives one for all its words, one without words none."""
-    h, first = words_of(texts, True, p)
-    out = []
-    grams = _grams(h, words)
-    for a, b in zip(first[:-1], first[1:], strict=True):
-        if b - a >= words:
-            out.append(np.unique(grams[a : b - words + 1]))
-        elif b > a:
-            out.append(spans_hash(h[a:b], np.array([0]), np.array([b - a]), p))
-        else:
-            out.append(np.zeros(0, dtype=np.uint64))
+    h, first = words_of(texts, True, memo)
+    grams, out = _grams(h, words), []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        out.append(np.unique(grams[a : b - words + 1] if b - a >= words else _grams(h[a:b], max(1, b - a))))
     return out
 
 
 def _grams(h: np.ndarray, words: int) -> np.ndarray:
     n = max(0, len(h) - words + 1)
-    g = np.zeros(n, dtype=np.uint64)
+    g = np.full(n, words, dtype=np.uint64)
     for k in range(words):
         g = mix(g * np.uint64(3) + h[k : n + k])
     return g
 
 
-def set_id(s: np.ndarray) -> int:
-    """A 63-bit name of a set; equal sets have equal names. The empty set is 0."""
-    return int(mix(s).sum(dtype=np.uint64) ^ mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) * np.uint64(3)) >> 1 or int(len(s) > 0)
-
-
 def tile_keys(s: np.ndarray, plan: list[Band], bottoms: np.ndarray, percent: int) -> np.ndarray:
     """Keys of the tiles that a sorted set belongs to: those of its own band, and of higher bands with sizes it may link to."""
     n, out = len(s), []
@@ -105,108 +95,109 @@ def tile_keys(s: np.ndarray, plan: list[Band], bottoms: np.ndarray, percent: int
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
-def _rows(docs: DataFrame, text: str, words: int, what: str, schema: str, percent: int = PERCENT) -> DataFrame:
-    """One pass over texts. ``what``: ``ids`` (doc_id, size, set name), ``tiles`` (set name, keys; once for each task and set) or
-    ``sets`` (set name, size, bitmap, sorted set)."""
+def _rows(docs: DataFrame, text: str, words: int, what: str, schema: str, percent: int = PERCENT, twice: frozenset[int] = frozenset()) -> DataFrame:
+    """One pass over texts. ``what``: ``ids`` (doc_id, size, both names of the set) or, once for each task and set, ``tiles`` (set name,
+    keys), ``bits`` (set name, size, bitmap) or ``grams`` (set name, sorted set). ``twice``: first names that different sets share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, seen = Powers(), set()
+        memo, seen = Memo(), set()
         plan = bands(percent)
         bottoms = np.array([b.bottom for b in plan])
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in text_blocks(texts):
-                sets = ngram_sets(texts[a:b], words, p)
-                names = [set_id(s) for s in sets]
+                sets = ngram_sets(texts[a:b], words, memo)
+                both = [names(s) for s in sets]
                 if what == "ids":
-                    yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(list(map(len, sets)), pa.int64()), pa.array(names, pa.int64())], ["doc_id", "n", "v"])
+                    v, w = (pa.array(x, pa.int64()) for x in zip(*both, strict=True))
+                    yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(list(map(len, sets)), pa.int64()), v, w], ["doc_id", "n", "v", "w"])
                     continue
-                new = [i for i, v in enumerate(names) if len(sets[i]) and not (v in seen or seen.add(v))]
+                name = [w if v in twice else v for v, w in both]
+                new = [i for i, v in enumerate(name) if len(sets[i]) and not (v in seen or seen.add(v))]
                 if what == "tiles":
                     keys = [tile_keys(sets[i], plan, bottoms, percent) for i in new]
-                    v = np.repeat(np.array([names[i] for i in new], dtype=np.int64), list(map(len, keys)))
+                    v = np.repeat(np.array([name[i] for i in new], dtype=np.int64), list(map(len, keys)))
                     yield pa.RecordBatch.from_arrays([pa.array(v), pa.array((np.concatenate(keys) if keys else np.zeros(0, np.uint64)).view(np.int64))], ["v", "key"])
+                    continue
+                v = pa.array([name[i] for i in new], pa.int64())
+                if what == "bits":
+                    yield pa.RecordBatch.from_arrays([v, pa.array([len(sets[i]) for i in new], pa.int64()), pa.array([bitmap(sets[i]) for i in new], pa.binary())], ["v", "n", "bits"])
                 else:
-                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in new], pa.int64()), pa.array([len(sets[i]) for i in new], pa.int64()), pa.array([bitmap(sets[i]) for i in new], pa.binary()), pa.array([wide_bitmap(sets[i]) for i in new], pa.binary()), pa.array([sets[i].tobytes() for i in new], pa.binary())], ["v", "n", "bits", "wide", "grams"])
+                    yield pa.RecordBatch.from_arrays([v, pa.array([sets[i].tobytes() for i in new], pa.binary())], ["v", "grams"])
 
     return docs.select("doc_id", text).mapInArrow(run, schema)
 
 
-def bitmap(s: np.ndarray, size: int = BITS) -> bytes:
-    """``size`` bits, a power of two, set where an n-gram hashes to."""
-    bits = np.zeros(size, dtype=bool)
-    bits[(s >> np.uint64(40)) & np.uint64(size - 1)] = True
-    return np.packbits(bits).tobytes()
-
-
-def wide_bitmap(s: np.ndarray) -> bytes:
-    """A bitmap of eight bits or more for each n-gram, up to ``MAX_BITS``."""
-    return bitmap(s, min(MAX_BITS, max(BITS, 1 << int(8 * len(s) - 1).bit_length())))
+def bitmap(s: np.ndarray) -> bytes:
+    """Two bits or more for each n-gram: the parity of the n-grams that hash to each bit."""
+    size = min(MAX_BITS, max(LEAST_BITS, 1 << int(2 * len(s) - 1).bit_length()))
+    at = (s >> np.uint64(40)) & np.uint64(size - 1)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=size) & 1).tobytes()
 
 
-def wide_apart(x: bytes, y: bytes) -> int:
-    """Differing bits of two wide bitmaps; the longer is folded to the length of the shorter."""
-    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
-    return int(np.bitwise_count(a ^ np.bitwise_or.reduce(b.reshape(-1, len(a)), axis=0)).sum(dtype=np.int64))
+def folded(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of one length, the shortest; longer ones are folded, which keeps parities."""
+    size = min(map(len, maps)) // 8
+    if max(map(len, maps)) // 8 == size:
+        return np.frombuffer(b"".join(maps), dtype=np.uint64).reshape(-1, size)
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(m, dtype=np.uint64).reshape(-1, size), axis=0) for m in maps])
 
 
-def _may_link(n1: np.ndarray, n2: np.ndarray, b1: np.ndarray, b2: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of these sizes may link: n-grams of one alone set at least the differing bits, which bounds the overlap."""
+def may_link(n1: np.ndarray, n2: np.ndarray, b1: np.ndarray, b2: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes may link: an n-gram of one alone flips one bit, so at least the differing bits are of one alone."""
     apart = np.bitwise_count(b1 ^ b2).sum(axis=-1, dtype=np.int64)
     return (n1 + n2 - apart) // 2 >= -(-percent * (n1 + n2) // (100 + percent))
 
 
-def _bits(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
-
-
-def _of(pairs: DataFrame, column: str, sets: DataFrame) -> DataFrame:
-    """The sets that ``column`` of the pairs (stored) names, so that no others are moved to meet them."""
-    return sets.join(small(stored(pairs.select(F.col(column).alias("v")).distinct())), "v", "left_semi")
+def _named(docs: DataFrame, text: str, words: int, what: str, classes: DataFrame, twice: frozenset[int]) -> DataFrame:
+    """``bits`` or ``grams`` of the sets in ``classes(v, few)`` (stored), from the texts of their smallest ids alone; stored."""
+    few = small(classes.select(F.col("few").alias("_few")))
+    texts = docs.select("doc_id", text).join(few, F.col("doc_id").eqNullSafe(F.col("_few")), "left_semi")
+    schema = "v long, n long, bits binary" if what == "bits" else "v long, grams binary"
+    return stored(_rows(texts, text, words, what, schema, twice=twice).join(small(classes.select("v")), "v", "left_semi").dropDuplicates(["v"]))
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``u, v`` (stored) that may link by their sizes and wide bitmaps."""
+    """The pairs ``u, v`` (stored, and deleted) that may link by their sizes and bitmaps, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column(2).to_numpy() + batch.column(4).to_numpy()
-            apart = np.array([wide_apart(a.as_py(), b.as_py()) for a, b in zip(batch.column(3), batch.column(5), strict=True)], dtype=np.int64)
-            keep = (n - apart) // 2 >= -(-percent * n // (100 + percent))
-            yield batch.select(["u", "v"]).filter(pa.array(keep))
+            n1, n2 = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            keep = [may_link(a, b, *folded([x, y]), percent) for a, b, x, y in zip(n1, n2, batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("v").alias("u"), F.col("n").alias("n1"), F.col("wide").alias("b1"))
-    right = _of(pairs, "v", sets.select("v", F.col("n").alias("n2"), F.col("wide").alias("b2")))
+    left = sets.select(F.col("v").alias("u"), F.col("n").alias("n1"), F.col("bits").alias("b1"))
+    right = sets.select("v", F.col("n").alias("n2"), F.col("bits").alias("b2"))
     both = left.join(small(pairs), "u").join(right, "v").where(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
-    return both.select("u", "v", "n1", "b1", "n2", "b2").mapInArrow(run, "u long, v long")
+    out = stored(both.select("u", "v", "n1", "b1", "n2", "b2").mapInArrow(run, "u long, v long"))
+    discard(pairs)
+    return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``u, v`` (stored) whose sets link, by exact intersection of the sorted sets."""
+    """The pairs ``u, v`` (stored) whose sets link, by exact intersection of the sorted sets (stored, and deleted); stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = []
-            for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 hit.append((100 + percent) * len(np.intersect1d(x, y, assume_unique=True)) >= percent * (len(x) + len(y)))
             yield batch.select(["u", "v"]).filter(pa.array(hit, pa.bool_()))
 
-    left = sets.select(F.col("v").alias("u"), F.col("grams").alias("g1"))
-    both = left.join(small(pairs), "u").join(_of(pairs, "v", sets.select("v", F.col("grams").alias("g2"))), "v")
-    return both.select("u", "v", "g1", "g2").mapInArrow(run, "u long, v long")
+    both = sets.select(F.col("v").alias("u"), F.col("grams").alias("g1")).join(small(pairs), "u").join(sets.select("v", F.col("grams").alias("g2")), "v")
+    out = stored(both.select("u", "v", "g1", "g2").mapInArrow(run, "u long, v long"))
+    discard(sets)
+    return out
 
 
 def _crossing(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``u, v`` of one tile that are of different components and may link, from ``key, v, r, n, bits`` rows.
+    """Pairs ``u, v`` of one tile that are of different components and may link, from ``key, blocks, v, r, n, bits`` rows.
 
-    A tile is dealt in blocks of ``TILE_ROWS``; every pair of blocks is one group of rows, compared by bitmaps alone, so that
-    only pairs that may link leave it.
+    A tile is dealt in blocks of about ``TILE_ROWS`` by a hash; every pair of blocks is one group of rows, compared by bitmaps alone,
+    so that only pairs that may link leave it.
     """
-    in_key = W.partitionBy("key")
-    block = F.floor((F.row_number().over(in_key.orderBy("v")) - 1) / TILE_ROWS).cast("int")
-    blocks = F.floor((F.count("*").over(in_key) - 1) / TILE_ROWS).cast("int")
-    dealt = members.withColumn("c", block).withColumn("last", blocks).withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+    dealt = members.withColumn("c", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("c", "other")).withColumn("j", F.greatest("c", "other"))
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
@@ -215,13 +206,12 @@ def _crossing(members: DataFrame, percent: int) -> DataFrame:
             a, b = np.triu_indices(len(v), 1)
             ok = (r[a] != r[b]) & ((c[a] != c[b]) if two else True)
             a, b = a[ok], b[ok]
-            ok = _may_link(n[a], n[b], bits[a], bits[b], percent)
+            ok = may_link(n[a], n[b], bits[a], bits[b], percent)
             return v[a[ok]], v[b[ok]]
         left, right = [], []
         for a in range(len(v) - 1):
-            b = np.flatnonzero((r != r[a]) & ((c != c[a]) if two else True))
-            b = b[b > a]
-            b = b[_may_link(n[a], n[b], bits[a], bits[b], percent)]
+            b = np.flatnonzero((r[a + 1 :] != r[a]) & ((c[a + 1 :] != c[a]) if two else True)) + a + 1
+            b = b[may_link(n[a], n[b], bits[a], bits[b], percent)]
             left.append(np.full(len(b), v[a]))
             right.append(v[b])
         return np.concatenate(left), np.concatenate(right)
@@ -237,8 +227,8 @@ def _crossing(members: DataFrame, percent: int) -> DataFrame:
             edge = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             cuts = [0, *edge.tolist(), *([len(key)] if batch is None else [])]
             v, r, n, c = (whole.column(x).to_numpy() for x in range(3, 7))
-            bits = _bits(whole.column(7))
-            found = [pairs(v[x:y], r[x:y], n[x:y], c[x:y], bits[x:y], i[x] != j[x]) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if y - x > 1]
+            maps = whole.column(7).to_pylist()
+            found = [pairs(v[x:y], r[x:y], n[x:y], c[x:y], folded(maps[x:y]), bool(i[x] != j[x])) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if y - x > 1]
             rest = whole.slice(cuts[-1]) if batch is not None else None
             if found:
                 a, b = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -253,14 +243,14 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
     yield None
 
 
-def _tiles(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
+def _tiles(docs: DataFrame, text: str, words: int, percent: int, twice: frozenset[int]) -> DataFrame:
     """``key, v`` of tiles with two sets or more; tiles of the same sets become one, named by a hash of its members.
 
     Should two tiles share a name, they are worked on as one, which loses no pair. The large shuffle of keys is unreachable on
     return, so that Spark can drop it.
     """
     in_key = W.partitionBy("key")
-    keys = _rows(docs, text, words, "tiles", "v long, key long", percent)
+    keys = _rows(docs, text, words, "tiles", "v long, key long", percent, twice)
     low = F.col("v").bitwiseAND(F.lit((1 << 31) - 1))
     met = keys.select("v", F.min("v").over(in_key).alias("a"), F.max("v").over(in_key).alias("b"), F.count("*").over(in_key).alias("n"), F.sum(low).over(in_key).alias("lows"))
     return stored(met.where("a < b").select(F.xxhash64("a", "b", "n", "lows").alias("key"), "v").distinct())
@@ -270,33 +260,46 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
     """``doc_id, n_shingles, component_id`` of every row of ``docs``.
 
     Words are lower-cased in A-Z alone. ``component_id`` is the smallest ``doc_id`` that links reach, the row's own included; a
-    row without words links with nothing. Rows with a null id are compared too, but give no id to a component (null if it has
-    none else). Rows that repeat an id each get a row.
+    row without words (or with a null text) links with nothing. Rows with a null id are compared too, but give no id to a component
+    (null if it has none else). Rows that repeat an id each get a row. Other columns are left out, whatever their names; a text of
+    any length is one set; an empty table gives an empty table.
     """
-    slim = stored(_rows(docs, text, words, "ids", f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, v long"))
-    tiles, in_key = _tiles(docs, text, words, percent), W.partitionBy("key")
-    classes = slim.groupBy("v").agg(F.min("doc_id").alias("doc_id"))
-    named = stored(tiles.groupBy("v").agg(F.count("*").alias("degree")).join(classes, "v"))
-    few = named.select("doc_id").distinct()
-    few = F.broadcast(few) if named.count() <= BROADCAST_ROWS else few
-    wanted = docs.select("doc_id", text).join(few.withColumnRenamed("doc_id", "_few"), F.col("doc_id").eqNullSafe(F.col("_few")), "left_semi")
-    sets = stored(_rows(wanted, text, words, "sets", "v long, n long, bits binary, wide binary, grams binary").join(small(named.select("v")), "v", "left_semi").dropDuplicates(["v"]))
-
-    hub = F.first("v").over(in_key.orderBy(F.desc("degree"), "v"))
-    ranked = tiles.join(small(named.select("v", "degree")), "v").select("v", hub.alias("u"))
-    stars = stored(_bounded(stored(ranked.where("u <> v").distinct()), sets, percent))
-    links = stored(_verified(stars, sets, percent))
-    roots = components(links).withColumnRenamed("node", "v")
-
-    labelled = tiles.join(roots, "v", "left").select("key", "v", F.coalesce("root", "v").alias("r"))
-    mixed = labelled.withColumn("a", F.min("r").over(in_key)).withColumn("b", F.max("r").over(in_key)).where("a < b")
-    crossing = stored(_crossing(mixed.select("key", "v", "r").join(sets.select("v", "n", "bits"), "v"), percent).join(stars, ["u", "v"], "left_anti").join(stars.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"], "left_anti"))
-    more = _verified(stored(_bounded(crossing, sets, percent)), sets, percent)
-    roots = components(links.union(more))
-
-    names = slim.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("_c", F.when(F.col("n") > 0, F.coalesce("root", "v")))
-    smallest = names.where("n > 0").groupBy("_c").agg(F.min("doc_id").alias("component_id"))
-    return names.join(smallest, "_c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = stored(_rows(docs, text, words, "ids", f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, v long, w long"))
+    twice = shared_names(named)
+    slim = named.select("doc_id", "n", final_name(twice).alias("v"))
+    tiles = _tiles(docs, text, words, percent, twice)
+    met = stored(tiles.groupBy("v").agg(F.count("*").alias("degree")))
+    classes = stored(slim.join(small(met), "v").groupBy("v").agg(F.min("doc_id").alias("few")))
+    sets = _named(docs, text, words, "bits", classes, twice)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "v")
+        few = stored(classes.join(ends, "v"))
+        links = _verified(pairs, _named(docs, text, words, "grams", few, twice), percent)
+        discard(few)
+        return links
+
+    hubs = stored(tiles.join(small(met), "v").groupBy("key").agg(F.max_by("v", "degree").alias("u")))
+    stars = _bounded(stored(tiles.join(small(hubs), "key").where("u <> v").select("u", "v").distinct()), sets, percent)
+    links = verified(stars)
+    discard(met, hubs)
+
+    roots = components(links)
+    labelled = stored(tiles.join(small(roots.withColumnRenamed("node", "v")), "v", "left").select("key", "v", F.coalesce("root", "v").alias("r")))
+    mixed = labelled.groupBy("key").agg(F.min("r").alias("a"), F.max("r").alias("b"), F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("blocks")).where("a < b")
+    mixed = stored(mixed.select("key", "blocks"))
+    discard(roots, tiles)
+    found = _crossing(labelled.join(small(mixed), "key").join(sets, "v"), percent)
+    crossing = stored(found.join(stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
+    discard(labelled, mixed, stars, sets)
+    more = verified(crossing)
+    roots = components(links.union(more)).select(F.col("node").alias("v"), "root")
+    discard(crossing, links, more, classes)
+
+    rooted = slim.join(small(roots), "v", "left").withColumn("_c", F.when(F.col("n") > 0, F.coalesce("root", "v")))
+    smallest = stored(rooted.where("n > 0").groupBy("_c").agg(F.min("doc_id").alias("component_id")))
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return rooted.join(small(smallest), "_c", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -4,8 +4,8 @@ Nodes are k-mers of words, thinned by winnowing: of every window's k-mers the on
 windows keep equal nodes at equal places. An edge leads from a node of a text to its next one and is named by all words from
 the start of the one to the end of the other. Nodes that occur in one text alone are dropped. Joins on node and edge counts find
 edges without branches - as many occurrences as both their ends have - and runs of these are paths that occur whole
-wherever any of their nodes does. Windows inside a path share its smallest document; windows across a path's ends are
-verified one by one by their words at their source coordinates.
+wherever any of their nodes does. The graph only proposes: the words of each whole path, and of each single window across a path's
+ends, are read again at their source coordinates, and only ranges whose words have equal names of 126 bits count as repeats.
 """
 
 from __future__ import annotations
@@ -20,12 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from framewright.llm.common import stored
-from framewright.llm.wordhash import Powers, spans_hash, text_blocks, words_of
+from framewright.llm.common import discard, fresh, small, stored
+from framewright.llm.wordhash import LOW, Memo, Spans, final_name, mix, names, shared_names, text_blocks, words_of
 
 WINDOW, NODE = 50, 16
-#: Rows of removal plans (an id and a few ranges each) that may be broadcast.
-PLAN_ROWS = 200_000
 
 
 def _name(h: np.ndarray) -> np.ndarray:
@@ -33,76 +31,70 @@ def _name(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(1)).astype(np.int64) | 1
 
 
-def text_name(h: np.ndarray, p: Powers) -> int:
-    """The name of a sequence of words."""
-    return int(_name(spans_hash(h, np.array([0]), np.array([len(h)]), p))[0])
-
-
-def graph_of(h: np.ndarray, window: int, node: int, p: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def graph_of(h: np.ndarray, window: int, node: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(positions, nodes, edges)`` of one text's word hashes; the last edge is 0. Nothing if it has no whole window."""
     if len(h) < window:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none
-    starts = np.arange(len(h) - node + 1)
-    grams = spans_hash(h, starts, starts + node, p)
+    spans = Spans(h)
+    grams = spans.of(np.arange(len(h) - node + 1), node)
     span = window - node + 1
     at = np.unique(sliding_window_view(grams, span).argmin(axis=1) + np.arange(len(grams) - span + 1))
     edges = np.zeros(len(at), dtype=np.int64)
-    edges[:-1] = _name(spans_hash(h, at[:-1], at[1:] + node, p))
+    edges[:-1] = _name(spans.of(at[:-1], at[1:] + node - at[:-1]))
     return at, _name(grams[at]), edges
 
 
 def _graphs(docs: DataFrame, text: str, window: int, node: int) -> DataFrame:
-    """``doc_id, n, v, graph``: words and name of each row's text; the graph's rows once for each task and text."""
+    """``doc_id, n, v, w, pos, node, edge``: words and names of each row's text; the graph's rows once for each task and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, seen = Powers(), set()
+        memo, seen = Memo(), set()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in text_blocks(texts):
-                h, first = words_of(texts[a:b], False, p)
-                names, counts, cuts, parts = [], [], [0], [[], [], []]
+                h, first = words_of(texts[a:b], False, memo)
+                named, counts, cuts, parts = [], [], [0], [[], [], []]
                 for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    v = text_name(h[i:j], p)
-                    names.append(v)
+                    named.append(names(h[i:j]))
                     counts.append(j - i)
                     size = 0
-                    if j - i >= window and v not in seen:
-                        seen.add(v)
-                        found = graph_of(h[i:j], window, node, p)
+                    if j - i >= window and named[-1] not in seen:
+                        seen.add(named[-1])
+                        found = graph_of(h[i:j], window, node)
                         size = len(found[0])
                         for out, x in zip(parts, found, strict=True):
                             out.append(x)
                     cuts.append(cuts[-1] + size)
                 pos, nodes, edges = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in parts)
                 offsets = pa.array(cuts, pa.int32())
+                v, w = (pa.array(x, pa.int64()) for x in zip(*named, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(counts, pa.int64()), pa.array(names, pa.int64()), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (pos.astype(np.int32), nodes, edges))],
-                    ["doc_id", "n", "v", "pos", "node", "edge"],
+                    [ids.slice(a, b - a), pa.array(counts, pa.int64()), v, w, *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (pos.astype(np.int32), nodes, edges))],
+                    ["doc_id", "n", "v", "w", "pos", "node", "edge"],
                 )
 
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, v long, pos array<int>, node array<long>, edge array<long>")
+    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, v long, w long, pos array<int>, node array<long>, edge array<long>")
 
 
-def _windows(docs: DataFrame, text: str, window: int, node: int) -> DataFrame:
-    """From ``doc_id, text, v, path`` rows: ranges of window starts that lie inside one path (``w`` null, with the path's smallest
-    document as ``low``), and every other window that holds a repeated node, by the hash ``w`` of its words."""
+def _windows(docs: DataFrame, text: str, window: int, node: int, twice: frozenset[int]) -> DataFrame:
+    """From ``doc_id, text, v, path`` rows, ranges of window starts with both names of their words: the ranges that lie inside one
+    path, and every other window that holds a repeated node."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    arrow_id = pa.int64() if kind == "bigint" else pa.string() if kind == "string" else pa.int32()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = Powers()
+        memo = Memo()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in text_blocks(texts):
-                h, first = words_of(texts[a:b], False, p)
-                w, row, start, end, low = [], [], [], [], []
+                h, first = words_of(texts[a:b], False, memo)
                 for r in range(a, b):
                     x = h[first[r - a] : first[r - a + 1]]
-                    if text_name(x, p) != batch.column(2)[r].as_py():
+                    v, w = names(x)
+                    if (w if v in twice else v) != batch.column(2)[r].as_py():
                         continue  # another text under the same id
                     path = batch.column(3)[r].values
-                    pos, linked, lows = path.field("pos").to_numpy(), path.field("linked").to_numpy(zero_copy_only=False), path.field("low").to_pylist()
+                    pos, linked = path.field("pos").to_numpy(), path.field("linked").to_numpy(zero_copy_only=False)
                     n = len(x) - window + 1
                     touched = np.zeros(n + 1, dtype=np.int64)
                     np.add.at(touched, np.maximum(pos - (window - node), 0), 1)
@@ -110,60 +102,59 @@ def _windows(docs: DataFrame, text: str, window: int, node: int) -> DataFrame:
                     open_ = np.cumsum(touched[:-1]) > 0
                     heads = np.flatnonzero(np.concatenate([[True], ~linked[:-1]]))
                     tails = np.concatenate([heads[1:] - 1, [len(pos) - 1]])
-                    for i, j in zip(heads.tolist(), tails.tolist(), strict=True):
-                        lo, hi = int(pos[i]), int(pos[j]) + node - window
-                        if hi >= lo:
-                            w.append(None)
-                            row.append(r)
-                            start.append(lo)
-                            end.append(hi)
-                            low.append(lows[i])
-                            open_[lo : hi + 1] = False
+                    lo, hi = pos[heads].astype(np.int64), pos[tails].astype(np.int64) + node - window
+                    lo, hi = lo[hi >= lo], hi[hi >= lo]
+                    whole = np.array([names(x[i : j + window]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)], dtype=np.int64).reshape(-1, 2)
+                    for i, j in zip(lo.tolist(), hi.tolist(), strict=True):
+                        open_[i : j + 1] = False
                     s = np.flatnonzero(open_)
-                    w.extend(_name(spans_hash(x, s, s + window, p)).tolist())
-                    row.extend([r] * len(s))
-                    start.extend(s.tolist())
-                    end.extend(s.tolist())
-                    low.extend([None] * len(s))
-                ids = batch.column(0).take(pa.array(row, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), ids, batch.column(2).take(pa.array(row, pa.int64())), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(low, arrow_id)], ["w", "doc_id", "v", "start", "end", "low"])
-
-    return docs.select("doc_id", text, "v", "path").mapInArrow(run, f"w long, doc_id {kind}, v long, start int, end int, low {kind}")
-
-
-def repeated_ranges(docs: DataFrame, text: str = "text", window: int = WINDOW, node: int = NODE) -> DataFrame:
-    """``doc_id, v, ranges``: for each text (by id and name ``v``) with repeats, the ranges of window starts, ends included, whose
-    windows also start in a document with a smaller id."""
-    graphs = stored(_graphs(docs, text, window, node))
-    classes = graphs.where("doc_id IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("doc_id"))
+                    single = [(Spans(y).of(s, window) & np.uint64(LOW)).astype(np.int64) for y in (x, mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
+                    names_ = [np.concatenate([whole[:, k], single[k]]) for k in (0, 1)]
+                    starts, ends = np.concatenate([lo, s]).astype(np.int32), np.concatenate([hi, s]).astype(np.int32)
+                    rows = pa.array(np.full(len(starts), r, dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(names_[0]), pa.array(names_[1]), batch.column(0).take(rows), batch.column(2).take(rows), pa.array(starts), pa.array(ends)], ["w", "x", "doc_id", "v", "start", "end"])
+
+    return docs.select("doc_id", text, "v", "path").mapInArrow(run, f"w long, x long, doc_id {kind}, v long, start int, end int")
+
+
+def repeated_ranges(docs: DataFrame, text: str = "text", window: int = WINDOW, node: int = NODE) -> tuple[DataFrame, frozenset[int]]:
+    """``doc_id, v, ranges`` (stored), and the first names that different texts share: for each text (by id and name ``v``) with
+    repeats, the ranges of window starts, ends included, whose windows also start in a document with a smaller id."""
+    named = stored(_graphs(docs, text, window, node))
+    twice = shared_names(named)
+    graphs = named.withColumn("v", final_name(twice)).drop("w")
+    classes = stored(graphs.where(F.col("doc_id").isNotNull() & (F.col("n") >= window)).groupBy("v").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")))
     whole = F.array(F.struct(F.lit(0).alias("start"), (F.col("n") - window).cast("int").alias("end")))
-    copies = graphs.where(F.col("n") >= window).select("doc_id", "v", "n").join(classes.withColumnRenamed("doc_id", "low"), "v").where("low < doc_id").select("doc_id", "v", whole.alias("ranges")).distinct()
+    again = stored(classes.where("low < high").select("v", "low"))
+    copies = graphs.select("doc_id", "v", "n").join(small(again), "v").where("low < doc_id").select("doc_id", "v", whole.alias("ranges")).distinct()
 
     following = F.concat(F.slice("node", 2, F.size("node")), F.array(F.lit(0).cast("long")))
-    zipped = F.arrays_zip("pos", "node", "edge", following.alias("next"))
-    edges = graphs.where(F.size("node") > 0).select("v", F.inline(zipped))
-    shared = edges.groupBy("node").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a < b").select("node")
-    edges = stored(edges.join(shared, "node").select("v", "pos", "node", "edge", "next"))
-    edges = edges.join(classes, "v")  # the smallest document with the text
-    nodes = stored(edges.groupBy("node").agg(F.count("*").alias("c"), F.min("doc_id").alias("low")))
-    uses = edges.where("edge <> 0").groupBy("edge").agg(F.count("*").alias("e"))
-    counted = edges.join(nodes, "node").join(uses, "edge", "left").join(nodes.select(F.col("node").alias("next"), F.col("c").alias("d")), "next", "left")
+    edges = graphs.where(F.size("node") > 0).select("v", F.inline(F.arrays_zip("pos", "node", "edge", following.alias("next"))))
+    shared = stored(edges.groupBy("node").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a < b").select("node"))
+    edges = stored(edges.join(small(shared), "node").select("v", "pos", "node", "edge", "next"))
+    nodes = stored(edges.groupBy("node").agg(F.count("*").alias("c")))
+    uses = stored(edges.where("edge <> 0").groupBy("edge").agg(F.count("*").alias("e")))
+    counted = edges.join(small(nodes), "node").join(small(uses), "edge", "left").join(small(nodes).select(F.col("node").alias("next"), F.col("c").alias("d")), "next", "left")
     linked = F.coalesce((F.col("c") == F.col("e")) & (F.col("c") == F.col("d")), F.lit(False))
-    step = F.struct("pos", "low", linked.alias("linked"))
-    paths = stored(counted.groupBy("v", "doc_id").agg(F.array_sort(F.collect_set(step)).alias("path")))
-
-    few = paths.select("doc_id").distinct()
-    wanted = docs.select("doc_id", text).join(F.broadcast(few) if paths.count() <= 1_000_000 else few, "doc_id", "left_semi")
-    windows = stored(_windows(wanted.join(paths, "doc_id"), text, window, node))
-    lows = windows.where("w IS NOT NULL").groupBy("w").agg(F.min("doc_id").alias("l"), F.max("doc_id").alias("m")).where("l < m").select("w", "l")
-    single = windows.where("w IS NOT NULL").join(lows, "w").where("l < doc_id").select("doc_id", "v", "start", "end")
-    found = windows.where("w IS NULL AND low < doc_id").select("doc_id", "v", "start", "end").union(single).distinct()
+    paths = counted.groupBy("v").agg(F.array_sort(F.collect_set(F.struct("pos", linked.alias("linked")))).alias("path"))
+    paths = stored(paths.join(small(classes.select("v", F.col("low").alias("_low"))), "v"))
+    discard(shared, edges, nodes, uses)
+
+    few = small(stored(paths.select("_low").distinct()))
+    wanted = docs.select("doc_id", text).join(few, F.col("doc_id") == F.col("_low"), "left_semi")
+    met = wanted.join(small(paths), F.col("doc_id") == F.col("_low")).select("doc_id", text, "v", "path")
+    windows = stored(_windows(met, text, window, node, twice))
+    lows = stored(windows.groupBy("w", "x").agg(F.min("doc_id").alias("l"), F.max("doc_id").alias("m")).where("l < m").select("w", "x", "l"))
+    found = windows.join(small(lows), ["w", "x"]).where("l < doc_id").select("doc_id", "v", "start", "end").distinct()
     # neighbouring starts become one range
     order = W.partitionBy("doc_id", "v").orderBy("start")
-    island = F.sum((F.col("start") > F.coalesce(F.lag("end").over(order), F.lit(-9)) + 1).cast("int")).over(order)
-    ranges = found.withColumn("_i", island).groupBy("doc_id", "v", "_i").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    reach = F.coalesce(F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(-9))
+    island = F.sum((F.col("start") > F.col("_reach") + 1).cast("int")).over(order)
+    ranges = found.withColumn("_reach", reach).withColumn("_i", island).groupBy("doc_id", "v", "_i").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     ranges = ranges.groupBy("doc_id", "v").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
-    return stored(ranges.join(copies, ["doc_id", "v"], "left_anti").unionByName(copies))
+    out = stored(ranges.join(copies, ["doc_id", "v"], "left_anti").unionByName(copies))
+    discard(named, classes, again, paths, windows, lows)
+    return out, twice
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, node: int = NODE) -> DataFrame:
@@ -172,24 +163,26 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, no
 
     Words stay as they are and are joined by one space. Windows are judged on the input. A text with fewer words than a window, an
     empty or a null one (no words) loses nothing; a row without id loses nothing and is no source; rows that share an id aren't
-    smaller than each other. Other columns are kept.
+    smaller than each other. All columns of ``docs`` are kept but those named as an output, which are replaced; an empty table gives
+    an empty table.
     """
-    plan = repeated_ranges(docs, text, window, node).select(F.col("doc_id").alias("_d"), F.struct("v", "ranges").alias("_r"))
-    plan = plan.groupBy("_d").agg(F.collect_list("_r").alias("_plan"))  # more than one only where ids repeat
-    plan = stored(plan)
-    kept = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text", "_plan", "_d", "_k")]
-    planned = docs.select(*kept).join(F.broadcast(plan) if plan.count() <= PLAN_ROWS else plan, F.col("doc_id") == F.col("_d"), "left")
+    ranges, twice = repeated_ranges(docs, text, window, node)
+    own, plan, done = fresh("_d", docs), fresh("_plan", docs), fresh("_k", docs)
+    ranges = ranges.groupBy(F.col("doc_id").alias(own)).agg(F.collect_list(F.struct("v", "ranges")).alias(plan))  # more than one only where ids repeat
+    ranges = stored(ranges)
+    kept = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
+    planned = docs.join(small(ranges), F.col("doc_id") == F.col(own), "left")
 
     @F.pandas_udf("n_words long, n_removed long, kept_text string")
     def cut(texts: pd.Series, plans: pd.Series) -> pd.DataFrame:
-        p, out = Powers(), []
+        memo, out = Memo(), []
         for t, ways in zip(texts, plans, strict=True):
             words = t.encode("utf-8", "surrogatepass").split() if isinstance(t, str) else []
             n = len(words)
             if ways is not None and n >= window:
-                v = text_name(words_of([t], False, p)[0], p)
+                v, w = names(words_of([t], False, memo)[0])
                 for way in ways:
-                    if way["v"] == v:
+                    if way["v"] == (w if v in twice else v):
                         keep = np.ones(n, dtype=bool)
                         for r in way["ranges"]:
                             keep[r["start"] : r["end"] + window] = False
@@ -198,7 +191,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, no
             out.append((n, n - len(words), b" ".join(words).decode("utf-8", "surrogatepass")))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept_text"])
 
-    return planned.select(*kept, cut(F.col(text), F.col("_plan")).alias("_k")).select(*kept, "_k.*")
+    return planned.select(*kept, cut(F.col(text), F.col(plan)).alias(done)).select(*kept, f"{done}.*")
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:

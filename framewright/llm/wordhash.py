@@ -1,22 +1,26 @@
-"""Words of many texts as arrays of 64-bit hashes, computed on bytes at once.
+"""Words of texts as arrays of 64-bit hashes, and names of sequences and sets of them.
 
-A word is a run of bytes other than space and 0x09 to 0x0D, which in UTF-8 never occur inside a character. Hashes are
-polynomials modulo 2**64 with an odd base, mixed with the length; they depend on the word alone.
+A word is a run of bytes other than space and 0x09 to 0x0D, which in UTF-8 never occur inside a character. A word's hash is XXH3 of its
+bytes, so it has no structure that texts could hit by their form; sequences are hashed by mixing halves, which isn't linear either.
+Where equality decides, names of 126 bits are compared.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-#: Bytes of text that are worked on at once, about; a longer text is taken whole.
+#: Bytes of text that are worked on at once, about; a longer text is split into words in pieces of this size.
 BLOCK = 1 << 20
-
-IS_SPACE = np.zeros(256, dtype=bool)
-IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Words that a task remembers, and the bytes of the longest of them.
+MEMO_WORDS, MEMO_BYTES = 300_000, 40
+LOW = (1 << 63) - 1
+SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,43 +34,85 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-class Powers:
-    """Powers of a base and of its inverse, kept and grown as longer inputs come."""
-
-    def __init__(self, base: np.uint64 = BASE, inverse: np.uint64 = INVERSE) -> None:
-        self.base, self.inverse = base, inverse
-        self.up, self.down = powers(base, 1), powers(inverse, 1)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            self.up, self.down = powers(self.base, 2 * n), powers(self.inverse, 2 * n)
-        return self.up[:n], self.down[:n]
-
-
-def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: Powers) -> np.ndarray:
-    """Hashes of ``values[start:end]`` by sequence, whatever their place."""
-    up, down = p.get(len(values) + 1)
-    total = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def words_of(texts: list[str | None], lower: bool, p: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """``(hashes, first)``: hashes of all words of all texts in order, and for each text where its words begin, one more at the end."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    data = b" ".join([*raw, b""])
-    buffer = np.frombuffer(data.lower() if lower else data, dtype=np.uint8)
-    word = np.concatenate([[False], ~IS_SPACE[buffer], [False]])
-    edge = np.flatnonzero(word[1:] != word[:-1])
-    starts, ends = edge[::2], edge[1::2]
-    offsets = np.cumsum([0, *(len(r) + 1 for r in raw)])
-    return spans_hash(buffer.astype(np.uint64) + np.uint64(1), starts, ends, p), np.searchsorted(starts, offsets)
+class Memo(dict):
+    """Hashes of words, remembered while they are short and few."""
+
+    def __init__(self, seed: int = 0) -> None:
+        super().__init__()
+        self.seed = seed
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word, self.seed)
+        if len(word) <= MEMO_BYTES:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[word] = h
+        return h
+
+
+def pieces(data: bytes) -> Iterator[bytes]:
+    """``data`` cut between words into pieces of about ``BLOCK`` bytes."""
+    at = 0
+    while len(data) - at > BLOCK:
+        m = SPACE.search(data, at + BLOCK)
+        end = m.start() if m else len(data)
+        yield data[at:end]
+        at = end
+    yield data[at:]
+
+
+def words_of(texts: list[str | None], lower: bool, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
+    """``(hashes, first)``: hashes of all words of all texts in order, and for each text where its words begin, one more at the end.
+    ``lower`` changes A-Z alone."""
+    parts, first = [np.zeros(0, dtype=np.uint64)], [0]
+    for t in texts:
+        raw, n = (t or "").encode("utf-8", "surrogatepass"), 0
+        for piece in pieces(raw.lower() if lower else raw):
+            words = piece.split()
+            parts.append(np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words)))
+            n += len(words)
+        first.append(first[-1] + n)
+    return np.concatenate(parts), np.array(first)
+
+
+class Spans:
+    """Hashes of spans of one sequence: those of 1, 2, 4, ... values are mixed from halves, and two of them cover any span."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.levels = [mix(values)]
+
+    def of(self, starts: np.ndarray, lengths: int | np.ndarray) -> np.ndarray:
+        """Hashes of the spans of at least one value each; they depend on the values alone."""
+        lengths = np.broadcast_to(np.asarray(lengths, dtype=np.int64), starts.shape)
+        out = np.zeros(len(starts), dtype=np.uint64)
+        for k in np.unique(np.frexp(lengths)[1] - 1).tolist():
+            while len(self.levels) <= k:
+                h, half = self.levels[-1], 1 << len(self.levels) - 1
+                self.levels.append(mix(h[: max(0, len(h) - half)] * np.uint64(3) + h[half:]))
+            at = np.flatnonzero(np.frexp(lengths)[1] - 1 == k)
+            a, n = starts[at], lengths[at]
+            out[at] = mix(mix(self.levels[k][a] + n.astype(np.uint64)) * np.uint64(3) + self.levels[k][a + n - (1 << k)])
+        return out
+
+
+def names(values: np.ndarray) -> tuple[int, int]:
+    """Two independent 63-bit names of an array, ``(0, 0)`` for an empty one."""
+    if not len(values):
+        return 0, 0
+    d = xxhash.xxh3_128_intdigest(values.tobytes())
+    return (d & LOW) or 1, d >> 64 & LOW
+
+
+def shared_names(named: DataFrame) -> frozenset[int]:
+    """Names ``v`` that stand for different ``w`` in ``named(v, w)``. Names are random, so of n texts about n * n / 2**64 are expected:
+    none for a billion, hundreds for 10**11."""
+    twice = named.groupBy("v").agg(F.min("w").alias("a"), F.max("w").alias("b")).where("a < b")
+    return frozenset(r.v for r in twice.select("v").collect())
+
+
+def final_name(twice: frozenset[int]) -> Column:
+    """The name of a row of ``v, w``: ``v``, or ``w`` where different texts share ``v``."""
+    return F.when(F.col("v").isin(*twice), F.col("w")).otherwise(F.col("v")) if twice else F.col("v")
 
 
 def text_blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:

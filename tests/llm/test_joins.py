@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from framewright.llm.components import components
 from framewright.llm.ngram_join import bands, ngram_sets, op6_ngram_jaccard_join, similar_documents, tile_keys
 from framewright.llm.substring_dedup import op7_substring_dedup, remove_repeats
-from framewright.llm.wordhash import Powers, words_of
+from framewright.llm.wordhash import Memo, Spans, words_of
 
 
 def brute_components(rows, n=4, percent=85):
@@ -112,11 +112,11 @@ def test_linked_sets_share_a_tile(n, gone, new, seed):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet="ab \t\n é", max_size=12), max_size=6))
 def test_word_hashes_follow_words(texts):
-    h, first = words_of(texts, False, Powers())
+    h, first = words_of(texts, False, Memo())
     flat = [w for t in texts for w in words(t)]
     assert [b - a for a, b in zip(first[:-1], first[1:])] == [len(words(t)) for t in texts]
     assert len({*zip(flat, h.tolist())}) == len(set(flat)) == len(set(h.tolist()))
-    assert len(ngram_sets(texts, 2, Powers())) == len(texts)
+    assert len(ngram_sets(texts, 2, Memo())) == len(texts)
 
 
 def test_components(spark):
@@ -156,3 +156,50 @@ def test_op7_branching_passages(spark, seed):
 
     got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
     assert rows_of(got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256))) == removed(rows)
+
+
+def thue_morse(n):
+    return [bin(i).count("1") & 1 for i in range(n)]
+
+
+def test_op7_words_in_a_pattern_that_defeats_linear_hashes(spark):
+    from pyspark.sql import functions as F
+
+    bits = thue_morse(2048)
+    text = lambda flip: " ".join(x for i, b in enumerate(bits) for x in ("ab"[b ^ flip], f"u{i}"))
+    rows = [(1, text(0)), (2, text(1)), (3, text(0))]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256))) == removed(rows)
+    assert [r.n_removed for r in got.orderBy("doc_id").collect()] == [0, 0, 4096]
+
+
+def test_op6_words_in_a_pattern_that_defeats_linear_hashes(spark):
+    word = lambda flip, n: "".join("ab"[b ^ flip] for b in thue_morse(n))
+    rows = [(1, word(0, 2048)), (2, word(1, 2048)), (3, word(0, 1024)), (4, word(1, 1024)), (5, word(0, 2048))]
+    assert rows_of(similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_components(rows) == [(1, 1, 1), (2, 1, 2), (3, 1, 3), (4, 1, 4), (5, 1, 1)]
+
+
+def test_names_that_different_texts_share_are_told_apart(spark, sf, monkeypatch):
+    """First names of a few bits, so that many texts share one: results stay the same."""
+    from pyspark.sql import functions as F
+
+    from framewright.llm import ngram_join, substring_dedup, wordhash
+
+    whole = wordhash.names
+    few = lambda x: (whole(x)[0] % 64 + 1, whole(x)[1]) if len(x) else (0, 0)
+    monkeypatch.setattr(ngram_join, "names", few)
+    monkeypatch.setattr(substring_dedup, "names", few)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    assert rows_of(similar_documents(docs)) == brute_components(documents(spark, sf))
+    got = remove_repeats(docs)
+    assert rows_of(got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256))) == removed(documents(spark, sf))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2), min_size=1, max_size=90), st.integers(1, 90))
+def test_span_hashes_follow_values(values, n):
+    n = min(n, len(values))
+    starts = np.arange(len(values) - n + 1)
+    h = Spans(np.array(values, dtype=np.uint64)).of(starts, n)
+    spans = [tuple(values[i : i + n]) for i in starts]
+    assert len({*zip(spans, h.tolist())}) == len(set(spans)) == len(set(h.tolist()))
