@@ -63,7 +63,10 @@ class WordIds(dict):
         self.tokenizer, self.parts = tokenizer, PartIds(tokenizer)
 
     def __missing__(self, word: str) -> bytes:
-        if PLAIN.fullmatch(word) and "<|" not in word:
+        core = word.rstrip(".,;:!?")
+        if core.isalpha() and (core.isascii() or PLAIN.fullmatch(core)):  # letters, and marks after them
+            ids = self.parts[core.lower()] + (self.parts[word[len(core) :]] if core != word else b"")
+        elif PLAIN.fullmatch(word) and "<|" not in word:
             ids = b"".join(map(self.parts.__getitem__, PARTS.findall(word.lower())))
         else:
             found = self.tokenizer.encode(word, add_special_tokens=False).ids if word else []
