@@ -1,18 +1,22 @@
 """Layout-aware rendering of HTML to text.
 
-A tree builder closes implied end tags and skips what isn't shown; a renderer walks the tree and keeps block spacing, list
-markers and indents, preformatted lines and tables with aligned cells. Both use explicit stacks, so deep nesting is no problem.
+A tree builder closes implied end tags and adds implied rows; a renderer walks the tree, skips what isn't shown and keeps block
+spacing, list markers and indents, preformatted lines and tables with aligned cells. Both use explicit stacks that know how often a tag
+is open, so that deep nesting and stray tags take linear time.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from framewright.llm.common import batches_by_bytes
+
 # Element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -41,11 +45,13 @@ CLOSES = {
     "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, {"html"}),
 }
-#: Cells wider than this aren't padded to, so that a long cell doesn't widen every row of its table.
-MAX_PAD = 60
+#: Layout only, no text depends on them: cells wider than this aren't padded to, so that a long cell doesn't widen every row of its
+#: table; no line is padded beyond this; so many cells reach down into later rows at once.
+MAX_PAD, MAX_WIDE, MAX_DOWN = 60, 4096, 1000
 
 TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 LOOSE = re.compile(r"</?([a-zA-Z][^\s/>]*+)([^>]*+)>")
+HEAD_END = re.compile(r"</head(?=[\s/>])|<body(?=[\s/>])", re.I)
 HINT = re.compile(r"hidden|style\s*=", re.I)
 ATTRIBUTE = re.compile(r"""([^\s/=>][^\s/=>]*+)(?:\s*+=\s*+("[^"]*+"?|'[^']*+'?|[^\s>]++))?""")
 DECLARATION = re.compile(r"""(?:[^;"'()]++|"[^"]*+"|'[^']*+'|\([^()]*+\)|["'()])++""")
@@ -71,13 +77,14 @@ def attributes(source: str) -> dict[str, str]:
     return out
 
 
-def hidden(source: str) -> bool:
-    """Whether the attributes of a tag hide it: by ``hidden``, or by the ``style`` whose last declarations count."""
+def shown_as(source: str) -> str:
+    """What the attributes of a tag say of its visibility: ``none`` (with all it holds), ``hidden`` or ``visible`` (unless what it holds
+    says otherwise), or nothing. ``hidden`` counts as none; of a ``style`` the last declarations count."""
     if not HINT.search(source):
-        return False
+        return ""
     named = attributes(source)
     if "hidden" in named and named["hidden"].strip().lower() != "until-found":
-        return True
+        return "none"
     style: dict[str, tuple[bool, str]] = {}
     for declaration in DECLARATION.findall(REMARK.sub(" ", named.get("style", ""))):
         name, _, value = declaration.partition(":")
@@ -85,7 +92,9 @@ def hidden(source: str) -> bool:
         if value.strip() and bool(mark) >= style.get(name, (False, ""))[0]:
             style[name] = bool(mark), value.strip()
     shown = {name: value for name, (_, value) in style.items()}
-    return shown.get("display") == "none" or shown.get("visibility") in ("hidden", "collapse")
+    if shown.get("display") == "none":
+        return "none"
+    return {"hidden": "hidden", "collapse": "hidden", "visible": "visible"}.get(shown.get("visibility", ""), "")
 
 
 class Node:
@@ -95,10 +104,35 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
+class Open(list):
+    """Open elements, the outermost first, with a count of each tag."""
+
+    def __init__(self, root: Node) -> None:
+        super().__init__([root])
+        self.count = Counter({root.tag: 1})
+
+    def push(self, node: Node) -> None:
+        self.append(node)
+        self.count[node.tag] += 1
+
+    def cut(self, i: int) -> None:
+        """Closes all from place ``i`` on."""
+        for node in self[i:]:
+            self.count[node.tag] -= 1
+        del self[i:]
+
+    def any(self, tags: Iterable[str]) -> bool:
+        return any(self.count[t] for t in tags)
+
+
 def parse(source: str) -> Node:
-    """The tree of a page; text nodes are strings with character references resolved. Any input gives a tree."""
+    """The tree of a page; text nodes are strings with character references resolved. Any input gives a tree.
+
+    A tag ends at the first ``>`` outside quotes. From the first tag on whose quotes don't close, quotes aren't minded.
+    """
     root = Node("html")
-    stack, at, n = [root], 0, len(source)
+    stack, at, n = Open(root), 0, len(source)
+    last, quotes, unclosed = source.rfind(">"), True, set()
 
     def text(a: int, b: int) -> None:
         if a < b:
@@ -118,7 +152,11 @@ def parse(source: str) -> Node:
             close = source.find(mark, lt + 4 if mark == "-->" else lt)
             at = start = n if close < 0 else close + len(mark)
             continue
-        m = TAG.match(source, lt) or LOOSE.match(source, lt)
+        if lt > last:
+            break  # no tag ends any more
+        m = TAG.match(source, lt) if quotes else None
+        if not m and (m := LOOSE.match(source, lt)):
+            quotes = False
         if not m:
             at = lt + 1
             continue
@@ -134,58 +172,69 @@ def parse(source: str) -> Node:
         if tag in VOID:
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
-            stop = close.start() if close else n
-            if tag == "textarea":
+            close = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
+            if not close:  # it ends with an open head, else with the page
+                unclosed.add(tag)
+                ends = HEAD_END.search(source, at) if stack.count["head"] else None
+                stop = ends.start() if ends else n
+            else:
+                stop = close.start()
+            if tag in ("textarea", "title"):
                 node.children.append(unescape(source[at:stop]))
             elif tag == "xmp":
                 node.children.append(source[at:stop])
-            at = start = close.end() if close else n
+            at = start = close.end() if close else stop
             continue
-        if attrs.endswith("/") and any(open_.tag == "math" for open_ in stack):
+        if attrs.endswith("/") and stack.count["math"]:
             continue
-        stack.append(node)
+        stack.push(node)
     text(start, n)
     return root
 
 
-def _end(stack: list[Node], tag: str) -> None:
+def _end(stack: Open, tag: str) -> None:
     """Closes the nearest open ``tag``; a cell's or table's end isn't crossed by others. One that isn't open is ignored."""
+    if not stack.count[tag]:
+        return
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag == tag:
-            del stack[i:]
+            stack.cut(i)
             return
         if stack[i].tag == "table" or stack[i].tag in CELL and tag not in ("table", "tr", "thead", "tbody", "tfoot"):
             return
 
 
-def _end_head(stack: list[Node]) -> None:
+def _end_head(stack: Open) -> None:
     """Closes a head on top of the stack."""
     while stack[-1].tag == "head":
-        stack.pop()
+        stack.cut(len(stack) - 1)
 
 
-def _imply(stack: list[Node], tag: str) -> None:
-    """Closes what the start of ``tag`` ends by implication."""
+def _imply(stack: Open, tag: str) -> None:
+    """Closes what the start of ``tag`` ends by implication, and opens the row that a cell needs."""
     if stack[-1].tag == "head" and tag not in HEAD:
         _end_head(stack)
-    if tag in BLOCK or tag in CELL:
+    if (tag in BLOCK or tag in CELL) and stack.count["p"]:
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag == "p":
-                del stack[i:]
+                stack.cut(i)
                 break
             if stack[i].tag in BLOCK or stack[i].tag in CELL or stack[i].tag == "button":
                 break
     if tag in CLOSES:
         closes, bounds = CLOSES[tag]
-        low = None
+        low, left = None, sum(stack.count[t] for t in closes)
         for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in bounds:
+            if not left or stack[i].tag in bounds:
                 break
             if stack[i].tag in closes:
-                low = i
+                low, left = i, left - 1
         if low is not None:
-            del stack[low:]
+            stack.cut(low)
+    if tag in CELL and (stack[-1].tag == "table" or stack[-1].tag in SECTIONS):
+        row = Node("tr")
+        stack[-1].children.append(row)
+        stack.push(row)
 
 
 class Page:
@@ -206,11 +255,17 @@ class Page:
             self.space = s[-1] == " "
 
     def line(self) -> None:
-        """Ends the line that has begun, if any."""
-        if self.words or self.marker:
+        """Ends the line that has begun, if any; a list marker waits for its text."""
+        if self.words:
             self._put("".join(self.words))
         self.words, self.space = [], False
 
+    def mark(self, marker: str = "") -> None:
+        """Sets a list marker; one that still waits gets a line of its own."""
+        if self.marker:
+            self._put("")
+        self.marker = marker
+
     def _put(self, s: str) -> None:
         if self.margin and self.lines:
             self.lines.extend([""] * self.margin)
@@ -221,7 +276,8 @@ class Page:
 
     def block(self, margin: int) -> None:
         self.line()
-        self.margin = max(self.margin, margin)
+        if not self.marker:
+            self.margin = max(self.margin, margin)
 
     def rows(self, lines: list[str]) -> None:
         self.line()
@@ -230,21 +286,53 @@ class Page:
 
     def finish(self) -> list[str]:
         self.line()
+        self.mark()
         return self.lines
 
 
-def aligned(rows: list[list[list[str]]]) -> list[str]:
-    """Lines of a table whose cells are lists of lines: columns start at the same place, two spaces apart."""
-    widths: list[int] = []
+def span(attrs: str, name: str, most: int) -> int:
+    """Columns or rows that a cell takes, 1 to ``most`` as browsers bound them; 0 for a rowspan means to the end."""
+    if name not in attrs.lower():
+        return 1
+    value = attributes(attrs).get(name, "").strip()
+    n = int(value[:9]) if value[:9].isascii() and value[:9].isdigit() else 1
+    return most if n == 0 and name == "rowspan" else min(max(1, n), most)
+
+
+def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table of cells (lines, columns, rows): columns start at the same place, two spaces apart from what ends there.
+
+    Cells that reach down from rows above take their columns, as in a browser.
+    """
+    placed, down = [], {}  # down: by first column, the end and the rows left of a cell from above
     for row in rows:
-        for i, cell in enumerate(row):
-            if i == len(widths):
-                widths.append(0)
-            widths[i] = max(widths[i], min(MAX_PAD, max(map(len, cell), default=0)))
+        col, cells = 0, []
+        held = {c: (end, n) for c, (end, n) in down.items() if n > 0}
+        down = {c: (end, n - 1) for c, (end, n) in held.items()}
+        ends = sorted((c, end) for c, (end, _) in held.items())
+        for lines, wide, deep in row:
+            while ends and col >= ends[0][0]:
+                col = max(col, ends.pop(0)[1])
+            cells.append((col, col + wide, lines))
+            if deep > 1 and len(down) < MAX_DOWN:
+                down[col] = (col + wide, deep - 1)
+            col += wide
+        placed.append(cells)
+    reach: dict[int, list[tuple[int, int]]] = {}  # by end column: the starts and widths of cells that end there
+    for cells in placed:
+        for first, end, lines in cells:
+            reach.setdefault(end, []).append((first, min(MAX_PAD, max(map(len, lines), default=0)) + 2))
+    at, x = {0: 0}, 0
+    for col in sorted({first for cells in placed for first, _, _ in cells} | reach.keys()):
+        x = at[col] = max([x, *(at[first] + width for first, width in reach.get(col, []))])
     out = []
-    for row in rows:
-        for k in range(max((len(cell) for cell in row), default=0)):
-            out.append("  ".join((cell[k] if k < len(cell) else "").ljust(widths[i]) for i, cell in enumerate(row)).rstrip())
+    for cells in placed:
+        for k in range(max((len(lines) for _, _, lines in cells), default=0)):
+            line = ""
+            for first, _, lines in cells:
+                if k < len(lines) and lines[k]:
+                    line = f"{line}  {lines[k]}" if len(line) + 2 > at[first] and line else line.ljust(min(at[first], MAX_WIDE)) + lines[k]
+            out.append(line.rstrip())
     return out
 
 
@@ -252,12 +340,14 @@ def render(root: Node) -> str:
     """All visible text of a tree."""
     page = Page()
     pages, tables, lists, pre, maths = [page], [], [], 0, 0
-    work: list[tuple[Node | str, bool]] = [(root, False)]
+    work: list[tuple[Node | str, bool, bool]] = [(root, False, True)]
     while work:
-        node, leaving = work.pop()
+        node, leaving, shown = work.pop()
         page = pages[-1]
         if isinstance(node, str):
-            if pre:
+            if not shown:
+                page.space = True
+            elif pre:
                 first, *rest = node.expandtabs(8).replace("\r\n", "\n").replace("\r", "\n").split("\n")
                 page.words.append(first)
                 for s in rest:
@@ -268,11 +358,17 @@ def render(root: Node) -> str:
             continue
         tag = node.tag
         if not leaving:
-            if tag in UNSEEN or maths and tag in UNSEEN_MATH or node.attrs and hidden(node.attrs):
+            if tag in UNSEEN or maths and tag in UNSEEN_MATH:
                 continue
+            if node.attrs and (way := shown_as(node.attrs)):
+                if way == "none":
+                    continue
+                shown = way == "visible"
             if tag == "br":
-                if page.words or page.marker:
+                if page.words:
                     page.line()
+                elif page.marker:
+                    page.mark()
                 elif page.lines and not page.margin:
                     page.margin = 1
                 continue
@@ -293,12 +389,11 @@ def render(root: Node) -> str:
                     m = START.search(node.attrs) if tag == "ol" else None
                     lists.append((page, int(m[1]) if m else 1 if tag == "ol" else None))
                 elif tag == "li":
+                    i = None
                     if lists and lists[-1][0] is page:
                         _, i = lists[-1]
-                        page.marker = "- " if i is None else f"{i}. "
                         lists[-1] = (page, None if i is None else i + 1)
-                    else:
-                        page.marker = "- "
+                    page.mark("- " if i is None else f"{i}. ")
                     page.indent += 4 if len(page.marker) > 2 else 2
                 elif tag in ("dd", "blockquote"):
                     page.indent += 4
@@ -310,14 +405,14 @@ def render(root: Node) -> str:
                 page.space = True
             elif tag == "math":
                 maths += 1
-            work.append((node, True))
-            work.extend((c, False) for c in reversed(node.children))
+            work.append((node, True, shown))
+            work.extend((c, False, shown) for c in reversed(node.children))
             continue
         if tag == "math":
             maths -= 1
         elif tag in CELL and tables:
             lines = pages.pop().finish()
-            tables[-1][-1].append(lines)
+            tables[-1][-1].append((lines, span(node.attrs, "colspan", 1000), span(node.attrs, "rowspan", 65534)))
         elif tag in BLOCK:
             if tag in PRE:
                 pre -= 1
@@ -327,7 +422,7 @@ def render(root: Node) -> str:
             elif tag in ("ul", "ol", "menu", "dir"):
                 lists.pop()
             elif tag == "li":
-                page.marker = ""
+                page.mark()
                 numbered = lists and lists[-1][0] is page and lists[-1][1] is not None
                 page.indent -= 4 if numbered and page.indent >= 4 else 2
             elif tag in ("dd", "blockquote"):
@@ -337,6 +432,40 @@ def render(root: Node) -> str:
     return "\n".join(pages[0].finish()).strip("\n")
 
 
+def plain_lines(root: Node) -> str:
+    """The visible text of a tree without its layout: a line for each block, cell and line break, white space collapsed."""
+    lines, words = [], []
+    work: list[tuple[Node | str | None, bool]] = [(root, True)]
+    while work:
+        node, shown = work.pop()
+        if isinstance(node, str):
+            words.append(node if shown else " ")
+            continue
+        if node is None or node.tag == "br" or node.tag in BLOCK or node.tag in CELL:
+            lines.append("".join(words))
+            words = []
+        if node is None or node.tag in UNSEEN or node.tag in VOID:
+            continue
+        if node.attrs and (way := shown_as(node.attrs)):
+            if way == "none":
+                continue
+            shown = way == "visible"
+        if node.tag in BLOCK or node.tag in CELL:
+            work.append((None, True))
+        work.extend((c, shown) for c in reversed(node.children))
+    lines.append("".join(words))
+    return "\n".join(filter(None, (" ".join(line.split()) for line in lines)))
+
+
+def elements(root: Node) -> Iterator[Node]:
+    """All elements of a tree in order."""
+    work = [root]
+    while work:
+        node = work.pop()
+        yield node
+        work.extend(c for c in reversed(node.children) if isinstance(c, Node))
+
+
 def html_text(source: str | None) -> str:
     """The visible text of a page; empty for null or empty input."""
     return render(parse(source)) if source else ""
@@ -345,15 +474,15 @@ def html_text(source: str | None) -> str:
 def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:
     """``pages`` without ``column``, with its visible ``text``.
 
-    Null and empty pages give an empty text; repeated rows each give a row; other columns are kept, a column ``text`` is replaced.
+    Null and empty pages give an empty text; repeated rows each give a row; a page of any length is read whole, in linear time; an
+    empty table gives an empty table. Other columns are kept, a column ``text`` is replaced.
     """
     kept = [c for c in pages.columns if c not in (column, "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                texts = [html_text(s) for s in part.column(len(kept)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(texts, pa.string())], [*kept, "text"])
+        for part in batches_by_bytes(batches, len(kept)):
+            texts = [html_text(s) for s in part.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(texts, pa.string())], [*kept, "text"])
 
     fields = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept)
     return pages.select(*kept, column).mapInArrow(run, f"{fields + ', ' if kept else ''}text string")
