@@ -1,7 +1,8 @@
 """WARC derivatives: metadata and plain-text conversion records for response records.
 
 Both derivatives name their response in WARC-Refers-To and keep its target, date and digests; the metadata record holds the
-source's headers as JSON, as lists of names and values since names repeat, with links, the conversion record holds the visible text.
+source's headers as JSON, as lists of names and values since names repeat, with links, the conversion record holds the visible text,
+read from the same tree that the layout operator builds, a line for each block.
 """
 
 from __future__ import annotations
@@ -12,37 +13,19 @@ import io
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.html_layout import unescape
+from framewright.llm.common import BATCH_BYTES, batches_by_bytes
+from framewright.llm.html_layout import attributes, elements, parse, plain_lines
 
 VERSION = b"WARC/1.1"
 #: The namespace of record ids that are derived from other ids.
 NAMESPACE = uuid.UUID("5f0c1f2e-6f3a-5b8c-9d2e-0a7b1c4d3e6f")
-LINK = re.compile(r"""<(?:a|area|link)(?=[\s/>])[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-TITLE = re.compile(r"<title(?=[\s/>])[^>]*>(.*?)</title(?=[\s/>])", re.I | re.S)
-
-#: What a conversion leaves out whole, and the tags that end a line. Fixed values. A head needs no rule of its own: it holds these
-#: and tags without text. An element without an end tag ends with the head, if it can be in one, else with the page.
-UNREAD = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)(?=[\s/>])(?:.*?</\1(?=[\s/>])[^>]*>|.*?(?=</head[\s/>]|<body[\s/>]|\Z))"
-    r"|<title(?=[\s/>]).*?(?:</title(?=[\s/>])[^>]*>|(?=</head[\s/>]|<body[\s/>]|\Z))",
-    re.I | re.S,
-)
-BREAKS = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)(?=[\s/>])[^>]*>", re.I)
-TAGS = re.compile(r"</?[a-z!?][^>]*>", re.I)
-
-
-def plain_text(page: str) -> str:
-    """The lines of text of a page without their layout: one for each block, white space collapsed, empty ones left out."""
-    lines = TAGS.sub("", BREAKS.sub("\0", UNREAD.sub(" ", page.replace("\0", " ")))).split("\0")
-    return "\n".join(line for line in (" ".join((unescape(x) if "&" in x else x).split()) for x in lines) if line)
-
-
 #: Two base-32 digits for each ten bits.
 DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 TEN_BITS = [a + b for a in DIGITS for b in DIGITS]
@@ -109,22 +92,35 @@ def parse_record(data: bytes) -> tuple[list[tuple[str, str]], bytes]:
 
 
 def read_records(data: bytes) -> Iterator[bytes]:
-    """The records of a file, plain or gzipped by record."""
-    stream = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+    """The records of a file, plain or gzipped by record, one at a time; raises where the file is damaged."""
+    stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
     while line := stream.readline():
         if not line.strip():
             continue
         if not line.startswith(b"WARC/"):
             raise ValueError("not a WARC file")
-        head = line
+        head = [line]
         while (line := stream.readline()) and line.strip():
-            head += line
-        length = one(parse_headers(head)[1], "Content-Length")
-        yield head + b"\r\n" + stream.read(int(length or 0)) + b"\r\n\r\n"
+            head.append(line)
+        length = one(parse_headers(b"".join(head))[1], "Content-Length") or ""
+        if not length.isdigit():
+            raise ValueError("a record without length")
+        block = stream.read(int(length))
+        if len(block) < int(length):
+            raise ValueError("the file is cut short")
+        yield b"".join(head) + b"\r\n" + block + b"\r\n\r\n"
+
+
+def inflate(body: bytes) -> bytes:
+    """What a deflated body holds, with or without the wrapper that the standard asks for."""
+    try:
+        return zlib.decompress(body)
+    except zlib.error:
+        return zlib.decompress(body, -zlib.MAX_WBITS)
 
 
 def decode_body(fields: list[tuple[str, str]], body: bytes) -> bytes:
-    """The entity of a response: chunks joined, then gzip undone; a damaged one stays as it is."""
+    """The entity of a response: chunks joined, then gzip or deflate undone; a damaged one, or one of another coding, stays as it is."""
     raw = body
     try:
         if (one(fields, "Transfer-Encoding") or "").lower() == "chunked":
@@ -134,23 +130,26 @@ def decode_body(fields: list[tuple[str, str]], body: bytes) -> bytes:
                 n = int(body[at:end].split(b";")[0], 16)
                 if not n:
                     break
+                if n < 0:
+                    raise ValueError("a chunk of less than nothing")
                 out.append(body[end + 2 : end + 2 + n])
                 at = end + n + 4
             body = b"".join(out)
-        if (one(fields, "Content-Encoding") or "").lower() in ("gzip", "x-gzip"):
-            body = gzip.decompress(body)
-        return body
-    except (ValueError, OSError, EOFError):
+        coding = (one(fields, "Content-Encoding") or "").lower()
+        return gzip.decompress(body) if coding in ("gzip", "x-gzip") else inflate(body) if coding == "deflate" else body
+    except (ValueError, OSError, EOFError, zlib.error):
         return raw
 
 
-def charset(fields: list[tuple[str, str]]) -> str:
-    m = re.search(r"charset=[\"']?([\w.:-]+)", one(fields, "Content-Type") or "", re.I)
+CHARSET = re.compile(r"charset=[\"']?([\w.:-]+)", re.I)
+
+
+def decoded(entity: bytes, code: str) -> str:
+    """The text of an entity by its stated charset; UTF-8 if that is unknown, no charset of texts or can't be used."""
     try:
-        "".encode(m[1] if m else "utf-8")
-        return m[1] if m else "utf-8"
-    except LookupError:
-        return "utf-8"
+        return entity.decode(code, "replace")
+    except (LookupError, ValueError):
+        return entity.decode("utf-8", "replace")
 
 
 #: What a page starts with, and what shows one further on.
@@ -171,9 +170,16 @@ def sniff(body: bytes) -> tuple[str, str]:
     return "text/html" if PAGE.match(body.decode(code, "replace")) else "text/plain", code
 
 
-def links_of(page: str) -> list[str]:
-    """Targets of links in order, repeats kept."""
-    return [a or b or c for a, b, c in LINK.findall(page)]
+def read_page(page: str) -> tuple[str, str | None, list[str]]:
+    """Visible text, title and targets of links (in order, repeats kept) of a page."""
+    tree = parse(page)
+    title, links = None, []
+    for node in elements(tree):
+        if node.tag == "title" and title is None:
+            title = " ".join("".join(x for x in node.children if isinstance(x, str)).split())
+        elif node.tag in ("a", "area", "link") and (href := attributes(node.attrs).get("href")) is not None:
+            links.append(href)
+    return plain_lines(tree), title, links
 
 
 def derive(data: bytes | None) -> dict:
@@ -192,16 +198,14 @@ def derive(data: bytes | None) -> dict:
     kind = (by_name(http).get("content-type") or "").lower()
     source, target, date = (warc.get(k) or "" for k in ("warc-record-id", "warc-target-uri", "warc-date"))
     payload, stated, whole = sha1(body), warc.get("warc-payload-digest"), warc.get("warc-block-digest")
-    entity, code = decode_body(http, body), charset(http)
+    entity, stated_code = decode_body(http, body), CHARSET.search(one(http, "Content-Type") or "")
+    code = stated_code[1] if stated_code else "utf-8"
     if not kind:
         kind, code = sniff(entity)
-    page = entity.decode(code, "replace")
-    is_html = "html" in kind
-    text = plain_text(page) if is_html else page if kind.startswith("text/") else ""
-    title = TITLE.search(page) if is_html else None
-    links = links_of(page) if is_html else []
-    shared = [("WARC-Target-URI", target), ("WARC-Date", date), ("WARC-Refers-To", source)]
-    about = {"warc": fields, "status": status, "http": http, "title": title[1].strip() if title else None, "links": links}
+    page = decoded(entity, code)
+    text, title, links = read_page(page) if "html" in kind else (page if kind.startswith("text/") else "", None, [])
+    shared = [("WARC-Target-URI", target), ("WARC-Date", date), ("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", date)]
+    about = {"warc": fields, "status": status, "http": http, "title": title, "links": links}
     meta_id, text_id = record_id(source, "metadata"), record_id(source, "conversion")
     block_m, block_t = json.dumps(about, ensure_ascii=False).encode("utf-8", "surrogatepass"), text.encode("utf-8", "surrogatepass")
     meta = write_record([("WARC-Type", "metadata"), ("WARC-Record-ID", meta_id), *shared, ("WARC-Source-Payload-Digest", stated or payload), ("Content-Type", "application/json")], block_m)
@@ -221,10 +225,9 @@ def _each_binary(df: DataFrame, column: str, fields: list, work) -> DataFrame:
     kept = [c for c in df.columns if c != column and c not in {n for n, _ in fields}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
-                rows = [work(v) for v in part.column(len(kept)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *(pa.array([r.get(n) for r in rows], t) for n, t in fields)], [*kept, *(n for n, _ in fields)])
+        for part in batches_by_bytes(batches, len(kept)):
+            rows = [work(v) for v in part.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *(pa.array([r.get(n) for r in rows], t) for n, t in fields)], [*kept, *(n for n, _ in fields)])
 
     ddl = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept] + [f"{n} {DDL[t]}" for n, t in fields])
     return df.select(*kept, column).mapInArrow(run, ddl)
@@ -234,29 +237,45 @@ def derivatives(records: DataFrame, column: str = "record") -> DataFrame:
     """``records`` without ``column`` (binary response records), with both derivative records and their fields.
 
     A null, damaged or other kind of record keeps its row, with nulls and the reason in ``error``. Repeated records give equal
-    derivatives, ids included. Other columns are kept unless they are named like an output.
+    derivatives, ids included; records of any length are derived whole; an empty table gives an empty table. Other columns are kept unless they are named like an output.
     """
     return _each_binary(records, column, FIELDS, derive)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """``path, record`` of the WARC files below ``path``, plain or gzipped."""
+    """``path, record, error`` of the WARC files below ``path``, plain or gzipped.
+
+    Records leave a task as they are read. A damaged file gives what comes before the damage and then a row without record that says
+    why in ``error``; an empty file gives no row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(name: str, part: list[bytes | None], error: str | None = None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), pa.array(part, pa.binary()), pa.array([error] * len(part), pa.string())], ["path", "record", "error"])
+
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                records = list(read_records(data))
-                for i in range(0, len(records), 256):
-                    part = records[i : i + 256]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), pa.array(part, pa.binary())], ["path", "record"])
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part, used = [], 0
+                try:
+                    for record in read_records(data.as_py()):
+                        part.append(record)
+                        used += len(record)
+                        if used >= BATCH_BYTES:
+                            yield rows(name, part)
+                            part, used = [], 0
+                    yield rows(name, part)
+                except (ValueError, OSError, EOFError, zlib.error) as e:
+                    yield rows(name, part)
+                    yield rows(name, [None], str(e))
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(run, "path string, record binary")
+    return files.mapInArrow(run, "path string, record binary, error string")
 
 
 def response_records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """``page_id, record``: a response record for each row of ``pages(page_id, url, html)``, with ids and digests that depend on
-    the row alone. A null page has an empty payload, a null address an empty target."""
+    the row alone. A null page has an empty payload, a null address an empty target; repeated rows give equal records; a page of any
+    length is one record; other columns are left out."""
 
     def build(page_id: str | None, url: str | None, html: str | None) -> bytes:
         body, url = (html or "").encode("utf-8", "surrogatepass"), url or ""
@@ -266,10 +285,9 @@ def response_records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> Da
         return write_record(headers, http + body)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                records = map(build, *(c.to_pylist() for c in part.columns[1:]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(records), pa.binary())], ["page_id", "record"])
+        for part in batches_by_bytes(batches, 3):
+            records = map(build, *(c.to_pylist() for c in part.columns[1:]))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(records), pa.binary())], ["page_id", "record"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
     return pages.select("page_id", F.col("page_id").cast("string").alias("name"), "url", "html").mapInArrow(run, f"page_id {kind}, record binary")
