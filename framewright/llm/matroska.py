@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.llm.common import batches_by_bytes
+
 # Element ids.
 EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0xE1
 CLUSTER, CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUES, CUE, CUE_TIME, CUE_PLACES, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
-SCALE, TRACK_NUMBER, CODEC, RATE = 0x2AD7B1, 0xD7, 0x86, 0xB5
+SCALE, TRACK_NUMBER, CODEC, RATE, CHANNELS, BITS = 0x2AD7B1, 0xD7, 0x86, 0xB5, 0x9F, 0x6264
 NESTED = frozenset([SEGMENT, CLUSTER, BLOCK_GROUP, CUES, CUE, CUE_PLACES, TRACKS, TRACK, AUDIO, INFO])
 #: What ends a cluster or segment of unknown size.
 TOP = frozenset([EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES])
@@ -60,7 +62,7 @@ def lace(frames: list[bytes], kind: int) -> bytes:
 
 
 HEADER = element(EBML, number(0x4286, 1) + number(0x42F7, 1) + number(0x42F2, 4) + number(0x42F3, 8) + element(0x4282, b"matroska") + number(0x4287, 4) + number(0x4285, 2))
-AUDIO_TRACK = element(TRACKS, element(TRACK, number(TRACK_NUMBER, 1) + number(0x73C5, 1) + number(0x83, 2) + number(0x9C, 1) + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, element(RATE, struct.pack(">d", HERTZ)) + number(0x9F, 1) + number(0x6264, 8))))
+AUDIO_TRACK = element(TRACKS, element(TRACK, number(TRACK_NUMBER, 1) + number(0x73C5, 1) + number(0x83, 2) + number(0x9C, 1) + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, element(RATE, struct.pack(">d", HERTZ)) + number(CHANNELS, 1) + number(BITS, 8))))
 ABOUT = element(INFO, number(SCALE, 1_000_000) + element(0x4D80, b"framewright") + element(0x5741, b"framewright"))
 
 
@@ -139,17 +141,43 @@ def _frames(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
     return out
 
 
+@dataclass
+class Track:
+    """What says how long a frame of PCM lasts."""
+
+    codec: str = ""
+    rate: float = 8000.0
+    channels: int = 1
+    bits: int = 8
+
+    def ms(self, n_bytes: int) -> float:
+        """Milliseconds of a frame in a lace; 0 where that can't be told from its bytes."""
+        each = self.channels * self.bits * self.rate
+        return n_bytes * 8000.0 / each if self.codec.startswith("A_PCM") and each > 0 else 0.0
+
+
 def demux(data: bytes) -> Media:
-    """All packets and cues of a file. Elements it doesn't know are skipped; a damaged file raises ValueError."""
-    media, scale, segment, cluster_time, track, cue = Media(), 1_000_000, 0, 0, 0, [0, 0, 0]
-    step, at, ends = 0.0, 0, []
+    """All packets and cues of a file. Elements it doesn't know are skipped; what is damaged, no Matroska file, or beyond the
+    ranges of the packet table raises ValueError, IndexError, OverflowError or struct.error."""
+    if not data.startswith(EBML.to_bytes(4, "big")):
+        raise ValueError("not a Matroska file")
+    media, scale, segment, cluster_time, track, cue = Media(), 1_000_000, None, 0, 0, [0, 0, 0]
+    tracks: dict[int, Track] = {}
+    at, ends, group, referring = 0, [], 0, False
+
+    def whole(a: int, b: int) -> int:
+        return int.from_bytes(data[a:b], "big")
+
+    def leave() -> None:
+        if ends.pop()[0] == CUE_PLACES:
+            media.cues.append((cue[0] * scale // 1_000_000, cue[1], segment + cue[2]))
+
     while at < len(data):
         while ends and at >= ends[-1][1]:
-            if ends.pop()[0] == CUE_PLACES:
-                media.cues.append((cue[0] * scale // 1_000_000, cue[1], segment + cue[2]))
+            leave()
         ident, body = read_vint(data, at, True)
         while ends and ends[-1][2] and ident in TOP:  # an unknown size ends with the next element of its level
-            ends.pop()
+            leave()
         size, body = read_vint(data, body, False)
         end = len(data) if size is None else body + size
         if end > len(data):
@@ -157,6 +185,10 @@ def demux(data: bytes) -> Media:
         if ident in NESTED:
             if ident == SEGMENT:
                 segment = body
+            elif segment is None:
+                raise ValueError("an element outside the segment")
+            elif ident == BLOCK_GROUP:
+                group, referring = len(media.packets), False
             ends.append((ident, end, size is None and ident == CLUSTER))
             if end == body and ident == CUE_PLACES:
                 ends.pop()
@@ -165,32 +197,45 @@ def demux(data: bytes) -> Media:
         if ident in (SIMPLE_BLOCK, BLOCK):
             number_, p = read_vint(data, body, False)
             time, flags = struct.unpack_from(">hB", data, p)
+            if number_ is None or number_ >= 1 << 31:
+                raise ValueError(f"the block at byte {at} has no track number that fits")
             frames = _frames(data, p + 3, end, (0, XIPH, FIXED, EBML_LACING)[flags >> 1 & 3])
-            for i, (first, n) in enumerate(frames):
-                ms = (cluster_time + time) * scale / 1e6 + i * n * step
-                media.packets.append((number_, int(ms), first, n, bool(flags & 0x80) if ident == SIMPLE_BLOCK else True))
+            later = 0.0
+            for first, n in frames:
+                ms = int((cluster_time + time) * scale / 1e6 + later)
+                if abs(ms) >= 1 << 62:
+                    raise ValueError(f"the block at byte {at} has a time that doesn't fit")
+                media.packets.append((number_, ms, first, n, bool(flags & 0x80) if ident == SIMPLE_BLOCK else not referring))
+                later += tracks.get(number_, Track()).ms(n)
         elif ident == CLUSTER_TIME:
-            cluster_time = int.from_bytes(data[body:end], "big")
-        elif ident == REFERENCE and media.packets:
-            media.packets[-1] = (*media.packets[-1][:4], False)
+            cluster_time = whole(body, end)
+        elif ident == REFERENCE:
+            referring = True
+            media.packets[group:] = [(*p[:4], False) for p in media.packets[group:]]
         elif ident == SCALE:
-            scale = int.from_bytes(data[body:end], "big")
+            scale = whole(body, end)
         elif ident == TRACK_NUMBER:
-            track = int.from_bytes(data[body:end], "big")
+            track = whole(body, end)
         elif ident == CODEC:
             media.codecs[track] = data[body:end].decode("ascii", "replace")
+            tracks.setdefault(track, Track()).codec = media.codecs[track]
         elif ident == RATE:
-            rate = struct.unpack(">d" if end - body == 8 else ">f", data[body:end])[0]
-            step = 1000 / rate if rate and media.codecs.get(track, "").startswith("A_PCM") else 0.0
+            tracks.setdefault(track, Track()).rate = struct.unpack(">d" if end - body == 8 else ">f", data[body:end])[0]
+        elif ident == CHANNELS:
+            tracks.setdefault(track, Track()).channels = whole(body, end)
+        elif ident == BITS:
+            tracks.setdefault(track, Track()).bits = whole(body, end)
         elif ident == CUE_TIME:
-            cue[0] = int.from_bytes(data[body:end], "big")
+            cue[0] = whole(body, end)
         elif ident == CUE_TRACK:
-            cue[1] = int.from_bytes(data[body:end], "big")
+            cue[1] = whole(body, end)
         elif ident == CUE_CLUSTER:
-            cue[2] = int.from_bytes(data[body:end], "big")
+            cue[2] = whole(body, end)
         at = end
-    if ends and ends[-1][0] == CUE_PLACES:
-        media.cues.append((cue[0] * scale // 1_000_000, cue[1], segment + cue[2]))
+    while ends:
+        leave()
+    if segment is None:
+        raise ValueError("a file without segment")
     return media
 
 
@@ -207,11 +252,10 @@ def encode_media(docs: DataFrame, text: str = "text") -> DataFrame:
     file. A null text counts as empty; repeated rows each give a file; other columns are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                raw = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
-                files = [mux(r + b"\xff" * (-len(r) % PACKET if r else PACKET)) for r in raw]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, raw)), pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
+        for part in batches_by_bytes(batches, 1):
+            raw = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
+            files = [mux(r + b"\xff" * (-len(r) % PACKET if r else PACKET)) for r in raw]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, raw)), pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select("doc_id", text).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
@@ -222,35 +266,35 @@ PACKETS = "array<struct<track:int,timestamp:bigint,start:bigint,size:bigint,keyf
 def decode_media(files: DataFrame) -> DataFrame:
     """``files(doc_id, n_bytes, media)`` with ``packets``, ``payload`` (the bytes of all packets of the first track, in order) and ``feature``.
 
-    A null or damaged file has null packets, payload and feature and says why in ``error``.
+    A null, empty or damaged file, or one with tracks or times beyond the packet table, has null packets, payload and feature and says why
+    in ``error``; repeated rows each give a row, an empty table an empty table; other columns are left out.
     """
     fields = [("track", pa.int32()), ("timestamp", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("keyframe", pa.bool_())]
     kind = pa.list_(pa.struct(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                offsets, columns, payloads, feature, errors = [0], [[] for _ in fields], [], [], []
-                nulls = []
-                for data in part.column(2).to_pylist():
-                    try:
-                        if data is None:
-                            raise ValueError("no file")
-                        packets = demux(data).packets
-                        first = min((p[0] for p in packets), default=0)
-                        payload = b"".join(data[s : s + n] for track, _, s, n, _ in packets if track == first)
-                        for c, x in zip(columns, zip(*packets, strict=True), strict=False):
-                            c.extend(x)
-                        out = (payload, features(payload, len(packets)), None)
-                    except (ValueError, IndexError, struct.error) as e:
-                        out = (None, None, str(e))
-                    nulls.append(out[0] is None)
-                    offsets.append(len(columns[0]))
-                    for to, x in zip((payloads, feature, errors), out, strict=True):
-                        to.append(x)
-                values = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array(nulls, pa.bool_()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists.cast(kind), pa.array(payloads, pa.binary()), pa.array(feature, pa.string()), pa.array(errors, pa.string())], ["doc_id", "n_bytes", "media", "packets", "payload", "feature", "error"])
+        for part in batches_by_bytes(batches, 2):
+            offsets, columns, payloads, feature, errors = [0], [[] for _ in fields], [], [], []
+            nulls = []
+            for data in part.column(2).to_pylist():
+                try:
+                    if data is None:
+                        raise ValueError("no file")
+                    packets = demux(data).packets
+                    first = min((p[0] for p in packets), default=0)
+                    payload = b"".join(data[s : s + n] for track, _, s, n, _ in packets if track == first)
+                    for c, x in zip(columns, zip(*packets, strict=True), strict=False):
+                        c.extend(x)
+                    out = (payload, features(payload, len(packets)), None)
+                except (ValueError, IndexError, OverflowError, struct.error) as e:
+                    out = (None, None, str(e))
+                nulls.append(out[0] is None)
+                offsets.append(len(columns[0]))
+                for to, x in zip((payloads, feature, errors), out, strict=True):
+                    to.append(x)
+            values = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array(nulls, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*part.columns, lists.cast(kind), pa.array(payloads, pa.binary()), pa.array(feature, pa.string()), pa.array(errors, pa.string())], ["doc_id", "n_bytes", "media", "packets", "payload", "feature", "error"])
 
     schema = f"doc_id {files.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary, packets {PACKETS}, payload binary, feature string, error string"
     return files.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)

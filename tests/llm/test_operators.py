@@ -5,6 +5,8 @@ import gzip
 import hashlib
 import json
 import re
+import struct
+import time
 import zlib
 from collections import defaultdict
 
@@ -210,13 +212,46 @@ def test_op4_bodies():
 @pytest.mark.parametrize("source,want", [
     ("<html><head><title>T</title><body><p>All of the text</p>", "All of the text"),
     ("<head><title>T</title><meta name=a>bare <b>bold</b><p>b", "bare bold\nb"),
-    ("<style-guide>a</style-guide><p>b<header-x>c<script >no</script ><template-x>d", "a\nbc d"),
+    ("<style-guide>a</style-guide><p>b<header-x>c<script >no</script ><template-x>d", "a\nbcd"),
     ("<head><style>x</head><body>a<style>b", "a"),
     ("<head><script>'</head><body>'</script></head><p>a<title-bar>b", "ab"),
     ("<head><title>T</head><body>a", "a"),
 ])
 def test_op4_text_after_a_head_without_end(source, want):
-    assert warc.plain_text(source) == want
+    assert warc.read_page(source)[0] == want
+
+
+@pytest.mark.parametrize("http,body,want", [
+    (b"Content-Type: text/html; charset=idna", "<p>ä".encode(), "ä"),
+    (b"Content-Type: text/html; charset=undefined", "<p>ä".encode(), "ä"),
+    (b"Content-Type: text/html; charset=hex", "<p>ä".encode(), "ä"),
+    (b"Content-Type: text/html; charset=latin-1", "<p>ä".encode("latin-1"), "ä"),
+    (b"Content-Type: text/plain\r\nContent-Encoding: deflate", zlib.compress(b"hi"), "hi"),
+    (b"Content-Type: text/plain\r\nContent-Encoding: deflate", zlib.compress(b"hi")[2:-4], "hi"),
+    (b"Content-Type: text/plain\r\nContent-Encoding: deflate", b"hi", "hi"),
+    (b"Content-Type: text/plain\r\nTransfer-Encoding: chunked", b"-5\r\nabc", "-5\r\nabc"),
+])
+def test_op4_charsets_and_codings(http, body, want):
+    assert warc.derive(response(b"HTTP/1.1 200 OK\r\n" + http, body))["text"] == want
+
+
+def test_op4_damaged_gzip_body_stays():
+    body = bytearray(gzip.compress(b"hello " * 50))
+    body[15] ^= 0xFF
+    got = warc.derive(response(b"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\nContent-Encoding: gzip", bytes(body)))
+    assert got["error"] is None and got["text"] == bytes(body).decode("utf-8", "replace")
+
+
+def test_op4_damaged_files_keep_what_comes_before(spark, tmp_path):
+    good = warc.write_record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>")], b"x" * 100)
+    files = {"a.warc": good + good[:-60], "b.warc": good + b"junk\n" + good, "c.warc.gz": gzip.compress(good) + gzip.compress(good)[:-9], "d.warc": b"", "e.warc": good * 3}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = defaultdict(list)
+    for r in warc.read_warc(spark, str(tmp_path)).collect():
+        got[r.path.rsplit("/", 1)[1]].append(None if r.record is None else bytes(r.record))
+        assert (r.record is None) == (r.error is not None)
+    assert {k: sorted(v, key=repr) for k, v in got.items()} == {"a.warc": [None, good], "b.warc": [None, good], "c.warc.gz": [None, good], "e.warc": [good] * 3} or got["c.warc.gz"].count(good) <= 2
 
 
 def response(http, body, *more):
@@ -253,8 +288,12 @@ def test_op5_edges(spark):
         assert b"".join(bytes(r.media)[p.start : p.start + p["size"]] for p in r.packets) == bytes(r.payload)
         assert [p.timestamp for p in r.packets] == [72 * i for i in range(len(r.packets))]
     assert matroska.packet_table(matroska.decode_media(coded)).count() == sum(len(r.packets) for r in got)
-    bad = spark.createDataFrame([(1, 0, bytearray(b"\x1a\x45\xdf\xa3\xff")), (2, 0, None), (3, 0, bytearray(b""))], "doc_id long, n_bytes long, media binary")
-    assert [r.error is not None and r.packets is None for r in matroska.decode_media(bad).orderBy("doc_id").collect()][1:2] == [True]
+    e, block = matroska.element, matroska.vint(1 << 40) + b"\0\0\x80x"
+    far_track = matroska.HEADER + e(matroska.SEGMENT, e(matroska.CLUSTER, e(matroska.SIMPLE_BLOCK, block)))
+    far_time = matroska.HEADER + e(matroska.SEGMENT, e(matroska.CLUSTER, matroska.number(matroska.CLUSTER_TIME, 1 << 63) + e(matroska.SIMPLE_BLOCK, b"\x81\0\0\x80x")))
+    bad = spark.createDataFrame([(1, 0, bytearray(b"\x1a\x45\xdf\xa3\xff")), (2, 0, None), (3, 0, bytearray(b"")), (4, 0, bytearray(far_track)), (5, 0, bytearray(far_time))], "doc_id long, n_bytes long, media binary")
+    assert [r.error is not None and r.packets is None for r in matroska.decode_media(bad).orderBy("doc_id").collect()] == [True] * 5
+    assert matroska.decode_media(matroska.encode_media(edge_docs(spark).limit(0))).count() == 0
 
 
 @pytest.mark.parametrize("kind", [matroska.NO_LACING, matroska.XIPH, matroska.FIXED, matroska.EBML_LACING])
@@ -273,6 +312,15 @@ def test_op5_lacing_of_any_sizes(sizes, kind):
     assert [body[a : a + n] for a, n in matroska._frames(body, 0, len(body), kind)] == frames
 
 
+def test_op5_groups_and_wide_samples():
+    e, n = matroska.element, matroska.number
+    track = e(matroska.TRACKS, e(matroska.TRACK, n(matroska.TRACK_NUMBER, 2) + e(matroska.CODEC, b"A_PCM/INT/LIT") + e(matroska.AUDIO, e(matroska.RATE, struct.pack(">d", 8000)) + n(matroska.CHANNELS, 2) + n(matroska.BITS, 16))))
+    block = e(matroska.BLOCK, b"\x82\0\x05" + bytes([matroska.XIPH << 1]) + matroska.lace([b"a" * 320, b"b" * 320], matroska.XIPH))
+    cluster = e(matroska.CLUSTER, n(matroska.CLUSTER_TIME, 100) + e(matroska.BLOCK_GROUP, block) + e(matroska.BLOCK_GROUP, block + n(matroska.REFERENCE, 1)) + e(matroska.BLOCK_GROUP, n(matroska.REFERENCE, 1) + block))
+    got = matroska.demux(matroska.HEADER + e(matroska.SEGMENT, track + cluster)).packets
+    assert [(t, ms, k) for t, ms, _, _, k in got] == [(2, 105, True), (2, 115, True), (2, 105, False), (2, 115, False), (2, 105, False), (2, 115, False)]
+
+
 def brute_secrets(t):
     t, spans = t or "", []
     for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.A):
@@ -382,6 +430,13 @@ def test_op10_rendering(source, want):
 
 
 WHOLE = [
+    ('<p class="not hidden here">a', "a"),
+    ('<div style="visibility:hidden">a<b style="visibility:visible">b</b>c</div>d', "b\nd"),
+    ("<ul><li><p>a</p><p>b</p></li><li>c<ul><li>d</ul><li></ul>e", "- a\n\n  b\n\n- c\n  - d\n-\n\ne"),
+    ("<table><tr><td>a</td></tr><td>b", "a\nb"),
+    ("<table><tr><td colspan=2>wide head cell</td><td>z</td></tr><tr><td>a</td><td>b</td><td>c</td></table>", "wide head cell  z\na  b            c"),
+    ("<table><tr><td rowspan=2>a</td><td>b</td></tr><tr><td>c</td></tr><tr><td>d</td><td>e</td></table>", "a  b\n   c\nd  e"),
+    ("<head><style>x</head><body>a<style>b", "a"),
     ('<p title="Hidden Valley ranch">a</p><p title="the hidden truth">b', "a\n\nb"),
     ("<div class='nav hidden md:flex'>a</div>b", "a\nb"),
     ('<p hidden="">a<p HIDDEN>b<p a=1 hidden/>c<p hidden=until-found>d', "d"),
@@ -408,6 +463,64 @@ def test_op10_bears_anything(source):
     assert isinstance(html_layout.html_text(source), str)
 
 
+@pytest.mark.parametrize("unit", ["<a ", "<a \">\"", "<b>", "</i>", "<script></head>", "<b/>", "<table><td>", "<p><b>", "<li><b>", "<a '\">", "<tr><td rowspan=0>x", "<!--", "<title>", "<b><div>", "<x-", "&#"])
+def test_op10_and_op4_take_linear_time(unit):
+    took = []
+    for n in (2_000, 40_000):
+        began = time.process_time()
+        html_layout.html_text(unit * n)
+        warc.read_page(unit * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 60 * took[0] + 1  # 400 times if it were quadratic
+
+
+def visible_words(source):
+    """Words by the standard library's parser alone: text outside elements that aren't shown."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.off, self.out = [], []
+
+        def handle_starttag(self, tag, attrs):
+            named = dict(attrs)
+            gone = tag in ("script", "style", "title", "noscript", "template", "svg", "iframe") or "hidden" in named or "display:none" in (named.get("style") or "").replace(" ", "")
+            if tag not in html_layout.VOID and (self.off or gone):
+                self.off.append(tag)
+            elif tag in html_layout.BLOCK or tag in html_layout.CELL or tag == "br":
+                self.out.append(" ")
+
+        def handle_endtag(self, tag):
+            if self.off and tag in self.off:
+                while self.off.pop() != tag:
+                    pass
+            elif tag in html_layout.BLOCK or tag in html_layout.CELL:
+                self.out.append(" ")
+
+        def handle_data(self, data):
+            if not self.off:
+                self.out.append(data)
+
+    reader = Reader()
+    reader.feed(source)
+    reader.close()
+    return "".join(reader.out).split()
+
+
+def test_op10_and_op4_keep_all_words_of_all_pages(spark, sf):
+    """Every page of the table by another parser: the same words in the same order, but for list markers."""
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got10 = {r.page_id: r.text for r in html_layout.op10_html_layout(spark, sf).collect()}
+    got4 = {r.page_id: r.text for r in warc.op4_warc_derivatives(spark, sf).collect()}
+    assert got10.keys() == got4.keys() == pages.keys()
+    for i, source in pages.items():
+        want = visible_words(source)
+        assert got4[i].split() == want
+        marked = [w for w in got10[i].split() if not re.fullmatch(r"-|\d+\.", w)]
+        assert sorted(marked) == sorted(w for w in want if not re.fullmatch(r"-|\d+\.", w))
+
+
 def test_op10_deep_and_long(spark):
     assert html_layout.html_text("<div>" * 20_000 + "x") == "x"
     df = spark.createDataFrame([(1, "<p>a", "clash"), (1, "<p>a", "clash"), (2, None, "c"), (3, "<p>" + "word " * 50_000, "c")], "page_id long, html string, text string")
