@@ -1,14 +1,14 @@
 """Exact top-k search by inner product over KD-trees, one for each shard.
 
-Rows are dealt to shards by a hash; each shard is a KD-tree of median splits with tight bounding boxes. A query goes to one
-shard first; its kth score there is carried to all other shards. In a tree nodes are visited in the order of the largest inner
-product that their box allows, until no box can beat the kth best so far.
+Rows are dealt to shards by coarse cells of space, so that shards have tight boxes; a cell that holds more is dealt on by a hash. Each
+shard is a KD-tree of median splits with tight bounding boxes. A query goes to its own shard first; its kth score there is carried
+to the other shards, and those whose root box can't beat it are left out before anything is moved. In a tree, bounds go down from
+the root, a query keeps only nodes that may beat its kth best, and its leaves are visited in the order of the largest inner product
+that their boxes allow until none can; queries that visit the same leaf are scored together.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,13 +17,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from framewright.llm.common import stored
+from framewright.llm.common import discard, small, stored
 
 LEAF = 256
 #: Rows of a shard and queries of a block, about.
 SHARD_ROWS, BLOCK_QUERIES = 8192, 4096
+#: Vectors of a length that are sampled to cut space into cells, and lengths that are cut so, the most frequent ones; vectors of other
+#: lengths are dealt by a hash alone.
+SAMPLE_VECTORS, CUT_LENGTHS = 8192, 16
 #: Beyond this magnitude sums of products might not be exact in doubles.
 EXACT = 2.0**52
+#: Bounds of shards, in doubles, are loosened by this share of their terms, so that rounding drops nothing.
+SLACK = 1e-9
 #: The largest magnitude of a component; a vector beyond it takes no part.
 LARGEST = 2**62
 
@@ -73,38 +78,48 @@ def build(ids: np.ndarray, rows: np.ndarray, leaf: int = LEAF) -> Tree:
     return t
 
 
-def search(tree: Tree, qid: np.ndarray, queries: np.ndarray, k: int, bound: np.ndarray, bound_id: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def search(tree: Tree, qid: np.ndarray, queries: np.ndarray, k: int, bound: np.ndarray, bound_id: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """For each query ``(position, scores, ids)`` of at most ``k`` rows that come before ``(bound, bound_id)`` in the order of larger
     score, then smaller id. Rows with the query's id take no part."""
-    if not len(tree.ids):
-        return
+    if not len(tree.ids) or not len(qid):
+        return []
     low, high = np.array(tree.low), np.array(tree.high)
     top = max(float(np.abs(x).max(initial=0)) for x in (low, high)) * float(np.abs(queries).max(initial=0)) * max(1, queries.shape[1])
-    as_ = np.float64 if top < EXACT else object if top >= LARGEST else np.int64
+    as_ = np.float64 if top < EXACT else object
     q, rows = queries.astype(as_), tree.rows.astype(as_)
     best = np.maximum(q, 0) @ high.astype(as_).T + np.minimum(q, 0) @ low.astype(as_).T  # the most that each box allows
-    for i in range(len(q)):
-        limit, scores, ids = (bound[i], bound_id[i]), np.zeros(0, dtype=as_), np.zeros(0, dtype=np.int64)
-        heap = [(-best[i, 0], tree.least_id[0], 0)]
-        while heap:
-            most, least, n = heapq.heappop(heap)
-            if (most, least) > (-limit[0], limit[1]):
-                break
-            if (c := tree.child[n]) >= 0:
-                for m in (c, c + 1):
-                    if (-best[i, m], tree.least_id[m]) <= (-limit[0], limit[1]):
-                        heapq.heappush(heap, (-best[i, m], tree.least_id[m], m))
-                continue
+    limit, last = bound.astype(as_), bound_id.astype(np.int64)
+    scores, ids = [np.zeros(0, dtype=as_) for _ in q], [np.zeros(0, dtype=np.int64) for _ in q]
+
+    least = np.array(tree.least_id)
+    may = (best > limit[:, None]) | (best == limit[:, None]) & (least <= last[:, None])
+    for i, c in enumerate(tree.child):  # parents come before their children
+        if c >= 0:
+            may[:, c : c + 2] &= may[:, i : i + 1]
+    leaves = np.flatnonzero(np.array(tree.child) < 0)
+    order = np.argsort(-best[:, leaves].astype(np.float64), axis=1, kind="stable")
+    active = np.arange(len(q))
+    for turn in range(len(leaves)):
+        leaf = leaves[order[active, turn]]
+        beats = best[active, leaf] >= limit[active]
+        if as_ is np.float64:  # exact: the bounds of the leaves that follow are no larger
+            active, leaf, beats = active[beats], leaf[beats], beats[beats]
+        if not len(active):
+            break
+        going = may[active, leaf] & beats.astype(bool)
+        for n in np.unique(leaf[going]).tolist():
+            who = active[(leaf == n) & going]
             a, b = tree.first[n], tree.last[n]
-            s, d = rows[a:b] @ q[i], tree.ids[a:b]
-            ok = ((s > limit[0]) | (s == limit[0]) & (d <= limit[1])) & (d != qid[i])
-            if ok.any():
-                scores, ids = np.concatenate([scores, s[ok]]), np.concatenate([ids, d[ok]])
-                o = np.lexsort((ids, -scores))[:k]
-                scores, ids = scores[o], ids[o]
-                if len(scores) == k:
-                    limit = (scores[-1], ids[-1])
-        yield i, scores, ids
+            s, d = q[who] @ rows[a:b].T, tree.ids[a:b]
+            ok = ((s > limit[who, None]) | (s == limit[who, None]) & (d <= last[who, None])) & (d != qid[who, None])
+            for j in np.flatnonzero(ok.any(axis=1)).tolist():
+                i = who[j]
+                all_s, all_d = np.concatenate([scores[i], s[j][ok[j]]]), np.concatenate([ids[i], d[ok[j]]])
+                o = np.lexsort((all_d, -all_s))[:k]
+                scores[i], ids[i] = all_s[o], all_d[o]
+                if len(o) == k:
+                    limit[i], last[i] = scores[i][-1], ids[i][-1]
+    return [(i, scores[i], ids[i]) for i in range(len(q)) if len(ids[i])]
 
 
 def _searched(queries: DataFrame, shards: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -118,13 +133,56 @@ def _searched(queries: DataFrame, shards: DataFrame, keys: list[str], k: int) ->
             vectors = np.stack([np.asarray(v, dtype=np.int64) for v in left["q"]])
             bound = [-float("inf") if b is None or b != b else int(b) for b in left["bound"]]
             last = [np.iinfo(np.int64).max if b is None or b != b else int(b) for b in left["bound_id"]]
-            for i, scores, ids in search(tree, qid, vectors, k, np.array(bound, dtype=object), np.array(last, dtype=object)):
+            for i, scores, ids in search(tree, qid, vectors, k, np.array(bound, dtype=object), np.array(last, dtype=np.int64)):
                 out.append(pd.DataFrame({"query_id": qid[i], "vec_id": ids, "score": scores.astype(np.int64)}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
 
     return queries.groupBy(*keys).cogroup(shards.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score long")
 
 
+def cuts_of(sample: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """Median splits of a sample as a heap of axes and thresholds, with ``cells`` (a power of two) leaves."""
+    axis, at, parts = np.zeros(cells - 1, dtype=np.int64), np.zeros(cells - 1, dtype=np.int64), {0: sample}
+    for i in range(cells - 1):
+        part = parts.pop(i)
+        if len(part):
+            axis[i] = int((part.max(axis=0).astype(np.float64) - part.min(axis=0)).argmax())
+            at[i] = np.sort(part[:, axis[i]])[len(part) // 2]
+        side = part[:, axis[i]] < at[i]
+        parts[2 * i + 1], parts[2 * i + 2] = part[side], part[~side]
+    return axis, at
+
+
+def _cells(sized: DataFrame, totals: DataFrame, shard_rows: int) -> DataFrame:
+    """``sized(vec_id, v, dim)`` with the ``cell`` of each vector, by cuts through a bounded sample of each frequent length."""
+    large = totals.where((F.col("n") > shard_rows) & (F.col("dim") > 0)).orderBy(F.desc("n")).limit(CUT_LENGTHS)
+    cuts = {}
+    for r in large.collect():
+        share = min(1.0, 1.2 * SAMPLE_VECTORS / r["n"])
+        rows = sized.where((F.col("dim") == r["dim"]) & (F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
+        sample = np.array([x["v"] for x in rows.select("v").limit(SAMPLE_VECTORS).collect()], dtype=np.int64).reshape(-1, r["dim"])
+        cells = 1 << max(0, int(np.ceil(np.log2(r["n"] / shard_rows))))
+        cuts[r["dim"]] = cuts_of(sample, min(cells, 1 << 10))
+    shared = sized.sparkSession.sparkContext.broadcast(cuts)
+
+    @F.pandas_udf("int")
+    def cell(vectors: pd.Series) -> pd.Series:
+        out = np.zeros(len(vectors), dtype=np.int32)
+        lengths = vectors.map(len).to_numpy()
+        for dim, (axis, at) in shared.value.items():
+            mine = np.flatnonzero(lengths == dim)
+            if len(mine) and len(axis):
+                x, i = np.stack([np.asarray(v, dtype=np.int64) for v in vectors.iloc[mine]]), np.zeros(len(mine), dtype=np.int64)
+                while i.min() < len(axis):
+                    go = i < len(axis)
+                    j = i[go]
+                    i[go] = 2 * j + 1 + (x[go, axis[j]] >= at[j])
+                out[mine] = i - len(axis)
+        return pd.Series(out)
+
+    return sized.withColumn("cell", cell("v"))
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -140,24 +198,44 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, shard_rows: int = SHARD_
     """
     sized = stored(vectors.select("vec_id", "v", F.size("v").alias("dim")))
     totals = stored(sized.groupBy("dim").agg(F.count("*").alias("n"), F.sum(is_query.cast("int")).alias("nq")))
-    plan = totals.select("dim", F.ceil(F.col("n") / shard_rows).cast("int").alias("shards"), F.greatest(F.lit(1), F.ceil(F.col("nq") / block).cast("int")).alias("blocks"))
-    plan = F.broadcast(plan) if totals.count() <= 10_000 else plan
-    dealt = sized.join(plan, "dim")
-    shard = F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int")
-    queries = dealt.where(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "dim", "shards", "blocks")).alias("s")).select(F.col("vec_id").alias("query_id"), "s.*")
-    queries = queries.select("query_id", F.col("v").alias("q"), "dim", "shards", F.pmod(F.xxhash64("query_id"), F.col("shards")).cast("int").alias("home"), F.pmod(F.xxhash64("query_id", F.lit(1)), F.col("blocks")).cast("int").alias("block"))
+    celled = stored(_cells(sized, totals, shard_rows))
+    plan = totals.select("dim", F.greatest(F.lit(1), F.ceil(F.col("nq") / block).cast("int")).alias("blocks"))
+    counts = celled.groupBy("dim", "cell").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts"))
+    before = F.sum("parts").over(W.partitionBy("dim").orderBy("cell")) - F.col("parts")
+    shards = F.sum("parts").over(W.partitionBy("dim"))
+    plan = stored(counts.select("dim", "cell", "parts", before.cast("int").alias("first"), shards.cast("int").alias("shards")).join(F.broadcast(plan), "dim"))
+    dealt = celled.join(small(plan), ["dim", "cell"]).withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int"))
+    dealt = stored(dealt.select("vec_id", "v", "dim", "shard", "shards", "blocks"))
+    discard(sized, totals, celled, plan)
+
+    ends = dealt.select("dim", "shard", F.posexplode("v").alias("i", "x")).groupBy("dim", "shard", "i").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    boxes = stored(ends.groupBy("dim", "shard").agg(F.array_sort(F.collect_list(F.struct("i", "low", "high"))).alias("box")))
+    queries = dealt.where(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "dim", "shard", "shards", "blocks")).alias("s")).select(F.col("vec_id").alias("query_id"), "s.*")
+    queries = stored(queries.select("query_id", F.col("v").alias("q"), "dim", "shards", F.col("shard").alias("home"), F.pmod(F.xxhash64("query_id", F.lit(1)), F.col("blocks")).cast("int").alias("block")))
     nothing = F.lit(None).cast("long")
-    copies = dealt.select("vec_id", "v", "dim", shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    copies = dealt.select("vec_id", "v", "dim", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
 
     keys = ["dim", "shard", "block"]
     at_home = queries.select("query_id", "q", "dim", F.col("home").alias("shard"), "block", nothing.alias("bound"), nothing.alias("bound_id"))
     first = stored(_best(_searched(at_home, copies, keys, k), k))
-    kth = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"), F.col("vec_id").alias("bound_id"))
-    away = queries.join(kth, "query_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).where("shard <> home")
+    kth = stored(first.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"), F.col("vec_id").alias("bound_id")))
+    away = queries.join(small(kth), "query_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).where("shard <> home")
+    away = away.join(small(boxes), ["dim", "shard"], "left").where(F.col("bound").isNull() | F.col("box").isNull() | (_most(F.col("q"), F.col("box")) >= F.col("bound")))
     rest = _searched(away.select("query_id", "q", *keys, "bound", "bound_id"), copies, keys, k)
     return _best(first.drop("rank").unionByName(rest), k).select("query_id", "rank", "vec_id", "score")
 
 
+def _most(q: Column, box: Column) -> Column:
+    """The largest inner product that a box of ``i, low, high`` allows, a little more for rounding."""
+
+    def add(sums: Column, x: Column) -> Column:
+        a, b = x["q"].cast("double") * x["b"]["low"], x["q"].cast("double") * x["b"]["high"]
+        return F.struct((sums["most"] + F.greatest(a, b)).alias("most"), (sums["size"] + F.greatest(F.abs(a), F.abs(b))).alias("size"))
+
+    nothing = F.struct(F.lit(0.0).alias("most"), F.lit(0.0).alias("size"))
+    return F.aggregate(F.arrays_zip(q.alias("q"), box.alias("b")), nothing, add, lambda s: s["most"] + s["size"] * SLACK)
+
+
 def scaled_vectors(embeddings: DataFrame) -> DataFrame:
     """``vec_id, v`` with each component x as floor(64 * x). Vectors that are null, hold nulls or numbers that aren't finite, or
     leave the range of a long, are dropped, as are rows without ``vec_id``."""

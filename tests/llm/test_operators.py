@@ -40,12 +40,30 @@ def test_op1_tree_search(n, d, k, seed, size):
     rows, ids = rng.integers(-size, size, (n, d)), rng.permutation(n)
     q = rng.integers(-size, size, (3, d))
     tree = topk.build(ids, rows, leaf=8)
-    free = np.array([-float("inf")] * 3, dtype=object), np.array([2**62] * 3, dtype=object)
-    for i, scores, found in topk.search(tree, np.array([0, 1, n + 5]), q, k, *free):
+    free = np.array([-float("inf")] * 3, dtype=object), np.array([2**62] * 3)
+    got = {i: (scores, found) for i, scores, found in topk.search(tree, np.array([0, 1, n + 5]), q, k, *free)}
+    for i in range(3):
+        scores, found = got.get(i, ([], []))
         exact = sorted(((-sum(int(x) * int(y) for x, y in zip(rows[j], q[i])), int(ids[j])) for j in range(n) if ids[j] != [0, 1, n + 5][i]))[:k]
         assert [(-int(s), int(j)) for s, j in zip(scores, found)] == exact
 
 
+@pytest.mark.parametrize("spread", [1, 3, 200])
+def test_op1_matches_brute_force_in_clusters(spark, spread):
+    """Many ties, repeated vectors in a third of the rows, cells cut through clusters, several shards and blocks."""
+    rng = np.random.default_rng(spread)
+    v = rng.integers(-spread, spread + 1, (900, 5)) + 40 * rng.integers(-1, 2, (900, 1)) * np.array([1, 0, 0, 1, 0])
+    v[::3] = v[0]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<long>").repartition(4)
+    got = defaultdict(list)
+    for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 7, shard_rows=64, block=16).collect():
+        got[r.query_id].append((r.rank, -r.score, r.vec_id))
+    scores = v @ v.T
+    for i in range(0, 900, 20):
+        want = sorted((-int(scores[i, j]), j) for j in range(900) if j != i)[:7]
+        assert [x[1:] for x in sorted(got[i])] == want and [x[0] for x in sorted(got[i])] == list(range(1, 8))
+
+
 def test_op2_accuracy_and_edges(spark, sf):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(docs)
