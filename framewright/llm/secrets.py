@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from framewright.llm.common import stored
+from framewright.functions import let
+from framewright.llm.common import fresh, stored
 
 # The kinds of strong spans in their order, and the patterns.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -24,14 +25,32 @@ KINDS = ("assign", "access", "hex", "secret", "endpoint")
 #: Code points on either side of an access identifier in which its other parts are looked for.
 SCOPE = 400
 
+#: Matches or spans of one text that are folded together. Appending to an array copies it, so folds are short and many.
+BLOCK = 256
+
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
+def _blocks(items: Column) -> Column:
+    """An array that isn't empty as an array of arrays of ``BLOCK`` items."""
+    return let(items, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK)), lambda i: F.slice(x, (i * BLOCK + 1).cast("int"), BLOCK)))
+
+
+def _running(blocks: Column, add) -> Column:
+    """What ``add(sum, item)`` gives, from 0 on, before each block and after the last."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, block: Column) -> Column:
+        return F.struct(F.aggregate(block, acc["at"], add).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    return F.aggregate(blocks, start, step, lambda acc: F.concat(acc["out"], F.array(acc["at"])))
+
+
 def _spans(text: Column, pattern: str, kind: int, keep: Column | None = None) -> Column:
-    """Leftmost matches that don't overlap, as spans in code points, null if there are none.
+    """Leftmost matches that don't overlap, as spans in code points.
 
     Splitting by the pattern gives the gaps between matches, so running lengths of gaps and matches give positions.
-    ``keep``: lengths by match that must not be null, zipped with the matches.
+    ``keep``: by match, whether it counts.
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
@@ -45,8 +64,13 @@ def _spans(text: Column, pattern: str, kind: int, keep: Column | None = None) ->
         span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(x["k"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    folded = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), nothing.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(F.rlike(text, F.lit(pattern)), folded).otherwise(nothing)
+    def of(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), nothing.alias("spans")), step, lambda acc: acc["spans"])
+
+    def placed(blocks: Column) -> Column:
+        return let(_running(blocks, lambda a, x: a + x["g"] + x["m"]), lambda at: F.flatten(F.transform(blocks, lambda b, i: of(b, F.element_at(at, i + 1)))))
+
+    return F.when(F.rlike(text, F.lit(pattern)), let(_blocks(zipped), placed)).otherwise(nothing)
 
 
 def _strong(text: Column) -> Column:
@@ -74,9 +98,12 @@ def scan_secrets(docs: DataFrame, text: str = "text", scope: int = SCOPE, keep_t
     """``docs`` with ``base_spans`` (kinds 0 to 2) and ``all_spans``, arrays of ``start, kind, end`` in order.
 
     Positions are code points, the end is exclusive; ``kind`` indexes ``KINDS``. A null text counts as empty and has no spans. Repeated
-    rows are scanned by themselves. A linked span may overlap others, but doesn't lie within one of ``base_spans``. Without ``keep_text`` the texts are left out and only spans are stored. Other columns are kept; ``base_spans`` and ``all_spans`` are replaced.
+    rows are scanned by themselves; a text of any length is scanned whole; an empty table gives an empty table. A linked span may overlap
+    others, but doesn't lie within one of ``base_spans``. Without ``keep_text`` the texts are left out and only spans are stored. Other
+    columns are kept; ``base_spans`` and ``all_spans`` are replaced.
     """
-    docs = docs.drop("base_spans", "all_spans", "_row", "_weak")
+    docs = docs.drop("base_spans", "all_spans")
+    row, weak_, linked_ = fresh("_row", docs), fresh("_weak", docs), fresh("_linked", docs)
     whole = F.coalesce(F.col(text), F.lit(""))
     nothing = F.array().cast(SPANS)
     scanned = docs.withColumn("base_spans", F.array_sort(_strong(whole)))
@@ -84,12 +111,12 @@ def scan_secrets(docs: DataFrame, text: str = "text", scope: int = SCOPE, keep_t
     bare = F.filter(_spans(whole, SECRET, 3), lambda s: s["end"] - s["start"] == 40)
     inside = lambda w: F.exists("base_spans", lambda s: (s["start"] <= w["start"]) & (w["end"] <= s["end"]))
     weak = F.filter(F.concat(bare, _spans(whole, ENDPOINT, 4)), lambda w: ~inside(w))
-    scanned = scanned.withColumn("_weak", F.when(has_id, weak).otherwise(nothing)).withColumn("_row", F.monotonically_increasing_id())
+    scanned = scanned.withColumn(weak_, F.when(has_id, weak).otherwise(nothing)).withColumn(row, F.monotonically_increasing_id())
     kept = stored(scanned if keep_text else scanned.drop(text))  # row numbers are fixed from here on
-    linked = link_parts(kept.where("size(_weak) > 0").select("_row", F.inline(F.concat("base_spans", "_weak"))), scope)
-    linked = stored(linked.groupBy("_row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("_linked")))
-    every = F.array_sort(F.concat("base_spans", F.coalesce("_linked", nothing)))
-    return kept.join(linked, "_row", "left").select(*[c for c in docs.columns if keep_text or c != text], "base_spans", every.alias("all_spans"))
+    linked = link_parts(kept.where(F.size(weak_) > 0).select(F.col(row).alias("_row"), F.inline(F.concat("base_spans", weak_))), scope)
+    linked = stored(linked.groupBy(F.col("_row").alias(row)).agg(F.collect_list(F.struct("start", "kind", "end")).alias(linked_)))
+    every = F.array_sort(F.concat("base_spans", F.coalesce(linked_, nothing)))
+    return kept.join(linked, row, "left").select(*[c for c in docs.columns if keep_text or c != text], "base_spans", every.alias("all_spans"))
 
 
 def span_text(spans: Column) -> Column:
@@ -99,16 +126,26 @@ def span_text(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
-    """``text`` with each run of overlapping spans replaced by ``mark``."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    """``text`` with each run of overlapping spans (in order of their starts) replaced by ``mark``."""
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"]).alias("out"))
+        gap = F.substring(acc["text"], acc["at"] - acc["first"] + 1, s["start"] - acc["at"])
+        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"])
+        return F.struct(acc["first"].alias("first"), acc["text"].alias("text"), F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+    def of(block: Column, first: Column, last: Column) -> Column:
+        part = F.substring(text, first + 1, last - first)
+        start = F.struct(first.alias("first"), part.alias("text"), first.alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(block, start, step, lambda acc: F.array_join(acc["out"], ""))
+
+    def marked(blocks: Column) -> Column:
+        def joined(at: Column) -> Column:
+            parts = F.transform(blocks, lambda b, i: of(b, F.element_at(at, i + 1), F.element_at(at, i + 2)))
+            return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(at, -1) + 1, F.length(text)))
+
+        return let(_running(blocks, lambda a, s: F.greatest(a, s["end"])), joined)
 
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))))
-    return F.when(F.size(spans) > 0, F.array_join(done, "")).otherwise(text)
+    return F.when(F.size(spans) > 0, let(_blocks(spans), marked)).otherwise(text)
 
 
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
