@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -20,6 +21,8 @@ from framewright.functions import frame_indices, l2_normalize, noise_profile_len
 from framewright.operators.pooling import weighted_mean_pool
 from framewright.sources.backends import Backend
 
+#: Rows of vectors that leave a Python task at once.
+OUT_ROWS = 64
 EMBEDDING = "video_id string, modality string, dim int, vec array<float>, status string, error string"
 
 
@@ -48,17 +51,21 @@ def _each(media: DataFrame, backend: Backend, work: Callable[[pd.Series], dict],
     """``work`` on each row of ``media`` by a backend that each task opens once; columns that it leaves out are null."""
     columns = StructType.fromDDL(schema).names
 
+    def one(row: pd.Series) -> dict:
+        try:
+            out = {"status": "ok", "error": None} | work(row)
+        except Exception as e:
+            if strict:
+                raise
+            out = {"status": "error", "error": f"{type(e).__name__}: {e}"}
+        return dict.fromkeys(columns) | {"video_id": row.video_id} | out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend.open()
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                try:
-                    out = {"status": "ok", "error": None} | work(row)
-                except Exception as e:
-                    if strict:
-                        raise
-                    out = {"status": "error", "error": f"{type(e).__name__}: {e}"}
-                yield pd.DataFrame([dict.fromkeys(columns) | {"video_id": row.video_id} | out])
+            rows = map(one, pdf.itertuples(index=False))
+            while part := list(islice(rows, OUT_ROWS)):
+                yield pd.DataFrame(part, columns=columns)
 
     return media.mapInPandas(run, schema)
 
@@ -132,20 +139,37 @@ def _audio_pass(media: DataFrame, backend: Backend, config: AudioConfig, strict:
 def audio_embeddings(media: DataFrame, backend: Backend, audio: AudioConfig = AudioConfig(), text: TextConfig = TextConfig(), strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(embeddings, transcripts)`` of the text, speech and background modalities from one decode of each file.
 
-    The decoded pass is checkpointed where a checkpoint folder is set, so the three branches share it. Speech is the
-    frame-weighted mean over chunks, L2-normalised; background is the plain mean and is not normalised; an empty transcript
+    The decoded pass is checkpointed, so the three branches share it; without a checkpoint folder this raises rather than decode each
+    file again for each branch. A text that its encoder fails on gets a status of its own. Speech is the frame-weighted mean over chunks, L2-normalised; background is the plain mean and is not normalised; an empty transcript
     gets zeros without a call to the encoder.
     """
-    one = _audio_pass(media, backend, audio, strict)
-    if media.sparkSession.sparkContext.getCheckpointDir():
-        one = one.checkpoint()
+    context = media.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not (folder := context.getConf().get("spark.checkpoint.dir")):
+            raise RuntimeError("set a checkpoint folder that all executors share: one decode serves three modalities")
+        context.setCheckpointDir(folder)
+    one = _audio_pass(media, backend, audio, strict).checkpoint()
 
     transcripts = one.select("video_id", unicode_strip(F.col("text")).alias("text"), "status", "error")
 
+    def vectors(texts: list[str]) -> list[list[float]]:
+        return [np.asarray(v, dtype=np.float64).tolist() for v in backend.encode_text(texts)]
+
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend.open()
         for pdf in batches:
-            yield pd.DataFrame({"video_id": pdf["video_id"], "enc": [np.asarray(v, dtype=np.float64).tolist() for v in backend.encode_text(pdf["text"].tolist())], "status": pdf["status"], "error": pdf["error"]})
+            try:
+                found = [(v, "ok", None) for v in vectors(pdf["text"].tolist())]
+            except Exception:
+                if strict:
+                    raise
+                found = []
+                for t in pdf["text"]:  # one by one, to tell which fail
+                    try:
+                        found.append((vectors([t])[0], "ok", None))
+                    except Exception as e:
+                        found.append((None, "error", f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame({"video_id": pdf["video_id"].tolist()} | dict(zip(("enc", "status", "error"), map(list, zip(*found, strict=True)), strict=True)) if found else {c: [] for c in ("video_id", "enc", "status", "error")})
 
     spoken = transcripts.where((F.col("text") != "") & (F.col("status") == "ok")).mapInPandas(encode, "video_id string, enc array<double>, status string, error string")
     blank = transcripts.where((F.col("text") == "") | (F.col("status") != "ok"))
@@ -169,3 +193,10 @@ def embed_media(media: DataFrame, backend: Backend, strict: bool = False) -> Dat
 def profile_lengths(counts: DataFrame, n: str) -> DataFrame:
     """``counts`` with the noise-profile length of each row."""
     return counts.withColumn("n_profile", noise_profile_length(F.col(n)))
+
+
+def observed(embeddings: DataFrame, into: Observation) -> DataFrame:
+    """``embeddings`` as they are; ``into`` gets the counts of rows by outcome and the vectors' extent as the rows pass by, without a pass
+    of its own."""
+    ok = F.col("status") == "ok"
+    return embeddings.observe(into, F.count("*").alias("rows"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"), F.min("dim").alias("least_dim"), F.max("dim").alias("most_dim"))

@@ -93,10 +93,27 @@ def transcript_strip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def zero_fallback(spark: SparkSession, d: str) -> DataFrame:
-    docs = read_table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 10 != 0, F.col("text")).alias("text"))
-    text = unicode_strip(docs["text"])
-    length = F.array(F.length(text).cast("double"), F.lit(1.0))
-    return _long(docs.select("doc_id", F.when(text == "", F.slice(zero_vector(384), 1, 2)).otherwise(l2_normalize(length)).alias("v")), "doc_id", F.col("v"), 5)
+    """All 384 values of every document; only labelled ones have a transcript, the others get zeros."""
+    labels = read_table(spark, d, "labels").select("doc_id").distinct().withColumn("heard", F.lit(True))
+    docs = read_table(spark, d, "documents").select("doc_id", "text").join(labels, "doc_id", "left")
+    text = unicode_strip(F.when(F.col("heard"), F.col("text")))
+    encoded = F.transform(F.sequence(F.lit(1), F.lit(384)), lambda i: (F.length(text) + i).cast("double"))
+    return _long(docs.select("doc_id", F.when(text == "", zero_vector(384)).otherwise(l2_normalize(encoded)).alias("v")), "doc_id", F.col("v"), 5)
+
+
+def frame_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Frames that each pool saw: by user over events, whatever their number."""
+    frames = read_table(spark, d, "events").select("user_id", F.array(F.col("value")).alias("vec"))
+    return mean_pool(frames, ["user_id"]).select("user_id", F.col("n_frames").cast("bigint").alias("n_frames"))
+
+
+def zero_frame_guard(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as tracks whose returned lines are time steps: one without any has no vector and says so."""
+    back = (F.col("l_returnflag") == "R").cast("bigint")
+    states = read_table(spark, d, "lineitem").select("l_orderkey", F.array(F.col("l_quantity") * back).alias("sum_vec"), back.alias("n_frames"))
+    pooled = weighted_mean_pool(states, ["l_orderkey"])
+    status = F.when(F.col("n_frames") > 0, "ok").otherwise("no_frames")
+    return pooled.select("l_orderkey", "n_frames", F.round(F.col("vec")[0], 6).alias("value"), status.alias("status"))
 
 
 def seconds_label_query(spark: SparkSession, d: str) -> DataFrame:
@@ -119,6 +136,8 @@ QUERIES = {
     "transcript_preview": transcript_preview,
     "transcript_strip": transcript_strip,
     "zero_fallback": zero_fallback,
+    "frame_counts": frame_counts,
+    "zero_frame_guard": zero_frame_guard,
     "seconds_label": seconds_label_query,
 }
 
@@ -169,8 +188,14 @@ ORACLES = {
     "transcript_preview": "SELECT doc_id, left(text, 120) || CASE WHEN length(text) > 120 THEN '...' ELSE '' END AS preview FROM documents",
     "transcript_strip": "SELECT doc_id, trim(chr(9) || text || chr(160), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)) AS text FROM documents",
     "zero_fallback": f"""
-      WITH s AS (SELECT doc_id, [CAST(length(text) AS DOUBLE), 1.0::DOUBLE] AS v FROM documents WHERE doc_id % 10 <> 0 AND text <> ''),
-      u AS (SELECT doc_id, {_UNIT} AS v FROM s UNION ALL SELECT doc_id, [0::FLOAT, 0::FLOAT] FROM documents WHERE doc_id % 10 = 0 OR text IS NULL OR text = '')
+      WITH t AS (SELECT doc_id, length(text) AS n, doc_id IN (SELECT doc_id FROM labels) AND text <> '' AS heard FROM documents),
+      s AS (SELECT doc_id, list_transform(range(1, 385), lambda i: CAST(n + i AS DOUBLE)) AS v FROM t WHERE heard),
+      u AS (SELECT doc_id, {_UNIT} AS v FROM s UNION ALL SELECT doc_id, list_transform(range(1, 385), lambda i: 0::FLOAT) FROM t WHERE heard IS NOT TRUE)
       {_LONG.format(key="doc_id", places=5)}""",
+    "frame_counts": "SELECT user_id, count(value) AS n_frames FROM events GROUP BY 1",
+    "zero_frame_guard": """
+      SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS n_frames, round(sum(l_quantity) FILTER (l_returnflag = 'R') / count(*) FILTER (l_returnflag = 'R'), 6) AS value,
+             CASE WHEN count(*) FILTER (l_returnflag = 'R') > 0 THEN 'ok' ELSE 'no_frames' END AS status
+      FROM lineitem GROUP BY 1""",
     "seconds_label": "SELECT doc_id, printf('%.2f', n_chars / 16000.0::DOUBLE) AS seconds FROM documents",
 }

@@ -7,7 +7,7 @@ from stub_backend import StubBackend
 
 from framewright.operators import mean_pool, weighted_mean_pool
 from framewright.operators.pooling import chunk_sums
-from framewright.plans.modalities import TextConfig, audio_embeddings, embed_media, video_embeddings
+from framewright.plans.modalities import TextConfig, audio_embeddings, embed_media, observed, video_embeddings
 from framewright.sources import MissingBackend, export_npy, list_media, require, write_embeddings, write_transcripts
 from framewright.streaming import embed_stream, media_stream
 
@@ -63,8 +63,8 @@ def test_stream_and_listing(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name in ("x_500.mp4", "y_900.mp4"):
         (tmp_path / "in" / name).write_bytes(b"0")
-    assert {r.video_id for r in list_media(spark, str(tmp_path / "in")).collect()} == {"x_500", "y_900"}
-    stream = media_stream(spark, str(tmp_path / "in")).withColumn("path", F.col("video_id"))
+    assert {r.video_id for r in list_media(spark, str(tmp_path / "in"), unique=False).collect()} == {"x_500", "y_900"}
+    stream = media_stream(spark, str(tmp_path / "in"), unique=False).withColumn("path", F.col("video_id"))
     q = embed_stream(stream, lambda df: video_embeddings(df, StubBackend()), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert q.awaitTermination(90)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
@@ -73,3 +73,35 @@ def test_stream_and_listing(spark, tmp_path):
 def test_missing_library():
     with pytest.raises(MissingBackend, match="no_such_library"):
         require("no_such_library")
+
+
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    for name in ("a/x.mp4", "b/x.mp4", "a/x.mov"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"0")
+    got = [r.video_id for r in list_media(spark, str(tmp_path)).collect()]
+    assert len(set(got)) == 3 and all(v.startswith("x-") for v in got)
+
+
+class FailsOnSomeTexts(StubBackend):
+    def encode_text(self, texts):
+        if any("1000" in t for t in texts):
+            raise ValueError("no such words")
+        return super().encode_text(texts)
+
+
+def test_one_bad_text_fails_alone(spark):
+    df = media(spark, ["a_1000", "b_1002", "c_1004"])
+    got = {r.video_id: r for r in audio_embeddings(df, FailsOnSomeTexts())[0].where("modality = 'text'").collect()}
+    assert got["a_1000"].status == "error" and "no such words" in got["a_1000"].error and got["a_1000"].vec is None
+    assert got["b_1002"].status == got["c_1004"].status == "ok" and got["b_1002"].dim == 4
+    with pytest.raises(Exception, match="no such words"):
+        audio_embeddings(df, FailsOnSomeTexts(), strict=True)[0].collect()
+
+
+def test_observed_counts(spark):
+    from pyspark.sql import Observation
+
+    into = Observation()
+    n = observed(video_embeddings(media(spark, ["a_40", "bad_9"]), StubBackend()), into).collect()
+    assert len(n) == 2 and into.get == {"rows": 2, "ok": 1, "failed": 1, "least_dim": 4, "most_dim": 4}
