@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import small, stored
+from framewright.llm.common import fresh, small, stored
 
 #: Bytes of context.
 ORDER = 3
@@ -216,7 +216,7 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, entries: int = BLOCK_ENTRIES
     About ``rows`` texts of each language are seen, chosen by a hash of the id, whole. All languages and all that is counted in
     these texts are kept. A block has at most ``languages`` languages and ``entries`` entries; a language beyond that is alone.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    labelled = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     totals = stored(labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(rows)) / F.count("*")).alias("_share")))
     chosen = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < F.col("_share") * (1 << 30)
     sampled = labelled.where(F.col("text").isNotNull()).join(small(totals), "lang").where(chosen)
@@ -249,9 +249,12 @@ def identify(docs: DataFrame, trained: Trained, text: str = "text") -> DataFrame
     """``docs`` with ``lang_pred``, ``score`` and ``bits_per_byte`` of every whole text.
 
     ``score`` is the posterior of the predicted language given equal priors; ties go to the first language by code point. A text
-    that is null or has no letter is ``und`` with score 0, as is every text if there are no languages. Other columns are kept.
+    that is null or has no letter is ``und`` with score 0, as is every text if there are no languages. Equal texts, and repeated rows, get
+    equal results; texts of any length are scored whole. Other columns are kept but those named as an output; an empty table gives an
+    empty table.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "bits_per_byte", "_p", "_row")]
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "bits_per_byte")]
+    found, row, all_, sum_of = (fresh(x, docs) for x in ("_p", "_row", "_all", "_weight"))
 
     def scores(block: int) -> tuple[Column, Broadcast]:
         shared = docs.sparkSession.sparkContext.broadcast(trained.model(block))
@@ -269,17 +272,17 @@ def identify(docs: DataFrame, trained: Trained, text: str = "text") -> DataFrame
     if not trained.blocks:
         return docs.select(*kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
     if len(trained.blocks) == 1:
-        return named(docs.select(*kept, scores(0)[0].alias("_p")), *[F.col(f"_p.{x}") for x in ("bits", "lang", "weight", "n")])
-    rows = stored(docs.select(*kept, *[c for c in (text,) if c not in kept]).withColumn("_row", F.monotonically_increasing_id()))
+        return named(docs.select(*kept, scores(0)[0].alias(found)), *[F.col(f"{found}.{x}") for x in ("bits", "lang", "weight", "n")])
+    rows = stored(docs.select(*kept, *[c for c in (text,) if c not in kept]).withColumn(row, F.monotonically_increasing_id()))
     parts = []
     for block in range(len(trained.blocks)):
         predict, shared = scores(block)
-        parts.append(stored(rows.select("_row", predict.alias("_p"))))
+        parts.append(stored(rows.select(row, predict.alias(found))))
         shared.destroy()
-    every = reduce(DataFrame.unionByName, parts).groupBy("_row").agg(F.collect_list("_p").alias("_all")).withColumn("_p", F.array_min("_all"))
-    weight = F.aggregate("_all", F.lit(0.0), lambda sum_, x: sum_ + x["weight"] * F.pow(F.lit(2.0), -F.least(x["bits"] - F.col("_p.bits"), F.lit(1000.0))))
-    best = every.select("_row", "_p", weight.alias("_weight"))
-    return named(rows.join(best, "_row"), F.col("_p.bits"), F.col("_p.lang"), F.col("_weight"), F.col("_p.n"))
+    every = reduce(DataFrame.unionByName, parts).groupBy(row).agg(F.collect_list(found).alias(all_)).withColumn(found, F.array_min(all_))
+    weight = F.aggregate(all_, F.lit(0.0), lambda sum_, x: sum_ + x["weight"] * F.pow(F.lit(2.0), -F.least(x["bits"] - F.col(f"{found}.bits"), F.lit(1000.0))))
+    best = every.select(row, found, weight.alias(sum_of))
+    return named(rows.join(best, row), F.col(f"{found}.bits"), F.col(f"{found}.lang"), F.col(sum_of), F.col(f"{found}.n"))
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from framewright.llm.common import stored, word_count
+from framewright.llm.common import fresh, small, stored, word_count
 
 #: Hexadecimal digits of the key that name its range: 4096 ranges for each source.
 RANGE_DIGITS = 3
@@ -23,7 +23,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: in
     """Targets of ``source, source_size`` rows: shares by repeating ``weights`` in code point order (null last), at most
     ``cap`` times a source's size, the excess shared again by weight among the others.
 
-    Sorted by cap over weight, the capped sources come first, so running sums give the level in closed form.
+    Sorted by cap over weight, the capped sources come first, so running sums give the level in closed form. These sums run over one
+    small row for each source, in one task.
     """
     order = F.coalesce(F.encode("source", "UTF-8"), F.lit(b"")).alias("_o")  # bytes of UTF-8 sort by code point
     ranked = sizes.withColumn("_i", F.row_number().over(W.orderBy(F.col("source").isNull(), order)) - 1)
@@ -54,10 +55,11 @@ def mix_sources(docs: DataFrame, size: str = "size", weights: Sequence[int] = (1
     proportion to their sizes, rounded down. Null sources are one source; a row of size 0 or null takes 0; an empty table
     gives an empty table. Columns of ``docs`` are kept; ``source_size``, ``target`` and ``taken`` are replaced.
     """
-    docs = docs.drop("source_size", "target", "taken", "_key")
+    docs = docs.drop("source_size", "target", "taken")
+    key, of = fresh("_key", docs), fresh("_plan", docs)
     id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    keyed = docs.withColumn("_key", F.concat(F.md5(F.concat(F.lit(seed), F.lit(":"), id_text)), F.lit(":"), id_text))
-    slim = stored(keyed.select("source", F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("_size"), "_key"))
+    keyed = docs.withColumn(key, F.concat(F.md5(F.concat(F.lit(seed), F.lit(":"), id_text)), F.lit(":"), id_text))
+    slim = stored(keyed.select("source", F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("_size"), F.col(key).alias("_key")))
     ranges = stored(slim.groupBy("source", F.left("_key", F.lit(RANGE_DIGITS)).alias("_range")).agg(F.sum("_size").alias("_sum")))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, cap)
     budget = F.floor("target").cast("bigint")
@@ -68,17 +70,18 @@ def mix_sources(docs: DataFrame, size: str = "size", weights: Sequence[int] = (1
     before = F.coalesce(F.sum("_sum").over(W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranged = ranges.withColumn("_before", before).join(targets.select(F.col("source").alias("_s"), "_left"), F.col("source").eqNullSafe(F.col("_s")))
     cuts = stored(ranged.where((F.col("_before") <= F.col("_left")) & (F.col("_left") < F.col("_before") + F.col("_sum"))).select("_s", "_range", "_before", "_left"))
-    in_cut = slim.where(F.col("_size") > 0).join(F.broadcast(cuts) if cuts.count() <= 100_000 else cuts, F.col("source").eqNullSafe(F.col("_s")) & (F.left("_key", F.lit(RANGE_DIGITS)) == F.col("_range")))
+    in_cut = slim.where(F.col("_size") > 0).join(small(cuts), F.col("source").eqNullSafe(F.col("_s")) & (F.left("_key", F.lit(RANGE_DIGITS)) == F.col("_range")))
     tied = in_cut.groupBy("_s", "_key", "_before", "_left").agg(F.sum("_size").alias("_tied"))
     running = F.col("_before") + F.sum("_tied").over(W.partitionBy("_s").orderBy("_key").rowsBetween(W.unboundedPreceding, 0)) - F.col("_tied")
     at = tied.withColumn("_at", running).where((F.col("_at") <= F.col("_left")) & (F.col("_left") < F.col("_at") + F.col("_tied")))
     at = at.select("_s", F.col("_key").alias("_cut"), (F.col("_left") - F.col("_at")).alias("_rest"), "_tied")
     plan = stored(targets.withColumnRenamed("source", "_t").join(at, F.col("_t").eqNullSafe(F.col("_s")), "left").drop("_s"))
 
-    planned = keyed.join(F.broadcast(plan) if plan.count() <= 100_000 else plan, F.col("source").eqNullSafe(F.col("_t")))
+    planned = keyed.join(small(plan.select(F.struct("*").alias(of))), F.col("source").eqNullSafe(F.col(f"{of}._t")))
     n = F.coalesce(F.col(size), F.lit(0)).cast("bigint")
-    extra = F.when(F.col("_key") < F.col("_cut"), n).when(F.col("_key") == F.col("_cut"), F.floor(F.col("_rest") * n / F.col("_tied")).cast("bigint")).otherwise(0)
-    return planned.select(*docs.columns, "source_size", "target", (n * F.col("_epochs") + extra).alias("taken"))
+    at_cut = F.floor(F.col(f"{of}._rest") * n / F.col(f"{of}._tied")).cast("bigint")
+    extra = F.when(F.col(key) < F.col(f"{of}._cut"), n).when(F.col(key) == F.col(f"{of}._cut"), at_cut).otherwise(0)
+    return planned.select(*docs.columns, f"{of}.source_size", f"{of}.target", (n * F.col(f"{of}._epochs") + extra).alias("taken"))
 
 
 def op9_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -56,3 +56,47 @@ def test_near_duplicates_match_brute_force(spark, sf):
     kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
     assert kept == plain_near_duplicates(rows)
     assert kept.count((9002, other)) == 1 and kept.count((9001, near)) == 1 and kept.count((9004, "")) == 2 and (None, third + " x") not in kept
+
+
+CLASHES = ["_row", "_first", "_gone", "_n", "_p", "_weak", "_linked", "base_spans", "all_spans", "_size", "_copy", "copy", "size", "taken", "target", "_key", "_plan", "_salt", "_rank", "sequence_id", "doc", "lang_pred", "score", "_d", "_k", "v", "w", "n", "key", "few", "component_id"]
+
+
+def test_stages_bear_clashing_columns(spark, sf):
+    """Every stage gives the same rows with columns that are named like its own."""
+    docs = stored(edge_docs(spark))
+    odd = stored(edge_docs(spark, CLASHES))
+    for name, stage in corpus_pipeline.STAGES:
+        plain, more = stage(spark, docs, sf), stage(spark, odd, sf)
+        if name == "packing":
+            assert more.columns == plain.columns and more.count() == plain.count()
+            continue
+        assert more.columns == odd.columns
+        assert sorted(map(repr, more.select(docs.columns).collect())) == sorted(map(repr, plain.collect()))
+        assert {r[c] for r in more.collect() for c in CLASHES} <= {"clash"}
+
+
+def test_run_is_its_stages(spark, sf):
+    """The whole of ``run``: pieces of what is left, gapless, cut only beyond a sequence, and the ids of the tokenizer."""
+    import struct
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    from framewright.llm.packing import tokenizer_path
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf))
+    tok, want = Tokenizer.from_file(tokenizer_path()), defaultdict(int)
+    for r in docs.collect():
+        ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, 1]
+        for p in range(0, len(ids), 4096):
+            part = ids[p : p + 4096]
+            want[r.doc_id, p // 4096, p, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part))] += 1
+    got, places = defaultdict(int), defaultdict(list)
+    for r in corpus_pipeline.run(spark, sf).collect():
+        got[r.doc_id, r.piece, r.start, r.length, r.ids_crc32] += 1
+        places[r.sequence_id].append((r.offset, r.length))
+    assert got == want
+    for s in places.values():
+        assert [o for o, _ in sorted(s)] == [sum(n for _, n in sorted(s)[:i]) for i in range(len(s))] and sum(n for _, n in s) <= 4096
