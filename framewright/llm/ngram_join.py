@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 
 from framewright.llm.common import discard, small, stored
 from framewright.llm.components import components
-from framewright.llm.wordhash import Memo, final_name, mix, names, shared_names, text_blocks, words_of
+from framewright.llm.wordhash import final_name, mix, names, shared_names, text_blocks, words_of
 
 #: Links: 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 4, 85
@@ -57,9 +57,9 @@ def bands(percent: int) -> list[Band]:
     return out
 
 
-def ngram_sets(texts: list[str | None], words: int, memo: Memo) -> list[np.ndarray]:
+def ngram_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's n-grams; a text with fewer words gives one for all its words, one without words none."""
-    h, first = words_of(texts, True, memo)
+    h, first = words_of(texts, True)
     grams, out = _grams(h, words), []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         out.append(np.unique(grams[a : b - words + 1] if b - a >= words else _grams(h[a:b], max(1, b - a))))
@@ -100,13 +100,13 @@ def _rows(docs: DataFrame, text: str, words: int, what: str, schema: str, percen
     keys), ``bits`` (set name, size, bitmap) or ``grams`` (set name, sorted set). ``twice``: first names that different sets share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen = Memo(), set()
+        seen = set()
         plan = bands(percent)
         bottoms = np.array([b.bottom for b in plan])
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in text_blocks(texts):
-                sets = ngram_sets(texts[a:b], words, memo)
+                sets = ngram_sets(texts[a:b], words)
                 both = [names(s) for s in sets]
                 if what == "ids":
                     v, w = (pa.array(x, pa.int64()) for x in zip(*both, strict=True))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from framewright.llm.common import discard, fresh, small, stored
-from framewright.llm.wordhash import LOW, Memo, Spans, final_name, mix, names, shared_names, text_blocks, words_of
+from framewright.llm.wordhash import LOW, Spans, final_name, mix, names, shared_names, text_blocks, words_of
 
 WINDOW, NODE = 50, 16
 
@@ -49,11 +49,11 @@ def _graphs(docs: DataFrame, text: str, window: int, node: int) -> DataFrame:
     """``doc_id, n, v, w, pos, node, edge``: words and names of each row's text; the graph's rows once for each task and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen = Memo(), set()
+        seen = set()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in text_blocks(texts):
-                h, first = words_of(texts[a:b], False, memo)
+                h, first = words_of(texts[a:b], False)
                 named, counts, cuts, parts = [], [], [0], [[], [], []]
                 for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                     named.append(names(h[i:j]))
@@ -83,11 +83,10 @@ def _windows(docs: DataFrame, text: str, window: int, node: int, twice: frozense
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in text_blocks(texts):
-                h, first = words_of(texts[a:b], False, memo)
+                h, first = words_of(texts[a:b], False)
                 for r in range(a, b):
                     x = h[first[r - a] : first[r - a + 1]]
                     v, w = names(x)
@@ -131,21 +130,21 @@ def repeated_ranges(docs: DataFrame, text: str = "text", window: int = WINDOW, n
     following = F.concat(F.slice("node", 2, F.size("node")), F.array(F.lit(0).cast("long")))
     edges = graphs.where(F.size("node") > 0).select("v", F.inline(F.arrays_zip("pos", "node", "edge", following.alias("next"))))
     shared = stored(edges.groupBy("node").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a < b").select("node"))
-    edges = stored(edges.join(small(shared), "node").select("v", "pos", "node", "edge", "next"))
+    edges = stored(edges.join(shared, "node").select("v", "pos", "node", "edge", "next"))
     nodes = stored(edges.groupBy("node").agg(F.count("*").alias("c")))
     uses = stored(edges.where("edge <> 0").groupBy("edge").agg(F.count("*").alias("e")))
-    counted = edges.join(small(nodes), "node").join(small(uses), "edge", "left").join(small(nodes).select(F.col("node").alias("next"), F.col("c").alias("d")), "next", "left")
+    counted = edges.join(nodes, "node").join(uses, "edge", "left").join(nodes.select(F.col("node").alias("next"), F.col("c").alias("d")), "next", "left")
     linked = F.coalesce((F.col("c") == F.col("e")) & (F.col("c") == F.col("d")), F.lit(False))
     paths = counted.groupBy("v").agg(F.array_sort(F.collect_set(F.struct("pos", linked.alias("linked")))).alias("path"))
-    paths = stored(paths.join(small(classes.select("v", F.col("low").alias("_low"))), "v"))
+    paths = stored(paths.join(classes.select("v", F.col("low").alias("_low")), "v"))
     discard(shared, edges, nodes, uses)
 
-    few = small(stored(paths.select("_low").distinct()))
+    few = stored(paths.select("_low").distinct())
     wanted = docs.select("doc_id", text).join(few, F.col("doc_id") == F.col("_low"), "left_semi")
-    met = wanted.join(small(paths), F.col("doc_id") == F.col("_low")).select("doc_id", text, "v", "path")
+    met = wanted.join(paths, F.col("doc_id") == F.col("_low")).select("doc_id", text, "v", "path")
     windows = stored(_windows(met, text, window, node, twice))
     lows = stored(windows.groupBy("w", "x").agg(F.min("doc_id").alias("l"), F.max("doc_id").alias("m")).where("l < m").select("w", "x", "l"))
-    found = windows.join(small(lows), ["w", "x"]).where("l < doc_id").select("doc_id", "v", "start", "end").distinct()
+    found = windows.join(lows, ["w", "x"]).where("l < doc_id").select("doc_id", "v", "start", "end").distinct()
     # neighbouring starts become one range
     order = W.partitionBy("doc_id", "v").orderBy("start")
     reach = F.coalesce(F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(-9))
@@ -175,12 +174,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, no
 
     @F.pandas_udf("n_words long, n_removed long, kept_text string")
     def cut(texts: pd.Series, plans: pd.Series) -> pd.DataFrame:
-        memo, out = Memo(), []
+        out = []
         for t, ways in zip(texts, plans, strict=True):
             words = t.encode("utf-8", "surrogatepass").split() if isinstance(t, str) else []
             n = len(words)
             if ways is not None and n >= window:
-                v, w = names(words_of([t], False, memo)[0])
+                v, w = names(words_of([t], False)[0])
                 for way in ways:
                     if way["v"] == (w if v in twice else v):
                         keep = np.ones(n, dtype=bool)

@@ -1,8 +1,8 @@
 """Words of texts as arrays of 64-bit hashes, and names of sequences and sets of them.
 
-A word is a run of bytes other than space and 0x09 to 0x0D, which in UTF-8 never occur inside a character. A word's hash is XXH3 of its
-bytes, so it has no structure that texts could hit by their form; sequences are hashed by mixing halves, which isn't linear either.
-Where equality decides, names of 126 bits are compared.
+A word is a run of bytes other than space and 0x09 to 0x0D, which in UTF-8 never occur inside a character. Words of a block are hashed at
+once, eight bytes after eight, by mixing, which isn't linear, so no form of texts makes words collide; sequences are hashed by
+mixing halves. Where equality decides, names of 126 bits are compared.
 """
 
 from __future__ import annotations
@@ -17,10 +17,14 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once, about; a longer text is split into words in pieces of this size.
 BLOCK = 1 << 20
-#: Words that a task remembers, and the bytes of the longest of them.
-MEMO_WORDS, MEMO_BYTES = 300_000, 40
+#: Bytes of words that are hashed together; a longer word is hashed by itself.
+LONG_WORD = 256
 LOW = (1 << 63) - 1
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
+IS_SPACE = np.zeros(256, dtype=bool)
+IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: The first n of eight bytes.
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,20 +38,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Memo(dict):
-    """Hashes of words, remembered while they are short and few."""
-
-    def __init__(self, seed: int = 0) -> None:
-        super().__init__()
-        self.seed = seed
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word, self.seed)
-        if len(word) <= MEMO_BYTES:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[word] = h
-        return h
+def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of ``data`` in order, and where they start."""
+    padded = b" " + data + b" " * 8
+    space = IS_SPACE[np.frombuffer(padded, dtype=np.uint8)]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, left = edge[::2], edge[1::2] - edge[::2]
+    eight = np.ndarray(len(padded) - 7, dtype="<u8", buffer=padded, strides=(1,))
+    h = left.astype(np.uint64)
+    for i in np.flatnonzero(left > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(padded[starts[i] : starts[i] + left[i]])
+    which = np.flatnonzero(left <= LONG_WORD)
+    at, left = starts[which], left[which]
+    while len(which):
+        h[which] = mix(h[which] * np.uint64(3) + (eight[at] & FIRST_BYTES[np.minimum(left, 8)]))
+        more = left > 8
+        which, at, left = which[more], at[more] + 8, left[more] - 8
+    return h, starts - 1
 
 
 def pieces(data: bytes) -> Iterator[bytes]:
@@ -61,18 +68,17 @@ def pieces(data: bytes) -> Iterator[bytes]:
     yield data[at:]
 
 
-def words_of(texts: list[str | None], lower: bool, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
+def words_of(texts: list[str | None], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """``(hashes, first)``: hashes of all words of all texts in order, and for each text where its words begin, one more at the end.
     ``lower`` changes A-Z alone."""
-    parts, first = [np.zeros(0, dtype=np.uint64)], [0]
-    for t in texts:
-        raw, n = (t or "").encode("utf-8", "surrogatepass"), 0
-        for piece in pieces(raw.lower() if lower else raw):
-            words = piece.split()
-            parts.append(np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words)))
-            n += len(words)
-        first.append(first[-1] + n)
-    return np.concatenate(parts), np.array(first)
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    if lower:
+        raw = [r.lower() for r in raw]
+    if sum(map(len, raw)) <= 4 * BLOCK:
+        h, starts = hash_words(b" ".join(raw))
+        return h, np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raw)]))
+    parts = [np.concatenate([hash_words(x)[0] for x in pieces(r)]) for r in raw]
+    return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
 
 class Spans:

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from framewright.llm.components import components
 from framewright.llm.ngram_join import bands, ngram_sets, op6_ngram_jaccard_join, similar_documents, tile_keys
 from framewright.llm.substring_dedup import op7_substring_dedup, remove_repeats
-from framewright.llm.wordhash import Memo, Spans, words_of
+from framewright.llm.wordhash import Spans, words_of
 
 
 def brute_components(rows, n=4, percent=85):
@@ -112,11 +112,11 @@ def test_linked_sets_share_a_tile(n, gone, new, seed):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet="ab \t\n é", max_size=12), max_size=6))
 def test_word_hashes_follow_words(texts):
-    h, first = words_of(texts, False, Memo())
+    h, first = words_of(texts, False)
     flat = [w for t in texts for w in words(t)]
     assert [b - a for a, b in zip(first[:-1], first[1:])] == [len(words(t)) for t in texts]
     assert len({*zip(flat, h.tolist())}) == len(set(flat)) == len(set(h.tolist()))
-    assert len(ngram_sets(texts, 2, Memo())) == len(texts)
+    assert len(ngram_sets(texts, 2)) == len(texts)
 
 
 def test_components(spark):
