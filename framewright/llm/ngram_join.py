@@ -305,3 +305,19 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """All of ``documents`` by 4-word shingles at 85/100: ``doc_id, n_shingles, component_id``."""
     return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END AS g FROM d),
+e AS MATERIALIZED (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, a.n AS n, b.n AS m, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT u, v FROM p WHERE 100 * k >= 85 * (n + m - k)),
+t AS MATERIALIZED (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, t.v FROM r JOIN t ON r.b = t.u),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY 1)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, c.component_id FROM s JOIN c ON s.doc_id = c.a
+"""

@@ -197,3 +197,17 @@ def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """All of ``documents``: ``doc_id, n_words, n_removed, kept_sha256``."""
     done = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+b AS MATERIALIZED (SELECT k.doc_id, k.i FROM k JOIN (SELECT x, min(doc_id) AS low FROM k GROUP BY 1) m ON k.x = m.x AND m.low < k.doc_id),
+p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+c AS (SELECT p.doc_id, p.i, p.word,
+             count(b.i) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) > 0 AS gone
+      FROM p LEFT JOIN b ON p.doc_id = b.doc_id AND p.i = b.i),
+g AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY 1)
+SELECT d.doc_id, coalesce(g.n_words, 0) AS n_words, coalesce(g.n_removed, 0) AS n_removed, sha256(coalesce(g.kept, '')) AS kept_sha256
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
