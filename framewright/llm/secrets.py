@@ -153,3 +153,30 @@ def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
     found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), keep_text=False)
     count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
     return found.select("doc_id", *[count(k).alias(f"n_{KINDS[k]}") for k in range(3)], F.sha2(span_text(F.col("base_spans")), 256).alias("base_sha256"), span_text(F.col("all_spans")).alias("spans"))
+
+
+OP8_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+k(kind, name, least, most, pattern) AS (VALUES
+  (0, 'assign', 8, NULL, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  (1, 'access', 16, NULL, 'AKIA[A-Z0-9]+'),
+  (2, 'hex', 32, NULL, '[0-9a-f]+'),
+  (3, 'secret', 40, 40, '[A-Za-z0-9+/]+'),
+  (4, 'endpoint', 1, NULL, 'https?://[^\x20\x09-\x0D"''<>]+')),
+m AS (SELECT d.r, k.*, regexp_extract_all(d.t, k.pattern) AS ms, string_split_regex(d.t, k.pattern) AS gs FROM d, k),
+u AS (SELECT r, kind, name, least, most, pattern, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g FROM m),
+x AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY r, kind ORDER BY i) AS e FROM u),
+z AS (SELECT *, CASE WHEN kind = 0 THEN length(regexp_extract(m, pattern, 2)) ELSE length(m) END AS size FROM x),
+s AS MATERIALIZED (SELECT r, kind, name, e - length(m) AS b, e FROM z WHERE size >= least AND (most IS NULL OR size <= most)),
+p AS (SELECT * FROM s WHERE kind = 0 UNION ALL
+      SELECT * FROM s w WHERE kind > 2 AND NOT EXISTS (SELECT 1 FROM s v WHERE v.r = w.r AND v.kind < 3 AND v.b <= w.b AND w.e <= v.e)),
+n AS (SELECT p.*, max(CASE WHEN p.kind <> 4 THEN 1 ELSE 0 END) OVER (PARTITION BY i.r, i.b) AS has_secret
+      FROM s i JOIN p ON i.r = p.r AND i.kind = 1 AND p.b <= i.e + 400 AND p.e >= i.b - 400),
+a AS (SELECT * FROM s WHERE kind < 3 UNION ALL SELECT DISTINCT r, kind, name, b, e FROM n WHERE kind = 3 OR kind = 4 AND has_secret = 1),
+o AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+             string_agg(name || ':' || b || ':' || e, ',' ORDER BY b, kind, e) FILTER (kind < 3) AS base,
+             string_agg(name || ':' || b || ':' || e, ',' ORDER BY b, kind, e) AS spans FROM a GROUP BY 1)
+SELECT d.doc_id, coalesce(o.n_assign, 0) AS n_assign, coalesce(o.n_access, 0) AS n_access, coalesce(o.n_hex, 0) AS n_hex,
+       sha256(coalesce(o.base, '')) AS base_sha256, coalesce(o.spans, '') AS spans
+FROM d LEFT JOIN o ON d.r = o.r
+"""
