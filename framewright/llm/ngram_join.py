@@ -30,8 +30,8 @@ WORDS, PERCENT = 4, 85
 LEAST_BITS, MAX_BITS = 64, 1 << 22
 BAND_GROWTH = 1.35
 MAX_SIZE = 1 << 40
-#: Members of a tile that are compared at once with as many others.
-TILE_ROWS = 1024
+#: Members of a tile that are compared at once with as many others, and bytes of their bitmaps, at most about.
+TILE_ROWS, TILE_BYTES = 1024, 32 << 20
 
 
 @dataclass(frozen=True)
@@ -194,7 +194,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _crossing(members: DataFrame, percent: int) -> DataFrame:
     """Pairs ``u, v`` of one tile that are of different components and may link, from ``key, blocks, v, r, n, bits`` rows.
 
-    A tile is dealt in blocks of about ``TILE_ROWS`` by a hash; every pair of blocks is one group of rows, compared by bitmaps alone,
+    A tile is dealt in blocks of about ``TILE_ROWS`` and ``TILE_BYTES`` at most by a hash; every pair of blocks is one group of rows, compared by bitmaps alone,
     so that only pairs that may link leave it.
     """
     dealt = members.withColumn("c", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -286,9 +286,11 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
 
     roots = components(links)
     labelled = stored(tiles.join(small(roots.withColumnRenamed("node", "v")), "v", "left").select("key", "v", F.coalesce("root", "v").alias("r")))
-    mixed = labelled.groupBy("key").agg(F.min("r").alias("a"), F.max("r").alias("b"), F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("blocks")).where("a < b")
-    mixed = stored(mixed.select("key", "blocks"))
-    discard(roots, tiles)
+    several = stored(labelled.groupBy("key").agg(F.min("r").alias("a"), F.max("r").alias("b")).where("a < b").select("key"))
+    sized = labelled.join(small(several), "key").join(sets.select("v", F.least(F.col("n") / 2, F.lit(MAX_BITS / 8)).alias("room")), "v")  # a bitmap has at most 4 bits for each n-gram
+    blocks = F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum("room") / TILE_BYTES)).cast("int")
+    mixed = stored(sized.groupBy("key").agg(blocks.alias("blocks")))
+    discard(roots, tiles, several)
     found = _crossing(labelled.join(small(mixed), "key").join(sets, "v"), percent)
     crossing = stored(found.join(stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
     discard(labelled, mixed, stars, sets)
