@@ -30,8 +30,8 @@ WORDS, PERCENT = 4, 85
 LEAST_BITS, MAX_BITS = 64, 1 << 22
 BAND_GROWTH = 1.35
 MAX_SIZE = 1 << 40
-#: Members of a tile that are compared at once with as many others.
-TILE_ROWS = 1024
+#: Members of a tile that are compared at once with as many others, and bytes of their bitmaps, about.
+TILE_ROWS, TILE_BYTES = 1024, 16 << 20
 
 
 @dataclass(frozen=True)
@@ -194,15 +194,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _crossing(members: DataFrame, percent: int) -> DataFrame:
     """Pairs ``u, v`` of one tile that are of different components and may link, from ``key, blocks, v, r, n, bits`` rows.
 
-    A tile is dealt in blocks of about ``TILE_ROWS`` by a hash; every pair of blocks is one group of rows, compared by bitmaps alone,
-    so that only pairs that may link leave it.
+    A tile is dealt in blocks of about ``TILE_ROWS`` rows and ``TILE_BYTES`` bytes by a hash; every pair of blocks is one group of rows,
+    compared by bitmaps alone, so that only pairs that may link leave it.
     """
     dealt = members.withColumn("c", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("c", "other")).withColumn("j", F.greatest("c", "other"))
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def pairs(v: np.ndarray, r: np.ndarray, n: np.ndarray, c: np.ndarray, bits: np.ndarray, two: bool) -> tuple[np.ndarray, np.ndarray]:
-        if len(v) <= 64:
+        if len(v) <= 64 and bits.shape[1] <= 256:  # all pairs at once take 4 MB at most
             a, b = np.triu_indices(len(v), 1)
             ok = (r[a] != r[b]) & ((c[a] != c[b]) if two else True)
             a, b = a[ok], b[ok]
@@ -285,21 +285,23 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
     discard(met, hubs)
 
     roots = components(links)
-    labelled = stored(tiles.join(small(roots.withColumnRenamed("node", "v")), "v", "left").select("key", "v", F.coalesce("root", "v").alias("r")))
-    mixed = labelled.groupBy("key").agg(F.min("r").alias("a"), F.max("r").alias("b"), F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("blocks")).where("a < b")
-    mixed = stored(mixed.select("key", "blocks"))
-    discard(roots, tiles)
-    found = _crossing(labelled.join(small(mixed), "key").join(sets, "v"), percent)
+    rooted = stored(sets.select("v", "n").join(small(roots.withColumnRenamed("node", "v")), "v", "left").select("v", "n", F.coalesce("root", "v").alias("r")))
+    labelled = stored(tiles.join(small(rooted), "v").select("key", "v", "r", "n"))
+    room = F.least(F.greatest(F.col("n") / 2, F.lit(LEAST_BITS / 8)), F.lit(MAX_BITS / 8))  # a bitmap has at most 4 bits for each n-gram
+    blocks = F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum(room) / TILE_BYTES)).cast("int")
+    mixed = stored(labelled.groupBy("key").agg(F.min("r").alias("a"), F.max("r").alias("b"), blocks.alias("blocks")).where("a < b").select("key", "blocks"))
+    discard(roots, rooted, tiles)
+    found = _crossing(labelled.join(small(mixed), "key").join(sets.select("v", "bits"), "v"), percent)
     crossing = stored(found.join(stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
     discard(labelled, mixed, stars, sets)
     more = verified(crossing)
     roots = components(links.union(more)).select(F.col("node").alias("v"), "root")
     discard(crossing, links, more, classes)
 
-    rooted = slim.join(small(roots), "v", "left").withColumn("_c", F.when(F.col("n") > 0, F.coalesce("root", "v")))
-    smallest = stored(rooted.where("n > 0").groupBy("_c").agg(F.min("doc_id").alias("component_id")))
+    grouped = slim.join(small(roots), "v", "left").withColumn("_c", F.when(F.col("n") > 0, F.coalesce("root", "v")))
+    smallest = stored(grouped.where("n > 0").groupBy("_c").agg(F.min("doc_id").alias("component_id")))
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return rooted.join(small(smallest), "_c", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return grouped.join(small(smallest), "_c", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
