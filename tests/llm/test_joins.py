@@ -9,6 +9,7 @@ from edge import edge_docs, edge_rows, lower, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from framewright.llm import ngram_join
 from framewright.llm.components import components
 from framewright.llm.ngram_join import bands, ngram_sets, op6_ngram_jaccard_join, similar_documents, tile_keys
 from framewright.llm.substring_dedup import op7_substring_dedup, remove_repeats
@@ -96,6 +97,18 @@ def test_op6_near_copies_that_link_only_among_themselves(spark):
     assert rows_of(similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_components(rows)
 
 
+def test_op6_long_texts_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE_BYTES", 20_000)
+    rng, rows = np.random.default_rng(3), []
+    for g in range(2):
+        base = rng.integers(0, 10**9, 12_000)
+        for i in range(12):
+            w, k = base.copy(), rng.integers(0, 400)
+            w[rng.choice(len(w), k, replace=False)] = rng.integers(0, 10**9, k)
+            rows.append((100 * g + i, " ".join(map(str, w))))
+    assert rows_of(similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == brute_components(rows)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 60), st.integers(0, 60), st.integers(0, 10**6))
 def test_linked_sets_share_a_tile(n, gone, new, seed):
