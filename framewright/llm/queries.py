@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from framewright.llm.filter_audit import OP13_SQL, op13_filter_audit
 from framewright.llm.html_layout import op10_html_layout
 from framewright.llm.langid import op2_language_id
 from framewright.llm.matroska import op5_matroska
@@ -15,6 +16,6 @@ from framewright.llm.warc import op4_warc_derivatives
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_topk, op2_language_id, op3_best_fit_packing, op4_warc_derivatives, op5_matroska, op6_ngram_jaccard_join, op7_substring_dedup, op8_secret_scan, op9_mix_sources, op10_html_layout)
+    for f in (op1_exact_topk, op2_language_id, op3_best_fit_packing, op4_warc_derivatives, op5_matroska, op6_ngram_jaccard_join, op7_substring_dedup, op8_secret_scan, op9_mix_sources, op10_html_layout, op13_filter_audit)
 }
-ORACLES = {"op1_exact_topk": OP1_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_secret_scan": OP8_SQL, "op9_mix_sources": OP9_SQL}
+ORACLES = {"op1_exact_topk": OP1_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_secret_scan": OP8_SQL, "op9_mix_sources": OP9_SQL, "op13_filter_audit": OP13_SQL}
