@@ -12,7 +12,7 @@ from framewright.llm import filter_audit
 
 def plain(docs, labels):
     """``{(part, order, step): counts}`` of ``(doc_id, text, lang)`` rows, filter by filter."""
-    good, toxic = ({i for i, q, t in labels if (q, t)[k] == 1} for k in (0, 1))
+    good, toxic = ({i for i, q, t in labels if i is not None and (q, t)[k] == 1} for k in (0, 1))
     lowest = {}
     for i, t, _ in docs:
         if i is not None:
