@@ -44,7 +44,7 @@ def split_words(texts: pa.Array, kind: np.ndarray) -> Words:
     starts, lengths = edge[::2], edge[1::2] - edge[::2]
     offsets = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(lengths)])
     found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[word])]).dictionary_encode()
-    return Words(found.dictionary, found.indices.to_numpy().astype(np.int64), np.searchsorted(ends[1:] - ends[0], starts, side="right"), np.searchsorted(np.flatnonzero(what == 2), starts))
+    return Words(found.dictionary, found.indices.to_numpy(), np.searchsorted(ends[1:] - ends[0], starts, side="right"), np.searchsorted(np.flatnonzero(what == 2), starts))
 
 
 def as_strings(words: pa.Array) -> pa.Array:
