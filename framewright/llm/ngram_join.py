@@ -6,7 +6,10 @@ n-grams or more (see ``Band``); no link is missed, however common single n-grams
 compared with its hub, the one that shares most tiles, and then only those of different components with each other, in blocks of
 bitmaps. A bitmap holds the parity of the n-grams that hash to each bit, and its size follows the set's, so the differing bits of two
 bitmaps are at most the n-grams that only one set has: they bound the overlap from above, closely enough that few pairs which do
-not link leave a tile. What is left is decided by exact intersection of sorted arrays.
+not link leave a tile. What is left is decided by exact intersection of sorted arrays of codes, which stand for the bytes of the words.
+
+Hashes lose no link and make none: n-grams that share a hash only bring sets closer, sizes are counted by codes, and a set
+is named by a digest of its text's words.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Window as W
 
 from framewright.llm.common import discard, small, stored
 from framewright.llm.components import components
-from framewright.llm.wordhash import final_name, mix, names, shared_names, text_blocks, words_of
+from framewright.llm.wordhash import TextWords, final_name, mix, names, shared_names, text_blocks
 
 #: Links: 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 4, 85
@@ -57,12 +60,26 @@ def bands(percent: int) -> list[Band]:
     return out
 
 
-def ngram_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's n-grams; a text with fewer words gives one for all its words, one without words none."""
-    h, first = words_of(texts, True)
-    grams, out = _grams(h, words), []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        out.append(np.unique(grams[a : b - words + 1] if b - a >= words else _grams(h[a:b], max(1, b - a))))
+def gram_codes(found: TextWords, words: int) -> np.ndarray:
+    """For each place in the texts taken as one sequence a number that is equal for equal n-grams alone."""
+    n, most = max(0, len(found.codes) - words + 1), found.distinct
+    code, high = found.codes[:n].astype(np.int64), most
+    for k in range(1, words):
+        if high * most >= 1 << 62:
+            code = np.unique(code, return_inverse=True)[1]
+            high = int(code.max(initial=0)) + 1
+        code, high = code * most + found.codes[k : n + k], high * most
+    return code
+
+
+def ngram_sets(found: TextWords, words: int) -> list[tuple[int, np.ndarray]]:
+    """Each text's number of distinct n-grams, and their sorted distinct hashes; a text with fewer words has one for all its words, one without words none."""
+    grams, codes, out = _grams(found.h, words), gram_codes(found, words), []
+    for a, b in zip(found.first[:-1].tolist(), found.first[1:].tolist(), strict=True):
+        if b - a >= words:
+            out.append((len(np.unique(codes[a : b - words + 1])), np.unique(grams[a : b - words + 1])))
+        else:
+            out.append((int(b > a), np.unique(_grams(found.h[a:b], max(1, b - a)))))
     return out
 
 
@@ -74,17 +91,18 @@ def _grams(h: np.ndarray, words: int) -> np.ndarray:
     return g
 
 
-def tile_keys(s: np.ndarray, plan: list[Band], bottoms: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the tiles that a sorted set belongs to: those of its own band, and of higher bands with sizes it may link to."""
-    n, out = len(s), []
+def tile_keys(s: np.ndarray, n: int, plan: list[Band], bottoms: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of the tiles that a set of n n-grams with these sorted hashes belongs to: those of its own band, and of higher bands with sizes it may link to."""
+    out = []
     mixed = mix(s ^ np.uint64(0x5851F42D4C957F2D))
     i = int(np.searchsorted(bottoms, n, side="right")) - 1
     while i < len(plan) and 100 * n >= percent * plan[i].bottom:
         band, i = plan[i], i + 1
-        if not band.apart:
-            continue  # only equal sets link
+        if not band.apart:  # only equal sets link
+            out.append(mix(mixed.sum(keepdims=True) + np.uint64(n << 20)))
+            continue
         edges = np.searchsorted(s, (np.arange(1, band.slices, dtype=np.float64) * (2.0**64 / band.slices)).astype(np.uint64))
-        edges = np.concatenate([[0], edges, [n]])
+        edges = np.concatenate([[0], edges, [len(s)]])
         counts = np.diff(edges)
         sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mixed)])
         sums = sums[edges[1:]] - sums[edges[:-1]]
@@ -96,34 +114,29 @@ def tile_keys(s: np.ndarray, plan: list[Band], bottoms: np.ndarray, percent: int
 
 
 def _rows(docs: DataFrame, text: str, words: int, what: str, schema: str, percent: int = PERCENT, twice: frozenset[int] = frozenset()) -> DataFrame:
-    """One pass over texts. ``what``: ``ids`` (doc_id, size, both names of the set) or, once for each task and set, ``tiles`` (set name,
-    keys), ``bits`` (set name, size, bitmap) or ``grams`` (set name, sorted set). ``twice``: first names that different sets share."""
+    """One pass over texts. ``what``: ``ids`` (doc_id, size, both names of the text, and once for each task and text the keys of its tiles) or,
+    once for each task and text, ``bits`` (name, size, bitmap) or ``texts`` (name, size, words). ``twice``: first names that different texts share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         plan = bands(percent)
         bottoms = np.array([b.bottom for b in plan])
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in text_blocks(texts):
-                sets = ngram_sets(texts[a:b], words)
-                both = [names(s) for s in sets]
+            ids = batch.column(0)
+            for a, b in text_blocks(batch.column(1)):
+                found = TextWords(batch.column(1).slice(a, b - a), True)
+                spelled = [found.spelled(i, j) for i, j in zip(found.first[:-1].tolist(), found.first[1:].tolist(), strict=True)]
+                both = [names(x) for x in spelled]
+                sets = ngram_sets(found, words)
                 if what == "ids":
+                    keys = [None if x in seen or seen.add(x) or not n else tile_keys(s, n, plan, bottoms, percent).view(np.int64) for x, (n, s) in zip(both, sets, strict=True)]
                     v, w = (pa.array(x, pa.int64()) for x in zip(*both, strict=True))
-                    yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(list(map(len, sets)), pa.int64()), v, w], ["doc_id", "n", "v", "w"])
+                    yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([n for n, _ in sets], pa.int64()), v, w, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "v", "w", "keys"])
                     continue
                 name = [w if v in twice else v for v, w in both]
-                new = [i for i, v in enumerate(name) if len(sets[i]) and not (v in seen or seen.add(v))]
-                if what == "tiles":
-                    keys = [tile_keys(sets[i], plan, bottoms, percent) for i in new]
-                    v = np.repeat(np.array([name[i] for i in new], dtype=np.int64), list(map(len, keys)))
-                    yield pa.RecordBatch.from_arrays([pa.array(v), pa.array((np.concatenate(keys) if keys else np.zeros(0, np.uint64)).view(np.int64))], ["v", "key"])
-                    continue
-                v = pa.array([name[i] for i in new], pa.int64())
-                if what == "bits":
-                    yield pa.RecordBatch.from_arrays([v, pa.array([len(sets[i]) for i in new], pa.int64()), pa.array([bitmap(sets[i]) for i in new], pa.binary())], ["v", "n", "bits"])
-                else:
-                    yield pa.RecordBatch.from_arrays([v, pa.array([sets[i].tobytes() for i in new], pa.binary())], ["v", "grams"])
+                new = [i for i, v in enumerate(name) if sets[i][0] and not (v in seen or seen.add(v))]
+                last = [bitmap(sets[i][1]) for i in new] if what == "bits" else [spelled[i] for i in new]
+                yield pa.RecordBatch.from_arrays([pa.array([name[i] for i in new], pa.int64()), pa.array([sets[i][0] for i in new], pa.int64()), pa.array(last, pa.binary())], ["v", "n", what])
 
     return docs.select("doc_id", text).mapInArrow(run, schema)
 
@@ -150,11 +163,10 @@ def may_link(n1: np.ndarray, n2: np.ndarray, b1: np.ndarray, b2: np.ndarray, per
 
 
 def _named(docs: DataFrame, text: str, words: int, what: str, classes: DataFrame, twice: frozenset[int]) -> DataFrame:
-    """``bits`` or ``grams`` of the sets in ``classes(v, few)`` (stored), from the texts of their smallest ids alone; stored."""
+    """``bits`` or ``texts`` of the sets in ``classes(v, few)`` (stored), from the texts of their smallest ids alone; stored."""
     few = small(classes.select(F.col("few").alias("_few")))
     texts = docs.select("doc_id", text).join(few, F.col("doc_id").eqNullSafe(F.col("_few")), "left_semi")
-    schema = "v long, n long, bits binary" if what == "bits" else "v long, grams binary"
-    return stored(_rows(texts, text, words, what, schema, twice=twice).join(small(classes.select("v")), "v", "left_semi").dropDuplicates(["v"]))
+    return stored(_rows(texts, text, words, what, f"v long, n long, {what} binary", twice=twice).join(small(classes.select("v")), "v", "left_semi").dropDuplicates(["v"]))
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -174,20 +186,26 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``u, v`` (stored) whose sets link, by exact intersection of the sorted sets (stored, and deleted); stored."""
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs ``u, v`` (stored) whose sets link, by exact intersection of their n-grams (``texts`` is stored, and deleted); stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                hit.append((100 + percent) * len(np.intersect1d(x, y, assume_unique=True)) >= percent * (len(x) + len(y)))
-            yield batch.select(["u", "v"]).filter(pa.array(hit, pa.bool_()))
-
-    both = sets.select(F.col("v").alias("u"), F.col("grams").alias("g1")).join(small(pairs), "u").join(sets.select("v", F.col("grams").alias("g2")), "v")
-    out = stored(both.select("u", "v", "g1", "g2").mapInArrow(run, "u long, v long"))
-    discard(sets)
+            hit = np.zeros(batch.num_rows, dtype=bool)
+            sizes = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            for a, b in text_blocks(batch.column(3), batch.column(5)):
+                found = TextWords(pa.concat_arrays([batch.column(c).slice(a, b - a) for c in (3, 5)]), False)
+                codes, first = gram_codes(found, words), found.first
+                ends = np.maximum(first[1:] - words + 1, first[:-1])
+                for i in range(b - a):
+                    x, y = (np.unique(codes[first[k] : ends[k]]) for k in (i, i + b - a))
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    hit[a + i] = (100 + percent) * shared >= percent * sizes[a + i]
+            yield batch.select(["u", "v"]).filter(pa.array(hit))
+
+    both = texts.select(F.col("v").alias("u"), F.col("n").alias("n1"), F.col("texts").alias("t1")).join(small(pairs), "u").join(texts.select("v", F.col("n").alias("n2"), F.col("texts").alias("t2")), "v")
+    out = stored(both.select("u", "v", "n1", "t1", "n2", "t2").mapInArrow(run, "u long, v long"))
+    discard(texts)
     return out
 
 
@@ -243,14 +261,13 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
     yield None
 
 
-def _tiles(docs: DataFrame, text: str, words: int, percent: int, twice: frozenset[int]) -> DataFrame:
-    """``key, v`` of tiles with two sets or more; tiles of the same sets become one, named by a hash of its members.
+def _tiles(keys: DataFrame) -> DataFrame:
+    """``key, v`` of tiles with two sets or more, from ``v, key``; tiles of the same sets become one, named by a hash of its members.
 
     Should two tiles share a name, they are worked on as one, which loses no pair. The large shuffle of keys is unreachable on
     return, so that Spark can drop it.
     """
     in_key = W.partitionBy("key")
-    keys = _rows(docs, text, words, "tiles", "v long, key long", percent, twice)
     low = F.col("v").bitwiseAND(F.lit((1 << 31) - 1))
     met = keys.select("v", F.min("v").over(in_key).alias("a"), F.max("v").over(in_key).alias("b"), F.count("*").over(in_key).alias("n"), F.sum(low).over(in_key).alias("lows"))
     return stored(met.where("a < b").select(F.xxhash64("a", "b", "n", "lows").alias("key"), "v").distinct())
@@ -264,10 +281,10 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
     (null if it has none else). Rows that repeat an id each get a row. Other columns are left out, whatever their names; a text of
     any length is one set; an empty table gives an empty table.
     """
-    named = stored(_rows(docs, text, words, "ids", f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, v long, w long"))
+    named = stored(_rows(docs, text, words, "ids", f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, v long, w long, keys array<long>", percent))
     twice = shared_names(named)
     slim = named.select("doc_id", "n", final_name(twice).alias("v"))
-    tiles = _tiles(docs, text, words, percent, twice)
+    tiles = _tiles(named.select(final_name(twice).alias("v"), F.explode("keys").alias("key")))
     met = stored(tiles.groupBy("v").agg(F.count("*").alias("degree")))
     classes = stored(slim.join(small(met), "v").groupBy("v").agg(F.min("doc_id").alias("few")))
     sets = _named(docs, text, words, "bits", classes, twice)
@@ -275,7 +292,7 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
     def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "v")
         few = stored(classes.join(ends, "v"))
-        links = _verified(pairs, _named(docs, text, words, "grams", few, twice), percent)
+        links = _verified(pairs, _named(docs, text, words, "texts", few, twice), words, percent)
         discard(few)
         return links
 

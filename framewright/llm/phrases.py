@@ -78,7 +78,7 @@ def counted(columns: list[np.ndarray], most: int) -> tuple[list[np.ndarray], np.
 
 def count_block(texts: pa.Array, lang: str, k: int, bitmap: np.ndarray | None) -> tuple[pa.Array, np.ndarray]:
     """The k-word phrases of texts of one language, as space-joined strings, and their counts; for ``k`` of 1 also a null with the count of all."""
-    words, codes, _, piece = split_words(texts, KIND)
+    words, codes, _, piece, *_ = split_words(texts, KIND)
     if k == 1:
         return pa.concat_arrays([words, pa.nulls(1, words.type)]), np.append(np.bincount(codes, minlength=len(words)), len(codes))
     n = len(codes) - k + 1

@@ -5,7 +5,8 @@ windows keep equal nodes at equal places. An edge leads from a node of a text to
 the start of the one to the end of the other. Nodes that occur in one text alone are dropped. Joins on node and edge counts find
 edges without branches - as many occurrences as both their ends have - and runs of these are paths that occur whole
 wherever any of their nodes does. The graph only proposes: the words of each whole path, and of each single window across a path's
-ends, are read again at their source coordinates, and only ranges whose words have equal names of 126 bits count as repeats.
+ends, are read again at their source coordinates, and only ranges whose words have equal names, digests of their bytes, count as
+repeats. Where words differ under one path, which takes hashes that collide, its windows are read one by one.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from framewright.llm.common import discard, fresh, small, stored
-from framewright.llm.wordhash import LOW, Spans, final_name, mix, names, shared_names, text_blocks, words_of
+from framewright.llm.wordhash import LOW, Spans, TextWords, final_name, names, shared_names, text_blocks
 
 WINDOW, NODE = 50, 16
 
@@ -51,19 +52,20 @@ def _graphs(docs: DataFrame, text: str, window: int, node: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in text_blocks(texts):
-                h, first = words_of(texts[a:b], False)
+            ids = batch.column(0)
+            for a, b in text_blocks(batch.column(1)):
+                found = TextWords(batch.column(1).slice(a, b - a), False)
+                h, first = found.h, found.first
                 named, counts, cuts, parts = [], [], [0], [[], [], []]
                 for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    named.append(names(h[i:j]))
+                    named.append(names(found.spelled(i, j)))
                     counts.append(j - i)
                     size = 0
                     if j - i >= window and named[-1] not in seen:
                         seen.add(named[-1])
-                        found = graph_of(h[i:j], window, node)
-                        size = len(found[0])
-                        for out, x in zip(parts, found, strict=True):
+                        graph = graph_of(h[i:j], window, node)
+                        size = len(graph[0])
+                        for out, x in zip(parts, graph, strict=True):
                             out.append(x)
                     cuts.append(cuts[-1] + size)
                 pos, nodes, edges = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in parts)
@@ -77,43 +79,56 @@ def _graphs(docs: DataFrame, text: str, window: int, node: int) -> DataFrame:
     return docs.select("doc_id", text).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, v long, w long, pos array<int>, node array<long>, edge array<long>")
 
 
-def _windows(docs: DataFrame, text: str, window: int, node: int, twice: frozenset[int]) -> DataFrame:
+def proposed(path: pa.Array, n: int, window: int, node: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From a text's shared nodes (``pos, linked``), of its n window starts: the first and last of each range inside one path, and the
+    starts of every other window that holds a shared node."""
+    pos, linked = path.field("pos").to_numpy(), path.field("linked").to_numpy(zero_copy_only=False)
+    touched = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(touched, np.maximum(pos - (window - node), 0), 1)
+    np.add.at(touched, np.minimum(pos + 1, n), -1)
+    open_ = np.cumsum(touched[:-1]) > 0
+    heads = np.flatnonzero(np.concatenate([[True], ~linked[:-1]]))
+    tails = np.concatenate([heads[1:] - 1, [len(pos) - 1]])
+    lo, hi = pos[heads].astype(np.int64), pos[tails].astype(np.int64) + node - window
+    lo, hi = lo[hi >= lo], hi[hi >= lo]
+    for i, j in zip(lo.tolist(), hi.tolist(), strict=True):
+        open_[i : j + 1] = False
+    return lo, hi, np.flatnonzero(open_)
+
+
+def _windows(docs: DataFrame, text: str, window: int, node: int, twice: frozenset[int], single: bool = False) -> DataFrame:
     """From ``doc_id, text, v, path`` rows, ranges of window starts with both names of their words: the ranges that lie inside one
-    path, and every other window that holds a repeated node."""
+    path, with a hash ``p`` of its words, and every other window that holds a shared node (``p`` is 0). ``single``: ``path`` has ranges,
+    whose windows come one by one."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in text_blocks(texts):
-                h, first = words_of(texts[a:b], False)
+            for a, b in text_blocks(batch.column(1)):
+                found = TextWords(batch.column(1).slice(a, b - a), False)
                 for r in range(a, b):
-                    x = h[first[r - a] : first[r - a + 1]]
-                    v, w = names(x)
+                    at, end = found.first[r - a : r - a + 2].tolist()
+                    v, w = names(found.spelled(at, end))
                     if (w if v in twice else v) != batch.column(2)[r].as_py():
                         continue  # another text under the same id
                     path = batch.column(3)[r].values
-                    pos, linked = path.field("pos").to_numpy(), path.field("linked").to_numpy(zero_copy_only=False)
-                    n = len(x) - window + 1
-                    touched = np.zeros(n + 1, dtype=np.int64)
-                    np.add.at(touched, np.maximum(pos - (window - node), 0), 1)
-                    np.add.at(touched, np.minimum(pos + 1, n), -1)
-                    open_ = np.cumsum(touched[:-1]) > 0
-                    heads = np.flatnonzero(np.concatenate([[True], ~linked[:-1]]))
-                    tails = np.concatenate([heads[1:] - 1, [len(pos) - 1]])
-                    lo, hi = pos[heads].astype(np.int64), pos[tails].astype(np.int64) + node - window
-                    lo, hi = lo[hi >= lo], hi[hi >= lo]
-                    whole = np.array([names(x[i : j + window]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)], dtype=np.int64).reshape(-1, 2)
-                    for i, j in zip(lo.tolist(), hi.tolist(), strict=True):
-                        open_[i : j + 1] = False
-                    s = np.flatnonzero(open_)
-                    single = [(Spans(y).of(s, window) & np.uint64(LOW)).astype(np.int64) for y in (x, mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
-                    names_ = [np.concatenate([whole[:, k], single[k]]) for k in (0, 1)]
-                    starts, ends = np.concatenate([lo, s]).astype(np.int32), np.concatenate([hi, s]).astype(np.int32)
-                    rows = pa.array(np.full(len(starts), r, dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(names_[0]), pa.array(names_[1]), batch.column(0).take(rows), batch.column(2).take(rows), pa.array(starts), pa.array(ends)], ["w", "x", "doc_id", "v", "start", "end"])
-
-    return docs.select("doc_id", text, "v", "path").mapInArrow(run, f"w long, x long, doc_id {kind}, v long, start int, end int")
+                    if single:
+                        lo = hi = np.zeros(0, dtype=np.int64)
+                        s = np.concatenate([np.arange(x["start"], x["end"] + 1) for x in path.to_pylist()])
+                    else:
+                        lo, hi, s = proposed(path, end - at - window + 1, window, node)
+                    first, last = np.concatenate([lo, s]), np.concatenate([hi, s])
+                    named = np.array([names(found.spelled(i, j)) for i, j in zip((at + first).tolist(), (at + last + window).tolist(), strict=True)], dtype=np.int64).reshape(-1, 2)
+                    p = np.zeros(len(first), dtype=np.int64)
+                    if len(lo):
+                        p[: len(lo)] = _name(Spans(found.h[at:end]).of(lo, hi - lo + window))
+                    rows = pa.array(np.full(len(first), r, dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(named[:, 0]), pa.array(named[:, 1]), batch.column(0).take(rows), batch.column(2).take(rows), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(p)],
+                        ["w", "x", "doc_id", "v", "start", "end", "p"],
+                    )
+
+    return docs.select("doc_id", text, "v", "path").mapInArrow(run, f"w long, x long, doc_id {kind}, v long, start int, end int, p long")
 
 
 def repeated_ranges(docs: DataFrame, text: str = "text", window: int = WINDOW, node: int = NODE) -> tuple[DataFrame, frozenset[int]]:
@@ -143,8 +158,15 @@ def repeated_ranges(docs: DataFrame, text: str = "text", window: int = WINDOW, n
     wanted = docs.select("doc_id", text).join(few, F.col("doc_id") == F.col("_low"), "left_semi")
     met = wanted.join(paths, F.col("doc_id") == F.col("_low")).select("doc_id", text, "v", "path")
     windows = stored(_windows(met, text, window, node, twice))
-    lows = stored(windows.groupBy("w", "x").agg(F.min("doc_id").alias("l"), F.max("doc_id").alias("m")).where("l < m").select("w", "x", "l"))
-    found = windows.join(lows, ["w", "x"]).where("l < doc_id").select("doc_id", "v", "start", "end").distinct()
+    ends = [F.min(F.struct("w", "x")).alias("a"), F.max(F.struct("w", "x")).alias("b")]
+    mixed = stored(windows.where("p <> 0").groupBy("p").agg(*ends).where("a <> b").select("p"))
+    every = windows.select("w", "x", "doc_id", "v", "start", "end")
+    if not mixed.isEmpty():
+        apart = windows.join(mixed, "p", "left_semi").groupBy("v", F.col("doc_id").alias("_low")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("path"))
+        again_read = docs.select("doc_id", text).join(apart, F.col("doc_id") == F.col("_low")).select("doc_id", text, "v", "path")
+        every = every.unionByName(_windows(again_read, text, window, node, twice, single=True).drop("p"))
+    lows = stored(every.groupBy("w", "x").agg(F.min("doc_id").alias("l"), F.max("doc_id").alias("m")).where("l < m").select("w", "x", "l"))
+    found = every.join(lows, ["w", "x"]).where("l < doc_id").select("doc_id", "v", "start", "end").distinct()
     # neighbouring starts become one range
     order = W.partitionBy("doc_id", "v").orderBy("start")
     reach = F.coalesce(F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(-9))
@@ -152,7 +174,7 @@ def repeated_ranges(docs: DataFrame, text: str = "text", window: int = WINDOW, n
     ranges = found.withColumn("_reach", reach).withColumn("_i", island).groupBy("doc_id", "v", "_i").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     ranges = ranges.groupBy("doc_id", "v").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
     out = stored(ranges.join(copies, ["doc_id", "v"], "left_anti").unionByName(copies))
-    discard(named, classes, again, paths, windows, lows)
+    discard(named, classes, again, paths, few, windows, mixed, lows)
     return out, twice
 
 
@@ -179,7 +201,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, no
             words = t.encode("utf-8", "surrogatepass").split() if isinstance(t, str) else []
             n = len(words)
             if ways is not None and n >= window:
-                v, w = names(words_of([t], False)[0])
+                v, w = names(b" ".join(words))
                 for way in ways:
                     if way["v"] == (w if v in twice else v):
                         keep = np.ones(n, dtype=bool)

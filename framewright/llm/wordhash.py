@@ -1,30 +1,28 @@
-"""Words of texts as arrays of 64-bit hashes, and names of sequences and sets of them.
+"""Words of texts as arrays of 64-bit hashes, and names of word sequences.
 
-A word is a run of bytes other than space and 0x09 to 0x0D, which in UTF-8 never occur inside a character. Words of a block are hashed at
-once, eight bytes after eight, by mixing, which isn't linear, so no form of texts makes words collide; sequences are hashed by
-mixing halves. Where equality decides, names of 126 bits are compared.
+A word is a run of bytes other than space and 0x09 to 0x0D, which in UTF-8 never occur inside a character. Hashes only propose: what
+they miss or bring together is decided by codes, which are exact within one block of texts, by the bytes of the words, or by names, which are
+126 bits of a cryptographic digest (BLAKE2b) of those bytes.
 """
 
 from __future__ import annotations
 
-import re
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text that are worked on at once, about; a longer text is split into words in pieces of this size.
+from framewright.llm.wordlists import kinds, split_words
+
+#: Bytes of texts that are worked on at once, about; a longer text is taken whole.
 BLOCK = 1 << 20
-#: Bytes of words that are hashed together; a longer word is hashed by itself.
-LONG_WORD = 256
 LOW = (1 << 63) - 1
-SPACE = re.compile(rb"[\x20\x09-\x0d]")
-IS_SPACE = np.zeros(256, dtype=bool)
-IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: The first n of eight bytes.
-FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+KIND = kinds(b" \t\n\x0b\x0c\r")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,47 +36,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of ``data`` in order, and where they start."""
-    padded = b" " + data + b" " * 8
-    space = IS_SPACE[np.frombuffer(padded, dtype=np.uint8)]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    starts, left = edge[::2], edge[1::2] - edge[::2]
-    eight = np.ndarray(len(padded) - 7, dtype="<u8", buffer=padded, strides=(1,))
-    h = left.astype(np.uint64)
-    for i in np.flatnonzero(left > LONG_WORD).tolist():
-        h[i] = xxhash.xxh3_64_intdigest(padded[starts[i] : starts[i] + left[i]])
-    which = np.flatnonzero(left <= LONG_WORD)
-    at, left = starts[which], left[which]
-    while len(which):
-        h[which] = mix(h[which] * np.uint64(3) + (eight[at] & FIRST_BYTES[np.minimum(left, 8)]))
-        more = left > 8
-        which, at, left = which[more], at[more] + 8, left[more] - 8
-    return h, starts - 1
-
-
-def pieces(data: bytes) -> Iterator[bytes]:
-    """``data`` cut between words into pieces of about ``BLOCK`` bytes."""
-    at = 0
-    while len(data) - at > BLOCK:
-        m = SPACE.search(data, at + BLOCK)
-        end = m.start() if m else len(data)
-        yield data[at:end]
-        at = end
-    yield data[at:]
-
-
-def words_of(texts: list[str | None], lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """``(hashes, first)``: hashes of all words of all texts in order, and for each text where its words begin, one more at the end.
-    ``lower`` changes A-Z alone."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    if lower:
-        raw = [r.lower() for r in raw]
-    if sum(map(len, raw)) <= 4 * BLOCK:
-        h, starts = hash_words(b" ".join(raw))
-        return h, np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raw)]))
-    parts = [np.concatenate([hash_words(x)[0] for x in pieces(r)]) for r in raw]
-    return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+def hash_words(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
+class TextWords:
+    """The words of some texts in order. ``h``: their hashes; ``codes``: numbers under ``distinct`` that are equal for equal words alone;
+    ``first``: for each text where its words begin, one more at the end. ``lower`` changes A-Z alone."""
+
+    def __init__(self, texts: pa.Array | list[str | None], lower: bool) -> None:
+        found = split_words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), KIND, lower)
+        self.codes, self.distinct = found.codes, max(1, len(found.words))
+        self.h = hash_words(found.words.to_pylist())[found.codes]
+        self.first = np.searchsorted(found.text, np.arange(len(texts) + 1))
+        n = len(self.codes)
+        joined = np.full(len(found.packed) + n, 32, dtype=np.uint8)
+        joined[np.arange(len(found.packed)) + np.repeat(np.arange(n), np.diff(found.offsets))] = found.packed
+        self.data, self.at = joined.tobytes(), found.offsets + np.arange(n + 1)
+
+    def spelled(self, i: int, j: int) -> bytes:
+        """Words i to j, without the last, joined by one space."""
+        return self.data[self.at[i] : max(self.at[i], self.at[j] - 1)]
 
 
 class Spans:
@@ -101,11 +80,11 @@ class Spans:
         return out
 
 
-def names(values: np.ndarray) -> tuple[int, int]:
-    """Two independent 63-bit names of an array, ``(0, 0)`` for an empty one."""
-    if not len(values):
+def names(spelled: bytes) -> tuple[int, int]:
+    """Two independent 63-bit names of a sequence of words, ``(0, 0)`` for an empty one."""
+    if not spelled:
         return 0, 0
-    d = xxhash.xxh3_128_intdigest(values.tobytes())
+    d = int.from_bytes(hashlib.blake2b(spelled, digest_size=16).digest(), "little")
     return (d & LOW) or 1, d >> 64 & LOW
 
 
@@ -121,13 +100,14 @@ def final_name(twice: frozenset[int]) -> Column:
     return F.when(F.col("v").isin(*twice), F.col("w")).otherwise(F.col("v")) if twice else F.col("v")
 
 
-def text_blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``BLOCK`` characters, at least one row each."""
+def text_blocks(*columns: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``BLOCK`` bytes in these columns, at least one row each."""
+    sizes = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
     start, used = 0, 0
-    for i, t in enumerate(texts):
-        used += len(t or "")
+    for i, n in enumerate(sizes.tolist()):
+        used += n
         if used >= BLOCK:
             yield start, i + 1
             start, used = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)

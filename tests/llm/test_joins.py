@@ -13,7 +13,7 @@ from framewright.llm import ngram_join
 from framewright.llm.components import components
 from framewright.llm.ngram_join import bands, ngram_sets, op6_ngram_jaccard_join, similar_documents, tile_keys
 from framewright.llm.substring_dedup import op7_substring_dedup, remove_repeats
-from framewright.llm.wordhash import Spans, words_of
+from framewright.llm.wordhash import Spans, TextWords
 
 
 def brute_components(rows, n=4, percent=85):
@@ -119,17 +119,66 @@ def test_linked_sets_share_a_tile(n, gone, new, seed):
     if 100 * k >= 85 * (len(s) + len(t) - k) and not np.array_equal(s, t):
         plan = bands(85)
         bottoms = np.array([b.bottom for b in plan])
-        assert set(tile_keys(s, plan, bottoms, 85).tolist()) & set(tile_keys(t, plan, bottoms, 85).tolist())
+        assert set(tile_keys(s, len(s), plan, bottoms, 85).tolist()) & set(tile_keys(t, len(t), plan, bottoms, 85).tolist())
 
 
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet="ab \t\n é", max_size=12), max_size=6))
 def test_word_hashes_follow_words(texts):
-    h, first = words_of(texts, False)
-    flat = [w for t in texts for w in words(t)]
-    assert [b - a for a, b in zip(first[:-1], first[1:])] == [len(words(t)) for t in texts]
-    assert len({*zip(flat, h.tolist())}) == len(set(flat)) == len(set(h.tolist()))
-    assert len(ngram_sets(texts, 2)) == len(texts)
+    found = TextWords(texts, False)
+    flat, h = [w for t in texts for w in words(t)], found.h
+    assert np.diff(found.first).tolist() == [len(words(t)) for t in texts]
+    assert len({*zip(flat, h.tolist())}) == len(set(flat)) == len(set(h.tolist())) == len({*zip(flat, found.codes.tolist())})
+    assert [found.spelled(a, b).decode() for a, b in zip(found.first[:-1], found.first[1:])] == [" ".join(words(t)) for t in texts]
+    sets = ngram_sets(found, 2)
+    for t, (n, s) in zip(texts, sets, strict=True):
+        w = words(t)
+        assert n == len(s) == (len({*zip(w, w[1:])}) if len(w) > 1 else len(w))
+
+
+#: Of each pair both words had one hash under an invertible mix of eight bytes after eight.
+ONCE_COLLIDED = [("passwordabcdefgh", "*q~6kYk~.MK|mTH("), ("passwordabcdefgh", "b]h)ab@dare<t>cz")]
+
+
+@pytest.mark.parametrize("a, b", ONCE_COLLIDED)
+def test_words_that_once_shared_a_hash(spark, a, b):
+    from pyspark.sql import functions as F
+
+    head = [f"w{i}" for i in range(49)]
+    rows = [(1, " ".join([*head, a])), (2, " ".join([*head, b])), (3, a), (4, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(similar_documents(docs)) == brute_components(rows)
+    got = remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256))
+    assert rows_of(got) == removed(rows) and {r.n_removed for r in got.collect()} == {0}
+
+
+@pytest.mark.parametrize("bits", [8, 1, 0])
+def test_hashes_of_few_bits_change_no_result(spark, sf, monkeypatch, bits):
+    """Nearly every word shares its hash with others."""
+    from pyspark.sql import functions as F
+
+    from framewright.llm import substring_dedup
+
+    class Few(TextWords):
+        def __init__(self, texts, lower):
+            super().__init__(texts, lower)
+            self.h = self.h & np.uint64((1 << bits) - 1)
+
+    monkeypatch.setattr(ngram_join, "TextWords", Few)
+    monkeypatch.setattr(substring_dedup, "TextWords", Few)
+    rng = np.random.default_rng(bits)
+    base = [f"b{i}" for i in range(90)]
+    rows = documents(spark, sf)[:: 1 if bits == 8 else 4]
+    for i in range(60):
+        w = list(base)
+        for k in rng.choice(90, rng.integers(0, 6), replace=False):
+            w[k] = f"e{rng.integers(50)}"
+        rows.append((10_000 + i, " ".join(w)))
+    rows += [(20_000, "a b c d a b c d"), (20_001, "b c d a b c d a"), (20_002, "a b c d a b c d a b c d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(similar_documents(docs)) == brute_components(rows)
+    got = remove_repeats(docs)
+    assert rows_of(got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256))) == removed(rows)
 
 
 def test_components(spark):
