@@ -1,26 +1,16 @@
-"""Pooling a sequence of vectors into one vector for each key.
-
-Every pool is a partial and a final aggregation by ``(key, dimension)``: what is shuffled is one row for each key,
-dimension and map task, so a hot key costs no more than a cold one.
-"""
+"""Pooling a sequence of vectors into one vector for each key, by partial and final vector states (see ``states``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _assemble(by_dim: DataFrame, keys: list[str], extra: list[Column]) -> DataFrame:
-    """One row for each key with ``vec`` in dimension order; a key has as many rows as dimensions, so the list is bounded."""
-    ordered = F.array_sort(F.collect_list(F.struct("dim", "value")))
-    return by_dim.groupBy(*keys).agg(F.transform(ordered, lambda s: s["value"]).alias("vec"), *extra)
+from framewright.operators.states import means, vector_sums
 
 
 def mean_pool(hidden: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
     """Unweighted mean over the rows of each key: ``keys, vec array<double>, n_frames``. Null vectors take no part."""
-    long = hidden.select(*keys, F.posexplode(F.col(vec)).alias("dim", "x"))
-    pooled = long.groupBy(*keys, "dim").agg(F.avg(F.col("x").cast("double")).alias("value"), F.count("*").alias("n"))
-    return _assemble(pooled, keys, [F.max("n").alias("n_frames")])
+    return means(vector_sums(hidden, keys, vec), keys)
 
 
 def weighted_mean_pool(chunks: DataFrame, keys: list[str], sum_vec: str = "sum_vec", count: str = "n_frames") -> DataFrame:
@@ -28,18 +18,14 @@ def weighted_mean_pool(chunks: DataFrame, keys: list[str], sum_vec: str = "sum_v
 
     This is the mean over frames, not the mean of the chunk means. A key whose counts sum to zero gets a null ``vec``.
     """
-    long = chunks.select(*keys, F.col(count).cast("bigint").alias("_n"), F.posexplode(F.col(sum_vec)).alias("dim", "x"))
-    pooled = long.groupBy(*keys, "dim").agg(F.sum(F.col("x").cast("double")).alias("_s"), F.sum("_n").alias("_c"))
-    value = F.when(F.col("_c") > 0, F.col("_s") / F.col("_c").cast("double"))
-    vectors = _assemble(pooled.withColumn("value", value), keys, [F.max("_c").alias("n_frames")])
-    return vectors.withColumn("vec", F.when(F.col("n_frames") > 0, F.col("vec")))
+    pooled = means(vector_sums(chunks, keys, sum_vec, F.col(count)), keys)
+    return pooled.withColumn("vec", F.when(F.col("n_frames") > 0, F.col("vec")))
 
 
 def chunk_sums(hidden: DataFrame, keys: list[str], chunk: str, vec: str = "vec") -> DataFrame:
     """Partial state of each chunk: ``keys, chunk, sum_vec, n_frames``."""
-    long = hidden.select(*keys, chunk, F.posexplode(F.col(vec)).alias("dim", "x"))
-    sums = long.groupBy(*keys, chunk, "dim").agg(F.sum(F.col("x").cast("double")).alias("value"), F.count("*").alias("n"))
-    return _assemble(sums, [*keys, chunk], [F.max("n").alias("n_frames")]).withColumnRenamed("vec", "sum_vec")
+    sums = vector_sums(hidden, [*keys, chunk], vec)
+    return sums.select(*keys, chunk, F.col("_total").alias("sum_vec"), F.col("_n").alias("n_frames"))
 
 
 def first_token(hidden: DataFrame, keys: list[str], position: str, vec: str = "vec") -> DataFrame:

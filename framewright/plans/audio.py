@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framewright.operators.audio import BETA, ZEROS, mel_patches, resample, spectral_gate
 from framewright.session import read_table, shared_folder
+from framewright.sources.npy import register_npy
 from framewright.sources.wave import wave_blocks, wave_headers, write_waves
 
 #: Samples of a block, so few that most tracks have several; rates of the resampling query; settings of the gate.
@@ -68,7 +69,16 @@ def log_mel(spark: SparkSession, d: str) -> DataFrame:
     return mel_patches(blocks, ["doc_id"]).select("doc_id", "patch", F.size("mel").alias("n"), F.array_min("mel").alias("least"), F.array_max("mel").alias("most"), mean.alias("mean"))
 
 
-QUERIES = {"wave_samples": wave_samples, "resample_16k": resample_16k, "spectral_gate": spectral_gate_query, "log_mel": log_mel}
+def npy_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every embedding as a ``.npy`` file, committed and read back."""
+    folder = shared_folder(register_npy(spark))
+    vectors = read_table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("name"), F.col("embedding").alias("vec"))
+    vectors.write.format("npy").mode("append").save(folder)
+    back = spark.read.format("npy").load(folder)
+    return back.select(F.col("name").cast("bigint").alias("vec_id"), F.posexplode("values").alias("dim", "value"))
+
+
+QUERIES = {"npy_round_trip": npy_round_trip, "wave_samples": wave_samples, "resample_16k": resample_16k, "spectral_gate": spectral_gate_query, "log_mel": log_mel}
 
 _TURNS = """
   s AS MATERIALIZED (SELECT conv_id, turn, i - 1 AS i, (unicode(c) % 128 - 64) / 64.0::DOUBLE AS x
@@ -89,6 +99,7 @@ def _spectra(frames: str, samples: str) -> str:
 
 
 ORACLES = {
+    "npy_round_trip": "SELECT vec_id, CAST(i - 1 AS INTEGER) AS dim, CAST(embedding[i] AS DOUBLE) AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)",
     "wave_samples": """
       SELECT doc_id, CAST(i // 4096 AS INTEGER) AS block, i // 4096 * 4096 AS start, count(*) AS n, CAST(8000 AS INTEGER) AS rate, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(x * (i % 4096 % 1000)) AS BIGINT) AS sum_ix
       FROM (SELECT doc_id, unnest(list_transform(range(1, length(text) + 1), lambda k: unicode(text[k:k]) * 257 % 65536 - 32768)) AS x, unnest(range(0, length(text))) AS i FROM documents) GROUP BY ALL""",
