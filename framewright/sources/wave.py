@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import io
 import struct
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -18,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.sources.ranged import located, open_ranged, reader
+from framewright.sources.files import write_files
+from framewright.sources.ranged import open_ranged, reader
 
 #: Format tags and the largest size of a chunk, which stands for "to the end". Fixed values.
 PCM, IEEE_FLOAT, EXTENSIBLE, OPEN_END = 1, 3, 0xFFFE, 0xFFFFFFFF
@@ -216,23 +216,13 @@ def wave_bytes(samples: np.ndarray, rate: int) -> bytes:
 
 
 def write_waves(tracks: DataFrame, folder: str, name: str, samples: str, rate: int) -> DataFrame:
-    """``path, length`` of one 16-bit file for each row, written by the tasks that hold the rows; a retried task writes the same bytes again.
-
-    It is lazy like every DataFrame: files exist once its rows have been read.
-    """
+    """``path, length`` of one 16-bit file for each row (see ``write_files``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = located(folder)
-        store.create_dir(root, recursive=True)
         for batch in batches:
-            out = []
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for i, x in enumerate(batch.column(1)):
                 data = wave_bytes(x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0), rate)
-                part = f"{root}/.{k}.{uuid.uuid4().hex}"  # of this attempt alone
-                with store.open_output_stream(part) as f:
-                    f.write(data)
-                store.move(part, f"{root}/{k}.wav")
-                out.append((f"{folder.rstrip('/')}/{k}.wav", len(data)))
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], ["path", "length"])
-
-    return tracks.select(F.col(name).cast("string"), F.col(samples).cast("array<double>")).mapInArrow(run, "path string, length long")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([data], pa.binary())], ["name", "content"])
+
+    rows = tracks.select(F.col(name).cast("string").alias("name"), F.col(samples).cast("array<double>")).mapInArrow(run, "name string, content binary")
+    return write_files(rows, folder, "name", "content", ".wav")
