@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from framewright.functions import l2_normalize, noise_profile_length, preview, seconds_label, unicode_strip, zero_vector
 from framewright.operators import chunk_plan, first_token, frame_gather, frame_plan, keep_decoded, mean_pool, weighted_mean_pool
 from framewright.operators.pooling import chunk_sums
-from framewright.plans import audio
+from framewright.plans import audio, video
 from framewright.session import read_table
 
 
@@ -141,6 +141,7 @@ QUERIES = {
     "zero_frame_guard": zero_frame_guard,
     "seconds_label": seconds_label_query,
     **audio.QUERIES,
+    **video.QUERIES,
 }
 
 
@@ -201,4 +202,5 @@ ORACLES = {
       FROM lineitem GROUP BY 1""",
     "seconds_label": "SELECT doc_id, printf('%.2f', n_chars / 16000.0::DOUBLE) AS seconds FROM documents",
     **audio.ORACLES,
+    **video.ORACLES,
 }
