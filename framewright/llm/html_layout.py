@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,9 +46,14 @@ CLOSES = {
     "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, {"html"}),
 }
-#: Layout only, no text depends on them: cells wider than this aren't padded to, so that a long cell doesn't widen every row of its
-#: table; no line is padded beyond this; so many cells reach down into later rows at once.
-MAX_PAD, MAX_WIDE, MAX_DOWN = 60, 4096, 1000
+#: Layout only, no text depends on them. Deeper indents stay at this column; tables inside so many others are set cell by cell, as blocks.
+MAX_INDENT, TABLES = 64, 16
+#: A table whose aligned lines would take more than this many times its text and tags (four characters a cell) has two spaces between cells.
+STRETCH = 32
+#: So many cells reach down into later rows at once; more don't.
+MAX_DOWN = 1000
+#: What an open paragraph isn't closed through.
+AROUND_P = BLOCK | CELL | {"button"}
 
 TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 LOOSE = re.compile(r"</?([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -105,24 +111,32 @@ class Node:
 
 
 class Open(list):
-    """Open elements, the outermost first, with a count of each tag."""
+    """Open elements, the outermost first, with the places of each tag and of what bounds a paragraph."""
 
     def __init__(self, root: Node) -> None:
-        super().__init__([root])
-        self.count = Counter({root.tag: 1})
+        super().__init__()
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+        self.around_p: list[int] = []
+        self.push(root)
 
     def push(self, node: Node) -> None:
+        self.places[node.tag].append(len(self))
+        if node.tag in AROUND_P:
+            self.around_p.append(len(self))
         self.append(node)
-        self.count[node.tag] += 1
 
     def cut(self, i: int) -> None:
         """Closes all from place ``i`` on."""
         for node in self[i:]:
-            self.count[node.tag] -= 1
+            self.places[node.tag].pop()
+            if node.tag in AROUND_P:
+                self.around_p.pop()
         del self[i:]
 
-    def any(self, tags: Iterable[str]) -> bool:
-        return any(self.count[t] for t in tags)
+    def last(self, tag: str) -> int:
+        """The place of the innermost open ``tag``, -1 if none is open."""
+        places = self.places.get(tag)
+        return places[-1] if places else -1
 
 
 def parse(source: str) -> Node:
@@ -175,7 +189,7 @@ def parse(source: str) -> Node:
             close = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
             if not close:  # it ends with an open head, else with the page
                 unclosed.add(tag)
-                ends = HEAD_END.search(source, at) if stack.count["head"] else None
+                ends = HEAD_END.search(source, at) if stack.last("head") >= 0 else None
                 stop = ends.start() if ends else n
             else:
                 stop = close.start()
@@ -185,7 +199,7 @@ def parse(source: str) -> Node:
                 node.children.append(source[at:stop])
             at = start = close.end() if close else stop
             continue
-        if attrs.endswith("/") and stack.count["math"]:
+        if attrs.endswith("/") and stack.last("math") >= 0:
             continue
         stack.push(node)
     text(start, n)
@@ -194,14 +208,12 @@ def parse(source: str) -> Node:
 
 def _end(stack: Open, tag: str) -> None:
     """Closes the nearest open ``tag``; a cell's or table's end isn't crossed by others. One that isn't open is ignored."""
-    if not stack.count[tag]:
+    at = stack.last(tag)
+    if at < 1 or stack.last("table") > at:
         return
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag == tag:
-            stack.cut(i)
-            return
-        if stack[i].tag == "table" or stack[i].tag in CELL and tag not in ("table", "tr", "thead", "tbody", "tfoot"):
-            return
+    if tag not in ("table", "tr", "thead", "tbody", "tfoot") and max(map(stack.last, CELL)) > at:
+        return
+    stack.cut(at)
 
 
 def _end_head(stack: Open) -> None:
@@ -214,23 +226,14 @@ def _imply(stack: Open, tag: str) -> None:
     """Closes what the start of ``tag`` ends by implication, and opens the row that a cell needs."""
     if stack[-1].tag == "head" and tag not in HEAD:
         _end_head(stack)
-    if (tag in BLOCK or tag in CELL) and stack.count["p"]:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == "p":
-                stack.cut(i)
-                break
-            if stack[i].tag in BLOCK or stack[i].tag in CELL or stack[i].tag == "button":
-                break
+    if (tag in BLOCK or tag in CELL) and stack.last("p") > 0 and stack.around_p[-1] == stack.last("p"):
+        stack.cut(stack.last("p"))
     if tag in CLOSES:
         closes, bounds = CLOSES[tag]
-        low, left = None, sum(stack.count[t] for t in closes)
-        for i in range(len(stack) - 1, 0, -1):
-            if not left or stack[i].tag in bounds:
-                break
-            if stack[i].tag in closes:
-                low, left = i, left - 1
-        if low is not None:
-            stack.cut(low)
+        bound = max(0, *map(stack.last, bounds))  # the root stays open
+        inside = [p[i] for t in closes if (p := stack.places.get(t)) and (i := bisect_right(p, bound)) < len(p)]
+        if inside:
+            stack.cut(min(inside))
     if tag in CELL and (stack[-1].tag == "table" or stack[-1].tag in SECTIONS):
         row = Node("tr")
         stack[-1].children.append(row)
@@ -242,6 +245,7 @@ class Page:
 
     def __init__(self) -> None:
         self.lines, self.words, self.space, self.margin, self.indent, self.marker = [], [], False, 0, 0, ""
+        self.size = 0  # characters of text, without layout
 
     def text(self, s: str) -> None:
         if FOLDED.search(s):
@@ -252,6 +256,7 @@ class Page:
             if self.space and self.words:
                 self.words.append(" ")
             self.words.append(body)
+            self.size += len(body)
             self.space = s[-1] == " "
 
     def line(self) -> None:
@@ -270,7 +275,7 @@ class Page:
         if self.margin and self.lines:
             self.lines.extend([""] * self.margin)
         self.margin = 0
-        pad = " " * max(0, self.indent - len(self.marker))
+        pad = " " * max(0, min(self.indent, MAX_INDENT) - len(self.marker))
         self.lines.append((pad + self.marker + s).rstrip() if s else (pad + self.marker).rstrip())
         self.marker = ""
 
@@ -299,10 +304,11 @@ def span(attrs: str, name: str, most: int) -> int:
     return most if n == 0 and name == "rowspan" else min(max(1, n), most)
 
 
-def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+def aligned(rows: list[list[tuple[list[str], int, int]]], size: int) -> list[str]:
     """Lines of a table of cells (lines, columns, rows): columns start at the same place, two spaces apart from what ends there.
 
-    Cells that reach down from rows above take their columns, as in a browser.
+    Cells that reach down from rows above take their columns, as in a browser. ``size``: characters of text and tags; if aligned lines would take more
+    than ``STRETCH`` times as many, cells are two spaces apart instead.
     """
     placed, down = [], {}  # down: by first column, the end and the rows left of a cell from above
     for row in rows:
@@ -321,25 +327,34 @@ def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     reach: dict[int, list[tuple[int, int]]] = {}  # by end column: the starts and widths of cells that end there
     for cells in placed:
         for first, end, lines in cells:
-            reach.setdefault(end, []).append((first, min(MAX_PAD, max(map(len, lines), default=0)) + 2))
+            reach.setdefault(end, []).append((first, max(map(len, lines), default=0) + 2))
     at, x = {0: 0}, 0
     for col in sorted({first for cells in placed for first, _, _ in cells} | reach.keys()):
         x = at[col] = max([x, *(at[first] + width for first, width in reach.get(col, []))])
+    room = STRETCH * size
+    for cells in placed:
+        last: dict[int, int] = {}  # by line of the row: where its last cell begins
+        for first, _, lines in cells:
+            last.update((k, at[first] + len(x)) for k, x in enumerate(lines) if x)
+        room -= sum(last.values())
     out = []
     for cells in placed:
-        for k in range(max((len(lines) for _, _, lines in cells), default=0)):
-            line = ""
-            for first, _, lines in cells:
-                if k < len(lines) and lines[k]:
-                    line = f"{line}  {lines[k]}" if len(line) + 2 > at[first] and line else line.ljust(min(at[first], MAX_WIDE)) + lines[k]
-            out.append(line.rstrip())
+        held: list[list[str]] = [[] for _ in range(max((len(lines) for _, _, lines in cells), default=0))]
+        wide = [0] * len(held)
+        for first, _, lines in cells:
+            for k, x in enumerate(lines):
+                if x:
+                    gap = 2 if held[k] and (room < 0 or wide[k] + 2 > at[first]) else 0 if room < 0 else at[first] - wide[k]
+                    held[k] += [" " * gap, x]
+                    wide[k] += gap + len(x)
+        out.extend("".join(parts).rstrip() for parts in held)
     return out
 
 
 def render(root: Node) -> str:
     """All visible text of a tree."""
     page = Page()
-    pages, tables, lists, pre, maths = [page], [], [], 0, 0
+    pages, tables, sizes, lists, pre, maths = [page], [], [], [], 0, 0
     work: list[tuple[Node | str, bool, bool]] = [(root, False, True)]
     while work:
         node, leaving, shown = work.pop()
@@ -349,6 +364,7 @@ def render(root: Node) -> str:
                 page.space = True
             elif pre:
                 first, *rest = node.expandtabs(8).replace("\r\n", "\n").replace("\r", "\n").split("\n")
+                page.size += len(node)
                 page.words.append(first)
                 for s in rest:
                     page._put("".join(page.words))
@@ -374,15 +390,18 @@ def render(root: Node) -> str:
                 continue
             if tag in VOID and tag != "hr":
                 continue
-            if tag in CELL and tables:
+            if tag in CELL and tables and len(tables) <= TABLES:
                 pages.append(Page())
                 if not tables[-1]:
                     tables[-1].append([])
+            elif tag in CELL and tables:
+                page.block(0)
             elif tag in BLOCK:
                 nested = tag in ("ul", "ol", "menu", "dir") and lists
                 page.block(1 if tag in SPACED and not nested else 0)
                 if tag == "table":
                     tables.append([])
+                    sizes.append(0)
                 elif tag == "tr" and tables:
                     tables[-1].append([])
                 elif tag in ("ul", "ol", "menu", "dir"):
@@ -410,15 +429,21 @@ def render(root: Node) -> str:
             continue
         if tag == "math":
             maths -= 1
+        elif tag in CELL and len(tables) > TABLES:
+            page.block(0)
         elif tag in CELL and tables:
-            lines = pages.pop().finish()
+            pages.pop()
+            lines = page.finish()
+            sizes[-1] += page.size + 4
             tables[-1][-1].append((lines, span(node.attrs, "colspan", 1000), span(node.attrs, "rowspan", 65534)))
         elif tag in BLOCK:
             if tag in PRE:
                 pre -= 1
             page.line()
             if tag == "table":
-                page.rows(aligned([r for r in tables.pop() if r]))
+                size = sizes.pop()
+                page.size += size
+                page.rows(aligned([r for r in tables.pop() if r], size))
             elif tag in ("ul", "ol", "menu", "dir"):
                 lists.pop()
             elif tag == "li":

@@ -109,11 +109,13 @@ def scan_secrets(docs: DataFrame, text: str = "text", scope: int = SCOPE, keep_t
     scanned = docs.withColumn("base_spans", F.array_sort(_strong(whole)))
     has_id = F.exists("base_spans", lambda s: s["kind"] == 1)
     bare = F.filter(_spans(whole, SECRET, 3), lambda s: s["end"] - s["start"] == 40)
-    inside = lambda w: F.exists("base_spans", lambda s: (s["start"] <= w["start"]) & (w["end"] <= s["end"]))
-    weak = F.filter(F.concat(bare, _spans(whole, ENDPOINT, 4)), lambda w: ~inside(w))
+    weak = F.concat(bare, _spans(whole, ENDPOINT, 4))
     scanned = scanned.withColumn(weak_, F.when(has_id, weak).otherwise(nothing)).withColumn(row, F.monotonically_increasing_id())
     kept = stored(scanned if keep_text else scanned.drop(text))  # row numbers are fixed from here on
-    linked = link_parts(kept.where(F.size(weak_) > 0).select(F.col(row).alias("_row"), F.inline(F.concat("base_spans", weak_))), scope)
+    parts = kept.where(F.size(weak_) > 0).select(F.col(row).alias("_row"), F.inline(F.concat("base_spans", weak_)))
+    reach = F.max(F.when(F.col("kind") < 3, F.col("end"))).over(W.partitionBy("_row").orderBy("start"))  # of base spans that begin here or before
+    apart = parts.withColumn("_reach", reach).where((F.col("kind") < 3) | F.col("_reach").isNull() | (F.col("_reach") < F.col("end"))).drop("_reach")
+    linked = link_parts(apart, scope)
     linked = stored(linked.groupBy(F.col("_row").alias(row)).agg(F.collect_list(F.struct("start", "kind", "end")).alias(linked_)))
     every = F.array_sort(F.concat("base_spans", F.coalesce(linked_, nothing)))
     return kept.join(linked, row, "left").select(*[c for c in docs.columns if keep_text or c != text], "base_spans", every.alias("all_spans"))

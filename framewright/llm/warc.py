@@ -7,6 +7,8 @@ read from the same tree that the layout operator builds, a line for each block.
 
 from __future__ import annotations
 
+import base64
+import codecs
 import gzip
 import hashlib
 import io
@@ -84,7 +86,7 @@ def parse_record(data: bytes) -> tuple[list[tuple[str, str]], bytes]:
     head, rest = split_head(data)
     first, fields = parse_headers(head)
     length = one(fields, "Content-Length")
-    if not first.startswith("WARC/") or length is None or not length.isdigit():
+    if not first.startswith("WARC/") or length is None or not (length.isascii() and length.isdigit()):
         raise ValueError("not a WARC record")
     if len(rest) < int(length):
         raise ValueError("the record is cut short")
@@ -103,12 +105,15 @@ def read_records(data: bytes) -> Iterator[bytes]:
         while (line := stream.readline()) and line.strip():
             head.append(line)
         length = one(parse_headers(b"".join(head))[1], "Content-Length") or ""
-        if not length.isdigit():
+        if not (length.isascii() and length.isdigit()):
             raise ValueError("a record without length")
-        block = stream.read(int(length))
-        if len(block) < int(length):
+        left, block = int(length), []
+        while left and (piece := stream.read(min(left, BATCH_BYTES))):  # what is stated may be far more than there is
+            block.append(piece)
+            left -= len(piece)
+        if left:
             raise ValueError("the file is cut short")
-        yield b"".join(head) + b"\r\n" + block + b"\r\n\r\n"
+        yield b"".join([*head, b"\r\n", *block, b"\r\n\r\n"])
 
 
 def inflate(body: bytes) -> bytes:
@@ -144,30 +149,63 @@ def decode_body(fields: list[tuple[str, str]], body: bytes) -> bytes:
 CHARSET = re.compile(r"charset=[\"']?([\w.:-]+)", re.I)
 
 
+#: Codecs of Python that are no charsets of texts.
+NO_CHARSETS = frozenset(["idna", "punycode", "raw_unicode_escape", "undefined", "unicode_escape", "raw-unicode-escape", "unicode-escape", "mbcs", "oem"])
+
+
 def decoded(entity: bytes, code: str) -> str:
-    """The text of an entity by its stated charset; UTF-8 if that is unknown, no charset of texts or can't be used."""
+    """The text of an entity by its stated charset; UTF-8 if that is unknown, no charset of texts or can't be used. Halves of surrogate pairs
+    that some charsets give become question marks."""
+    try:
+        if codecs.lookup(code).name in NO_CHARSETS:
+            raise LookupError(code)
+        text = entity.decode(code, "replace")
+    except Exception:  # codecs raise what they like
+        text = entity.decode("utf-8", "replace")
+    return clean(text)
+
+
+def clean(text: str) -> str:
     try:
-        return entity.decode(code, "replace")
-    except (LookupError, ValueError):
-        return entity.decode("utf-8", "replace")
+        text.encode("utf-8")
+    except UnicodeEncodeError:
+        return text.encode("utf-8", "replace").decode("utf-8")
+    return text
 
 
-#: What a page starts with, and what shows one further on.
+#: What a page starts with, and what shows one wherever it stands.
 PAGE = re.compile(
-    r"(?:\s|<!--.*?-->|<\?.*?\?>)*+<(?:!doctype\s+html|(?:html|head|body|title|meta|link|base|script|style|iframe|h[1-6]|div|span|font|table|ul|ol|a|b|i|br|p|img|form|center|main|section|article|header|nav)(?=[\s/>]))"
-    r"|.{0,1024}?<(?:!doctype\s+html|(?:html|head|body)(?=[\s/>]))",
+    r"(?:\s|<!--.*?-->|<\?.*?\?>)*+<(?:!doctype\s+html|(?:html|head|body|title|meta|link|base|script|style|iframe|h[1-6]|div|span|font|table|ul|ol|a|b|i|br|p|img|form|center|main|section|article|header|nav)(?=[\s/>]))",
     re.I | re.S,
 )
+INNER = re.compile(r"<(?:!doctype\s+html|(?:html|head|body)(?=[\s/>]))", re.I)
 BINARY = re.compile(rb"[\x00-\x08\x0b\x0e-\x1a\x1c-\x1f]")
 MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
 
 
 def sniff(body: bytes) -> tuple[str, str]:
-    """Type and charset of a payload without a stated type, from its bytes; an empty type if they aren't text."""
+    """Type and charset of a payload without a stated type, from all its bytes; an empty type if they aren't text."""
     code = next((c for mark, c in MARKS if body.startswith(mark)), "utf-8")
-    if code != "utf-16" and BINARY.search(body[:1445]):
+    if code != "utf-16" and BINARY.search(body):
         return "", code
-    return "text/html" if PAGE.match(body.decode(code, "replace")) else "text/plain", code
+    text = body.decode(code, "replace")
+    return "text/html" if PAGE.match(text) or INNER.search(text) else "text/plain", code
+
+
+def judged(stated: str | None, data: bytes) -> bool | None:
+    """Whether a stated digest is that of ``data``: in base 32 or hexadecimal, by any algorithm known here; None if that can't be told."""
+    name, mark, value = (stated or "").partition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip().rstrip("=")
+    if not mark or name not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return None
+    digest = hashlib.new(name, data).digest()
+    return value.lower() == digest.hex() if len(value) == 2 * len(digest) else value.upper() == base64.b32encode(digest).decode().rstrip("=") if len(value) == -(-8 * len(digest) // 5) else None
+
+
+def digests_hold(stated: list[tuple[str | None, bytes]]) -> bool | None:
+    """False if a stated digest is wrong; None if none can be judged though some are stated; else true."""
+    found = [judged(s, data) for s, data in stated if s]
+    return False if False in found else True if True in found or not found else None
 
 
 def read_page(page: str) -> tuple[str, str | None, list[str]]:
@@ -198,6 +236,7 @@ def derive(data: bytes | None) -> dict:
     kind = (by_name(http).get("content-type") or "").lower()
     source, target, date = (warc.get(k) or "" for k in ("warc-record-id", "warc-target-uri", "warc-date"))
     payload, stated, whole = sha1(body), warc.get("warc-payload-digest"), warc.get("warc-block-digest")
+    hold = digests_hold([(stated, body), (whole, block)])
     entity, stated_code = decode_body(http, body), CHARSET.search(one(http, "Content-Type") or "")
     code = stated_code[1] if stated_code else "utf-8"
     if not kind:
@@ -205,13 +244,14 @@ def derive(data: bytes | None) -> dict:
     page = decoded(entity, code)
     text, title, links = read_page(page) if "html" in kind else (page if kind.startswith("text/") else "", None, [])
     shared = [("WARC-Target-URI", target), ("WARC-Date", date), ("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", date)]
+    text = clean(text)  # character references can name surrogates
     about = {"warc": fields, "status": status, "http": http, "title": title, "links": links}
     meta_id, text_id = record_id(source, "metadata"), record_id(source, "conversion")
     block_m, block_t = json.dumps(about, ensure_ascii=False).encode("utf-8", "surrogatepass"), text.encode("utf-8", "surrogatepass")
     meta = write_record([("WARC-Type", "metadata"), ("WARC-Record-ID", meta_id), *shared, ("WARC-Source-Payload-Digest", stated or payload), ("Content-Type", "application/json")], block_m)
     conversion = write_record([("WARC-Type", "conversion"), ("WARC-Record-ID", text_id), *shared, ("WARC-Source-Payload-Digest", stated or payload), ("Content-Type", "text/plain; charset=utf-8")], block_t)
     return {
-        "refers_to": source, "target_uri": target, "warc_date": date, "http_status": status, "payload_digest": payload, "digest_ok": stated in (None, payload) and whole in (None, sha1(block)),
+        "refers_to": source, "target_uri": target, "warc_date": date, "http_status": status, "payload_digest": payload, "digest_ok": hold,
         "metadata_id": meta_id, "conversion_id": text_id, "n_links": len(links), "text": text, "metadata": meta, "conversion": conversion, "error": None,
     }
 
@@ -236,7 +276,8 @@ def _each_binary(df: DataFrame, column: str, fields: list, work) -> DataFrame:
 def derivatives(records: DataFrame, column: str = "record") -> DataFrame:
     """``records`` without ``column`` (binary response records), with both derivative records and their fields.
 
-    A null, damaged or other kind of record keeps its row, with nulls and the reason in ``error``. Repeated records give equal
+    A null, damaged or other kind of record keeps its row, with nulls and the reason in ``error``. ``digest_ok`` is null where digests are stated that
+    can't be judged. Repeated records give equal
     derivatives, ids included; records of any length are derived whole; an empty table gives an empty table. Other columns are kept unless they are named like an output.
     """
     return _each_binary(records, column, FIELDS, derive)
