@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.llm.common import batches_by_bytes
@@ -305,6 +306,47 @@ def packet_table(decoded: DataFrame) -> DataFrame:
     return decoded.select("doc_id", F.posexplode("packets").alias("packet", "p")).select("doc_id", "packet", "p.*")
 
 
+def cue_table(files: DataFrame) -> DataFrame:
+    """One row for each cue of each readable file in ``files(doc_id, media)``: ``doc_id, cue, time, track, cluster``, the byte at which the cue's
+    cluster begins. Null and damaged files have none."""
+    kind = pa.list_(pa.struct([("time", pa.int64()), ("track", pa.int64()), ("cluster", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches_by_bytes(batches, 1):
+            found = []
+            for data in part.column(1).to_pylist():
+                try:
+                    cues = demux(data).cues if data is not None else []
+                    found.append(pa.array([{"time": t, "track": n, "cluster": at} for t, n, at in cues], kind.value_type).to_pylist())
+                except (ValueError, IndexError, OverflowError, struct.error):
+                    found.append([])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, kind)], ["doc_id", "cues"])
+
+    rows = files.select("doc_id", "media").mapInArrow(run, f"doc_id {files.schema['doc_id'].dataType.simpleString()}, cues array<struct<time:bigint,track:bigint,cluster:bigint>>")
+    return rows.select("doc_id", F.posexplode("cues").alias("cue", "c")).select("doc_id", "cue", "c.*")
+
+
+def sought(wanted: DataFrame, cues: DataFrame, packets: DataFrame) -> DataFrame:
+    """``doc_id, time, cluster, packet, timestamp, start, size`` for each of ``wanted(doc_id, time)``: the cluster of the last cue at or before the
+    time, and the first packet from there on that isn't earlier than the time (null if none is). ``cues`` and ``packets`` are the tables of
+    ``cue_table`` and ``packet_table``; repeated wishes each get a row.
+
+    Cues are joined as of the time by one sorted pass over both, a file at a time; of packets only those between the wish and the cue after it
+    are compared.
+    """
+    none = F.lit(None).cast("bigint")
+    own = wanted.select("doc_id", "time", F.lit(1).alias("_w"), none.alias("cluster"))
+    both = own.unionByName(cues.select("doc_id", "time", F.lit(0).alias("_w"), "cluster"))
+    order = W.partitionBy("doc_id").orderBy("time", "_w")
+    after = W.partitionBy("doc_id").orderBy(F.desc("time"), F.desc("_w")).rowsBetween(W.unboundedPreceding, -1)
+    placed = both.withColumn("cluster", F.last("cluster", True).over(order)).withColumn("_until", F.last(F.when(F.col("_w") == 0, F.col("time")), True).over(after))
+    placed = placed.where("_w = 1").withColumn("_n", F.monotonically_increasing_id()).drop("_w")
+    near = (F.col("timestamp") >= F.col("time")) & (F.col("start") > F.coalesce("cluster", F.lit(-1))) & (F.col("_until").isNull() | (F.col("timestamp") <= F.col("_until")))
+    met = placed.join(packets.withColumnRenamed("doc_id", "_d"), (F.col("doc_id") == F.col("_d")) & near, "left")
+    first = F.min(F.when(F.col("packet").isNotNull(), F.struct("timestamp", "packet", "start", "size"))).alias("p")
+    return met.groupBy("_n", "doc_id", "time", "cluster").agg(first).select("doc_id", "time", "cluster", "p.packet", "p.timestamp", "p.start", "p.size")
+
+
 def op5_matroska(spark, sf_dir: str) -> DataFrame:
     """All texts of ``documents`` through Matroska and back: sizes, digests of what was read back, features."""
     back = decode_media(encode_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
