@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framewright.llm.common import small, stored
+from framewright.llm.common import batches_by_bytes, small, stored
 from framewright.llm.wordhash import mix
 from framewright.llm.wordlists import as_strings, kinds, split_words
 
@@ -26,7 +26,9 @@ MOST_WORDS, LEAST_COUNT, BEST = 4, 30, 2000
 #: A candidate goes if a longer one around it has this share of its occurrences; scores are this many times a / (l + r).
 INSIDE_PERCENT, SCALE = 80, 2_000_000
 #: Bytes of text that a task gathers before it counts the language it has most of; a longer text is taken whole.
-BLOCK = 24 << 20
+BLOCK = 3 << 20
+#: Rows that leave a task at once.
+OUT_ROWS = 1 << 15
 #: Bits of a bitmap for each phrase, at least and at most in all.
 BITS_EACH, LEAST_BITS, MAX_BITS = 16, 1 << 10, 1 << 28
 KIND = kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
@@ -58,7 +60,7 @@ def among(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
 
 def counted(columns: list[np.ndarray], most: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows of the columns, whose values are under ``most``, and how often each occurs. Codes that would pass 62 bits are replaced by their rank on the way."""
-    code, high, steps = columns[0], most, []
+    code, high, steps = columns[0].astype(np.int64), most, []
     for c in columns[1:]:
         if high * most >= 1 << 62:
             ranks, code = np.unique(code, return_inverse=True)
@@ -109,22 +111,24 @@ def _counts(docs: DataFrame, k: int, bitmap) -> DataFrame:
         sizes: dict[str, int] = {}
         bits = np.frombuffer(bitmap.value, dtype=np.uint8) if bitmap is not None else None
 
-        def flush(lang: str) -> pa.RecordBatch:
+        def flush(lang: str) -> Iterator[pa.RecordBatch]:
             sizes.pop(lang)
             parts = [x.cast(pa.large_string()) for x in held.pop(lang)]
             phrase, f = count_block(pa.concat_arrays(parts), lang, k, bits)
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(f)), as_strings(phrase), pa.array(f.astype(np.int64))], ["lang", "phrase", "f"])
+            for a in range(0, len(f), OUT_ROWS):
+                n = f[a : a + OUT_ROWS].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), as_strings(phrase.slice(a, OUT_ROWS)), pa.array(n)], ["lang", "phrase", "f"])
 
-        for batch in batches:
+        for batch in batches_by_bytes(batches, 1):
             langs = batch.column(0).dictionary_encode()
             for i, lang in enumerate(langs.dictionary.to_pylist()):
                 texts = batch.column(1).filter(pc.equal(langs.indices, i))
                 held.setdefault(lang, []).append(texts)
                 sizes[lang] = sizes.get(lang, 0) + texts.nbytes
             while sum(sizes.values()) > BLOCK:
-                yield flush(max(sizes, key=sizes.get))
+                yield from flush(max(sizes, key=sizes.get))
         for lang in list(sizes):
-            yield flush(lang)
+            yield from flush(lang)
 
     own = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     return own.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
