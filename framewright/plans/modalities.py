@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -18,11 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from framewright.functions import frame_indices, l2_normalize, noise_profile_length, unicode_strip, zero_vector
+from framewright.operators.audio import quantize, reblock, resample, spectral_gate
 from framewright.operators.pooling import weighted_mean_pool
 from framewright.sources.backends import Backend
+from framewright.sources.wave import wave_blocks, wave_headers
 
-#: Rows of vectors that leave a Python task at once.
-OUT_ROWS = 64
+#: Rows of vectors that leave a Python task at once; sample rates of one collection at most.
+OUT_ROWS, MOST_RATES = 64, 64
 EMBEDDING = "video_id string, modality string, dim int, vec array<float>, status string, error string"
 
 
@@ -136,6 +139,34 @@ def _audio_pass(media: DataFrame, backend: Backend, config: AudioConfig, strict:
     return _each(media.select("video_id", "path"), backend, run, schema, strict)
 
 
+def load_audio(files: DataFrame, rate: int = 16000) -> DataFrame:
+    """``path, start, total, samples`` of the readable WAVE files in ``files(path, length)``: mono, at this rate, as 16-bit integers hold them.
+
+    Files are read by byte ranges, each of its rate by itself; the rates of a collection are few, and more than ``MOST_RATES`` raise.
+    """
+    headers = wave_headers(files)
+    rates = [r["rate"] for r in headers.where("rate IS NOT NULL").select("rate").distinct().limit(MOST_RATES + 1).collect()]
+    if len(rates) > MOST_RATES:
+        raise ValueError(f"more than {MOST_RATES} sample rates")
+    parts = [resample(wave_blocks(headers.where(F.col("rate") == r)), ["path"], r, rate) for r in sorted(rates)]
+    whole = reduce(DataFrame.unionByName, parts) if parts else resample(wave_blocks(headers), ["path"], rate, rate)
+    return quantize(whole)
+
+
+def clean_audio(files: DataFrame, config: AudioConfig = AudioConfig()) -> DataFrame:
+    """``load_audio`` without stationary noise, whose profile is the first ``profile_sec`` seconds of each file."""
+    return spectral_gate(load_audio(files, config.rate), ["path"], config.rate, int(config.profile_sec * config.rate))
+
+
+def speech_chunks(audio: DataFrame, config: AudioConfig = AudioConfig()) -> DataFrame:
+    """``path, chunk_id, start, total, samples``: the chunks that a speech model takes, from ``load_audio`` rows. A tail shorter than ``min_chunk`` is left out."""
+    chunk = int(config.chunk_sec * config.rate)
+    hop = max(1, chunk - int(config.overlap_sec * config.rate))
+    cut = reblock(audio, ["path"], hop, 0, chunk - hop)
+    cut = cut.where((F.col("k") == 0) | ((F.col("k") - 1) * hop + chunk < F.col("total")))  # none begins once a chunk has reached the end
+    return cut.where(F.size("samples") >= config.min_chunk).select("path", F.col("k").cast("int").alias("chunk_id"), F.col("first").alias("start"), "total", "samples")
+
+
 def audio_embeddings(media: DataFrame, backend: Backend, audio: AudioConfig = AudioConfig(), text: TextConfig = TextConfig(), strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(embeddings, transcripts)`` of the text, speech and background modalities from one decode of each file.
 
