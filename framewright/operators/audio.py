@@ -8,6 +8,7 @@ gives the same samples whatever the blocks were.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from math import gcd
 
 import numpy as np
@@ -95,6 +96,28 @@ def sinc_filter(up: int, down: int, zeros: int = ZEROS, beta: float = BETA) -> t
     return taps / taps.sum(axis=1, keepdims=True), reach
 
 
+def resampled(first: int, x: np.ndarray, a: int, b: int, up: int, down: int, taps: np.ndarray, reach: int) -> np.ndarray:
+    """Outputs ``a`` to ``b`` of a track of which ``x`` begins at ``first`` and holds what they need."""
+    if b <= a:
+        return np.zeros(0)
+    place = np.arange(a, b, dtype=np.int64) * down
+    whole, phase = place // up, place % up
+    views = np.lib.stride_tricks.sliding_window_view(window_of(first, x, int(whole[0]) - reach, int(whole[-1]) + reach + 1), 2 * reach)
+    y = np.empty(b - a)
+    for p in range(min(up, b - a)):
+        rows = np.arange(p, b - a, up)
+        y[rows] = views[whole[rows] - whole[0] + 1] @ taps[phase[p]]
+    return y
+
+
+def resample_array(x: np.ndarray, rate_in: int, rate_out: int = 16000) -> np.ndarray:
+    """``resample`` of one whole track."""
+    if rate_in == rate_out:
+        return np.asarray(x, dtype=np.float32)
+    up, down = rate_out // gcd(rate_in, rate_out), rate_in // gcd(rate_in, rate_out)
+    return resampled(0, np.asarray(x, dtype=np.float64), 0, -(-len(x) * up // down), up, down, *sinc_filter(up, down)).astype(np.float32)
+
+
 def resample(blocks: DataFrame, keys: list[str], rate_in: int, rate_out: int = 16000, block: int = BLOCK) -> DataFrame:
     """``keys, start, total, samples`` at ``rate_out``: output j stands at ``j * rate_in / rate_out``, from polyphase windowed-sinc taps over
     the samples around it (zeros beyond the track's ends); a track of n samples gives ``ceil(n * rate_out / rate_in)``."""
@@ -107,14 +130,7 @@ def resample(blocks: DataFrame, keys: list[str], rate_in: int, rate_out: int = 1
         a, b = k * size // down * up, min(n_out, (k + 1) * size // down * up)
         if up == down:
             return {"start": [a], "total": [n_out], "samples": [window_of(first, x, a, b).astype(np.float32)]}
-        place = np.arange(a, b, dtype=np.int64) * down
-        whole, phase = place // up, place % up
-        near = window_of(first, x, k * size - reach, (k + 1) * size + reach + 1)
-        views = np.lib.stride_tricks.sliding_window_view(near, 2 * reach)
-        y = np.empty(b - a)
-        for p in range(min(up, b - a)):
-            rows = np.flatnonzero(phase == phase[p])
-            y[rows] = views[whole[rows] - k * size + 1] @ taps[phase[p]]
+        y = resampled(first, x, a, b, up, down, taps, reach)
         return {"start": [a], "total": [n_out], "samples": [y.astype(np.float32)]}
 
     return by_row(reblock(blocks, keys, size, reach, reach + 1), keys, work, "start long, total long, samples array<float>")
@@ -211,6 +227,49 @@ def smoothing(n: int) -> np.ndarray:
     return w / w.sum()
 
 
+@dataclass(frozen=True)
+class Gate:
+    """A gate's frames and smoothing, from its settings in hertz and milliseconds."""
+
+    n_fft: int
+    hop: int
+    over_bins: np.ndarray
+    over_frames: np.ndarray
+    reduction: float
+
+    @staticmethod
+    def of(rate: int, n_fft: int, hop: int, reduction: float, smooth_hz: float, smooth_ms: float) -> Gate:
+        if n_fft % hop:
+            raise ValueError("the hop has to divide the frame")
+        return Gate(n_fft, hop, smoothing(int(smooth_hz / (rate / n_fft))), smoothing(int(smooth_ms / (1000 * hop / rate))), reduction)
+
+    @property
+    def reach(self) -> int:
+        return len(self.over_frames) // 2
+
+    def gated(self, first: int, x: np.ndarray, lo: int, hi: int, total: int, limit: np.ndarray) -> np.ndarray:
+        """Samples ``lo`` to ``hi`` of a track of which ``x`` begins at ``first`` and holds what their frames and those around them need."""
+        n_fft, hop, every = self.n_fft, self.hop, n_frames(total, self.n_fft, self.hop)
+        f0, f1 = max(0, lo // hop), min(every, -(-(hi + n_fft - hop) // hop))  # those that overlap the samples
+        g0, g1 = max(0, f0 - self.reach), min(every, f1 + self.reach)
+        z = frames_of(first, x, g0, g1, n_fft, hop)
+        mask = _smoothed(_smoothed((decibels(z) > limit).astype(np.float64), self.over_bins, 1), self.over_frames, 0)
+        z *= 1 - self.reduction * (1 - mask)
+        back = np.fft.irfft(z[f0 - g0 : f1 - g0], n=n_fft, axis=1)
+        return added(back, np.arange(f0, f1), lo, hi, n_fft, hop) / float((hann(n_fft) ** 2)[::hop].sum())
+
+
+def gate_array(
+    x: np.ndarray, profile: np.ndarray, rate: int = 16000, n_fft: int = GATE_FFT, hop: int = GATE_HOP, deviations: float = 1.5, reduction: float = 1.0, smooth_hz: float = 500.0, smooth_ms: float = 50.0
+) -> np.ndarray:
+    """``spectral_gate`` of one whole track with the noise of ``profile``."""
+    x = np.asarray(x, dtype=np.float64)
+    if not len(x):
+        return x.astype(np.float32)
+    limit = noise_floor(np.asarray(profile, dtype=np.float64), n_fft, hop, deviations)
+    return Gate.of(rate, n_fft, hop, reduction, smooth_hz, smooth_ms).gated(0, x, 0, len(x), len(x), limit).astype(np.float32)
+
+
 def spectral_gate(
     blocks: DataFrame, keys: list[str], rate: int = 16000, profile: int = 8000, n_fft: int = GATE_FFT, hop: int = GATE_HOP, deviations: float = 1.5, reduction: float = 1.0,
     smooth_hz: float = 500.0, smooth_ms: float = 50.0, block: int = BLOCK,
@@ -222,13 +281,9 @@ def spectral_gate(
     with the frames around them, so frames are made where they are used and only samples are shuffled; the
     profile, ``profile`` samples at most, is joined by track, whose skew Spark splits.
     """
-    if n_fft % hop:
-        raise ValueError("the hop has to divide the frame")
-    over_bins, over_frames = smoothing(int(smooth_hz / (rate / n_fft))), smoothing(int(smooth_ms / (1000 * hop / rate)))
-    reach = len(over_frames) // 2
+    gate = Gate.of(rate, n_fft, hop, reduction, smooth_hz, smooth_ms)
     size = max(1, block // hop) * hop
-    weight = float((hann(n_fft) ** 2)[::hop].sum())
-    halo = n_fft + reach * hop
+    halo = n_fft + gate.reach * hop
     head = reblock(blocks.where(F.col("start") < profile), keys, profile).where("k = 0")
 
     def floor_of(k: int, first: int, total: int, x: np.ndarray) -> dict:
@@ -239,15 +294,8 @@ def spectral_gate(
 
     def work(k: int, first: int, total: int, both: np.ndarray) -> dict:
         x, limit = both[:-width], both[-width:]
-        lo, hi, every = k * size, min(total, (k + 1) * size), n_frames(total, n_fft, hop)
-        f0, f1 = max(0, lo // hop), min(every, -(-(hi + n_fft - hop) // hop))  # those that overlap the block
-        g0, g1 = max(0, f0 - reach), min(every, f1 + reach)
-        z = frames_of(first, x, g0, g1, n_fft, hop)
-        mask = (decibels(z) > limit).astype(np.float64)
-        mask = _smoothed(_smoothed(mask, over_bins, 1), over_frames, 0)
-        z *= 1 - reduction * (1 - mask)
-        y = added(np.fft.irfft(z[f0 - g0 : f1 - g0], n=n_fft, axis=1), np.arange(f0, f1), lo, hi, n_fft, hop) / weight
-        return {"start": [lo], "total": [total], "samples": [y.astype(np.float32)]}
+        lo, hi = k * size, min(total, (k + 1) * size)
+        return {"start": [lo], "total": [total], "samples": [gate.gated(first, x, lo, hi, total, limit).astype(np.float32)]}
 
     near = reblock(blocks, keys, size, halo, halo).join(floors, keys)
     near = near.withColumn("samples", F.concat(F.col("samples").cast("array<double>"), "floor"))

@@ -46,6 +46,8 @@ class Track:
     pts: np.ndarray
     decode: np.ndarray
     keys: np.ndarray
+    width: int = 0
+    height: int = 0
 
 
 def boxes(read: Callable[[int, int], bytes], start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
@@ -124,6 +126,7 @@ def _track(data: bytes, start: int, end: int, length: int) -> Track:
     kind = data[found[b"hdlr"][0] + 8 :][:4].decode("latin-1")
     a, b = found[b"stsd"]
     codec = data[a + 12 : a + 16].decode("latin-1") if b - a >= 16 else ""
+    width, height = struct.unpack(">HH", data[a + 40 : a + 44]) if kind == "vide" and b - a >= 44 else (0, 0)
 
     a, b = found[b"stsz"]
     if b - a < 12:
@@ -154,7 +157,7 @@ def _track(data: bytes, start: int, end: int, length: int) -> Track:
         keys = np.maximum.accumulate(keyed) if n else keyed
     else:
         keys = place
-    return Track(kind, codec, timescale, offsets, sizes, pts, np.argsort(pts, kind="stable"), keys)
+    return Track(kind, codec, timescale, offsets, sizes, pts, np.argsort(pts, kind="stable"), keys, width, height)
 
 
 def _runs(table: np.ndarray, n: int) -> np.ndarray:
@@ -257,7 +260,7 @@ def read_packets(planned: DataFrame, gap: int = GAP) -> DataFrame:
     return dealt.mapInArrow(run, f"{types}, packets array<binary>")
 
 
-def mp4_bytes(frames: list[bytes], keyframe: list[bool], order: list[int] | None = None, codec: bytes = b"raw ", step: int = 40, timescale: int = 1000, per_chunk: int = 4, tail: bool = True) -> bytes:
+def mp4_bytes(frames: list[bytes], keyframe: list[bool], order: list[int] | None = None, codec: bytes = b"raw ", step: int = 40, timescale: int = 1000, per_chunk: int = 4, tail: bool = True, width: int = 0, height: int = 0) -> bytes:
     """A file with one video track, for tests and queries: packets in decoding order, ``order`` the place of each in presentation; the ``moov``
     box comes last (``tail``) or first."""
 
@@ -280,7 +283,7 @@ def mp4_bytes(frames: list[bytes], keyframe: list[bool], order: list[int] | None
         if n % per_chunk:
             runs = [(1, per_chunk), (n // per_chunk + 1, n % per_chunk)][n < per_chunk :]
         tables = [
-            full(b"stsd", struct.pack(">I", 1), box(codec, b"\0" * 8)), full(b"stts", struct.pack(">III", 1, n, step) if n else struct.pack(">I", 0)),
+            full(b"stsd", struct.pack(">I", 1), box(codec, b"\0" * 24, struct.pack(">HH", width, height), b"\0" * 50)), full(b"stts", struct.pack(">III", 1, n, step) if n else struct.pack(">I", 0)),
             full(b"stss", struct.pack(">I", sum(keyframe)), *(struct.pack(">I", i + 1) for i, k in enumerate(keyframe) if k)),
             full(b"stsc", struct.pack(">I", len(runs)), *(struct.pack(">III", a, b, 1) for a, b in runs)),
             full(b"stsz", struct.pack(">II", 0, n), *(struct.pack(">I", len(x)) for x in frames)), full(b"co64", struct.pack(">I", len(chunks)), *(struct.pack(">Q", c) for c in chunks)),
