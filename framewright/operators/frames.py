@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.functions import chunk_bounds, frame_indices, pad_last
@@ -18,6 +19,18 @@ def frame_gather(plan: DataFrame, frames: DataFrame, key: str) -> DataFrame:
     return plan.join(frames, [key, "frame_idx"])
 
 
+def sample_frames(frames: DataFrame, key: str, order: list[str | Column], n_want: int = 16) -> DataFrame:
+    """``frames`` at evenly spread positions of each key, with ``slot`` and ``frame_idx``; a position that is planned again comes again.
+
+    Frames are counted and numbered in one pass over one shuffle, and each finds its own slots, so there is no plan to join. Should
+    the frames have columns named like those, they are replaced.
+    """
+    by = W.partitionBy(key)
+    numbered = frames.drop("slot", "frame_idx").withColumn("frame_idx", (F.row_number().over(by.orderBy(*order)) - 1).cast("bigint"))
+    plan = F.transform(frame_indices(F.count("*").over(by), n_want), lambda x, i: F.when(x == F.col("frame_idx"), i))
+    return numbered.withColumn("slot", F.filter(plan, lambda i: i.isNotNull())).withColumn("slot", F.explode("slot"))
+
+
 def keep_decoded(gathered: DataFrame, key: str, value: str, decoded: str, n_want: int = 16) -> DataFrame:
     """Drops frames that failed to decode, keeps slot order and repeats the last good frame at the end.
 

@@ -8,10 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from framewright.functions import l2_normalize, noise_profile_length, preview, seconds_label, unicode_strip, zero_vector
-from framewright.operators import chunk_plan, first_token, frame_gather, frame_plan, keep_decoded, mean_pool, weighted_mean_pool
+from framewright.operators import chunk_plan, first_token, frame_plan, keep_decoded, mean_pool, sample_frames, weighted_mean_pool
 from framewright.operators.pooling import chunk_sums
 from framewright.plans import audio, video
 from framewright.session import read_table
@@ -60,19 +59,16 @@ def frame_sample_odd(spark: SparkSession, d: str) -> DataFrame:
     return frame_plan(_event_counts(spark, d), "user_id", "n", 9)
 
 
-def _event_frames(spark: SparkSession, d: str) -> DataFrame:
-    order = W.partitionBy("user_id").orderBy("ts", "event_id")
-    e = read_table(spark, d, "events")
-    return e.select("user_id", (F.row_number().over(order) - 1).cast("bigint").alias("frame_idx"), "event_id", "event_type")
+def _sampled(spark: SparkSession, d: str) -> DataFrame:
+    return sample_frames(read_table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], 16)
 
 
 def frame_gather_query(spark: SparkSession, d: str) -> DataFrame:
-    plan = frame_sample_16(spark, d)
-    return frame_gather(plan, _event_frames(spark, d), "user_id").select("user_id", "slot", "frame_idx", "event_id")
+    return _sampled(spark, d).select("user_id", "slot", "frame_idx", "event_id")
 
 
 def decode_filter_pad_last(spark: SparkSession, d: str) -> DataFrame:
-    gathered = frame_gather(frame_sample_16(spark, d), _event_frames(spark, d), "user_id").withColumn("ok", F.col("event_type") != "error")
+    gathered = _sampled(spark, d).withColumn("ok", F.col("event_type") != "error")
     return keep_decoded(gathered, "user_id", "event_id", "ok", 16).select("user_id", F.posexplode("frames").alias("slot", "event_id"))
 
 
