@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +19,29 @@ BLOCK, RATE_IN, RATE_OUT = 300, 12000, 16000
 GATE = {"rate": 1000, "profile": 64, "n_fft": 16, "hop": 4, "deviations": 0.5, "reduction": 0.9, "smooth_hz": 130.0, "smooth_ms": 9.0}
 
 
-def _codes(text: str) -> Column:
-    return F.transform(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), ""), lambda c: c != ""), lambda c: F.ascii(c))
+def _tracks(texts: DataFrame, keys: list[str], of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``keys, start, total, samples`` of each row's ``text`` as one block: ``of`` makes samples of its code points. Null texts are empty."""
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*keys).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                x = [of(np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)).astype(np.float32) for t in part.column(len(keys)).to_pylist()]
+                n = np.array([len(v) for v in x], dtype=np.int64)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                samples = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x)))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], pa.array(np.zeros_like(n)), pa.array(n), samples], [*keys, "start", "total", "samples"])
+
+    return texts.select(*keys, "text").mapInArrow(run, f"{types}, start long, total long, samples array<float>")
+
+
+def _wide(codes: np.ndarray) -> np.ndarray:
+    return (codes * 257 % 65536 - 32768) / 32768
+
+
+def _narrow(codes: np.ndarray) -> np.ndarray:
+    return (codes % 128 - 64) / 64
 
 
 def _total(values: Column, start: Column) -> Column:
@@ -26,8 +51,8 @@ def _total(values: Column, start: Column) -> Column:
 
 def wave_samples(spark: SparkSession, d: str) -> DataFrame:
     """Every document as a 16-bit file, written by tasks, whose headers and byte ranges are read again; sums of each block of 4096 samples."""
-    tracks = read_table(spark, d, "documents").select("doc_id", F.transform(_codes("text"), lambda c: ((c * 257) % 65536 - 32768) / F.lit(32768.0)).alias("x"))
-    files = write_waves(tracks, shared_folder(spark), "doc_id", "x", 8000)
+    tracks = _tracks(read_table(spark, d, "documents"), ["doc_id"], _wide)
+    files = write_waves(tracks, shared_folder(spark), "doc_id", "samples", 8000)
     blocks = wave_blocks(wave_headers(files), 4096)
     whole = F.transform("samples", lambda x: (x.cast("double") * 32768).cast("bigint"))
     placed = F.transform("samples", lambda x, i: (x.cast("double") * 32768).cast("bigint") * (i % 1000))
@@ -36,9 +61,7 @@ def wave_samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
-    samples = F.transform(_codes("text"), lambda c: ((c % 128 - 64) / F.lit(64.0)).cast("float"))
-    rows = read_table(spark, d, "conversations").select("conv_id", "turn", samples.alias("samples"))
-    return rows.select("conv_id", "turn", F.lit(0).cast("bigint").alias("start"), F.size("samples").cast("bigint").alias("total"), "samples")
+    return _tracks(read_table(spark, d, "conversations"), ["conv_id", "turn"], _narrow)
 
 
 def _moments(blocks: DataFrame) -> DataFrame:
@@ -62,9 +85,7 @@ def spectral_gate_query(spark: SparkSession, d: str) -> DataFrame:
 
 def log_mel(spark: SparkSession, d: str) -> DataFrame:
     """Every document as patches: how many values, their extent and mean."""
-    samples = F.transform(_codes("text"), lambda c: ((c % 128 - 64) / F.lit(64.0)).cast("float"))
-    tracks = read_table(spark, d, "documents").select("doc_id", samples.alias("samples"))
-    blocks = tracks.select("doc_id", F.lit(0).cast("bigint").alias("start"), F.size("samples").cast("bigint").alias("total"), "samples")
+    blocks = _tracks(read_table(spark, d, "documents"), ["doc_id"], _narrow)
     mean = _total(F.transform("mel", lambda v: v.cast("double")), F.lit(0.0)) / F.size("mel")
     return mel_patches(blocks, ["doc_id"]).select("doc_id", "patch", F.size("mel").alias("n"), F.array_min("mel").alias("least"), F.array_max("mel").alias("most"), mean.alias("mean"))
 

@@ -224,5 +224,6 @@ def write_waves(tracks: DataFrame, folder: str, name: str, samples: str, rate: i
                 data = wave_bytes(x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0), rate)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([data], pa.binary())], ["name", "content"])
 
-    rows = tracks.select(F.col(name).cast("string").alias("name"), F.col(samples).cast("array<double>")).mapInArrow(run, "name string, content binary")
+    floats = F.col(samples) if tracks.schema[samples].dataType.simpleString() in ("array<float>", "array<double>") else F.col(samples).cast("array<double>")
+    rows = tracks.select(F.col(name).cast("string").alias("name"), floats).mapInArrow(run, "name string, content binary")
     return write_files(rows, folder, "name", "content", ".wav")
