@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import fresh, small, stored, word_count
+from framewright.llm.common import discard, fresh, small, stored, word_count
 from framewright.llm.langid import identify, train
 from framewright.llm.mixing import mix_sources
 from framewright.llm.ngram_join import similar_documents
@@ -89,7 +89,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stored(docs)
+            if i:
+                discard(before)
     return docs
