@@ -103,7 +103,7 @@ QUERIES = {"npy_round_trip": npy_round_trip, "wave_samples": wave_samples, "resa
 
 _TURNS = """
   s AS MATERIALIZED (SELECT conv_id, turn, i - 1 AS i, (unicode(c) % 128 - 64) / 64.0::DOUBLE AS x
-    FROM (SELECT conv_id, turn, unnest(list_transform(range(1, length(text) + 1), lambda k: text[k:k])) AS c, unnest(range(1, length(text) + 1)) AS i FROM conversations)),
+    FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '(?s).')) AS c, unnest(range(1, length(text) + 1)) AS i FROM conversations)),
   n AS MATERIALIZED (SELECT conv_id, turn, count(*) AS n FROM s GROUP BY ALL)"""
 _MOMENTS = """
   SELECT conv_id, turn, count(*) AS n, round(avg(y), 5) + 0.0::DOUBLE AS mean_a, round(avg(y * y), 5) + 0.0::DOUBLE AS mean_b, round(avg(y * (i % 7 - 3)), 5) + 0.0::DOUBLE AS mean_c
@@ -123,7 +123,7 @@ ORACLES = {
     "npy_round_trip": "SELECT vec_id, CAST(i - 1 AS INTEGER) AS dim, CAST(embedding[i] AS DOUBLE) AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)",
     "wave_samples": """
       SELECT doc_id, CAST(i // 4096 AS INTEGER) AS block, i // 4096 * 4096 AS start, count(*) AS n, CAST(8000 AS INTEGER) AS rate, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(x * (i % 4096 % 1000)) AS BIGINT) AS sum_ix
-      FROM (SELECT doc_id, unnest(list_transform(range(1, length(text) + 1), lambda k: unicode(text[k:k]) * 257 % 65536 - 32768)) AS x, unnest(range(0, length(text))) AS i FROM documents) GROUP BY ALL""",
+      FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '(?s).'), lambda c: unicode(c) * 257 % 65536 - 32768)) AS x, unnest(range(0, length(text))) AS i FROM documents) GROUP BY ALL""",
     "resample_16k": f"""
       WITH {_TURNS},
       d AS (SELECT p, t, t - {ZEROS - 1} - p / 4.0::DOUBLE AS d FROM range(4) a(p), range({2 * ZEROS}) b(t)),
@@ -131,7 +131,8 @@ ORACLES = {
                    * list_sum(list_transform(range(0, 60), lambda k: pow(pow({BETA} * sqrt(1 - pow(d / {ZEROS}, 2)) / 2, k) / gamma(k + 1), 2))) END AS w FROM d),
       h AS MATERIALIZED (SELECT p, t, w / sum(w) OVER (PARTITION BY p) AS w FROM w),
       o AS (SELECT conv_id, turn, unnest(range(0, CAST(ceil(n * 4 / 3.0) AS BIGINT))) AS j FROM n),
-      y AS (SELECT o.conv_id, o.turn, o.j AS i, sum(s.x * h.w) AS y FROM o JOIN h ON h.p = o.j * 3 % 4 JOIN s ON s.conv_id = o.conv_id AND s.turn = o.turn AND s.i = o.j * 3 // 4 + h.t - {ZEROS - 1} GROUP BY ALL)
+      r AS MATERIALIZED (SELECT o.conv_id, o.turn, o.j, h.w, o.j * 3 // 4 + h.t - {ZEROS - 1} AS i FROM o JOIN h ON h.p = o.j * 3 % 4),
+      y AS (SELECT r.conv_id, r.turn, r.j AS i, sum(s.x * r.w) AS y FROM r JOIN s USING (conv_id, turn, i) GROUP BY ALL)
       {_MOMENTS}""",
     "spectral_gate": f"""
       WITH {_TURNS},
