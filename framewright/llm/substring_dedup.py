@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from framewright.llm.common import discard, fresh, small, stored
-from framewright.llm.wordhash import LOW, Spans, TextWords, final_name, names, shared_names, text_blocks
+from framewright.llm.wordhash import Spans, TextWords, final_name, names, shared_names, text_blocks
 
 WINDOW, NODE = 50, 16
 
