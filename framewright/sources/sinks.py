@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-import numpy as np
-from pyspark.sql import DataFrame, Row
+from framewright.sources.npy import register_npy
 
 #: File names by modality, as ``<video_id>_<suffix>.npy``. Fixed values.
 NPY_SUFFIX = {"text": "text_embedding", "video": "timesformer", "speech": "wav2vec2_sp", "background": "yamnet_bg"}
@@ -23,14 +22,8 @@ def write_transcripts(transcripts: DataFrame, path: str, mode: str = "overwrite"
 
 
 def export_npy(embeddings: DataFrame, directory: str) -> None:
-    """One ``.npy`` float32 file for each row with a vector, written by the executors to ``directory`` (a shared mount)."""
-
-    def save(rows: Iterator[Row]) -> None:
-        os.makedirs(directory, exist_ok=True)
-        for r in rows:
-            name = f"{r['video_id']}_{NPY_SUFFIX.get(r['modality'], r['modality'])}.npy"
-            part = os.path.join(directory, f".{name}.part-{os.getpid()}.npy")
-            np.save(part, np.asarray(r["vec"], dtype=np.float32))
-            os.replace(part, os.path.join(directory, name))  # a retried task leaves whole files only
-
-    embeddings.where("vec IS NOT NULL").select("video_id", "modality", "vec").foreachPartition(save)
+    """One ``.npy`` float32 file for each row with a vector, by the two-phase writer of ``npy``: killed and speculated attempts leave nothing."""
+    known = F.create_map(*[F.lit(x) for pair in NPY_SUFFIX.items() for x in pair])
+    name = F.concat_ws("_", F.col("video_id"), F.coalesce(F.try_element_at(known, F.col("modality")), F.col("modality")))
+    register_npy(embeddings.sparkSession)
+    embeddings.where("vec IS NOT NULL").select(name.alias("name"), F.col("vec").cast("array<float>").alias("vec")).write.format("npy").mode("append").save(directory)
