@@ -152,7 +152,7 @@ def test_words_that_once_shared_a_hash(spark, a, b):
     assert rows_of(got) == removed(rows) and {r.n_removed for r in got.collect()} == {0}
 
 
-@pytest.mark.parametrize("bits", [8, 1, 0])
+@pytest.mark.parametrize("bits", [8, 0])
 def test_hashes_of_few_bits_change_no_result(spark, sf, monkeypatch, bits):
     """Nearly every word shares its hash with others."""
     from pyspark.sql import functions as F
@@ -168,7 +168,7 @@ def test_hashes_of_few_bits_change_no_result(spark, sf, monkeypatch, bits):
     monkeypatch.setattr(substring_dedup, "TextWords", Few)
     rng = np.random.default_rng(bits)
     base = [f"b{i}" for i in range(90)]
-    rows = documents(spark, sf)[:: 1 if bits == 8 else 4]
+    rows = documents(spark, sf)[:: 2 if bits else 4]
     for i in range(60):
         w = list(base)
         for k in rng.choice(90, rng.integers(0, 6), replace=False):
