@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +36,8 @@ ROW_BITS, STEP_TOKENS, RATE = 18, 4096, 0.3
 SLICES, TASK_TOKENS = 8, 8_000_000
 #: Rows that travel together, and the unit of a change.
 BLOCK_ROWS, UNIT = 1 << 10, 2.0**-20
-#: Bytes of text that a task splits into words at once.
-BLOCK = 16 << 20
+#: Bytes of text that a task splits into words at once, and tokens that it scores or learns from at once, about.
+BLOCK, PART_TOKENS = 4 << 20, 1 << 17
 #: Scores are cut here, which no sum of exponentials passes; rows as one value each.
 HIGHEST, ONES, ROW = np.float32(80), np.ones(WIDTH, dtype=np.float32), np.dtype((np.void, 4 * WIDTH))
 #: Words before a text.
@@ -162,7 +163,7 @@ def prepare(counts: DataFrame) -> Model:
     short = words.where((F.octet_length("word") <= WORD_BYTES) & (F.col("c") > 1))
     tier = F.floor(F.log2(F.col("c").cast("double")) * 8)
     room, least = LOOKUP_BYTES, None
-    for r in short.groupBy(tier.alias("tier")).agg(F.min("c").alias("c"), F.sum(F.octet_length("word") + 12).alias("bytes")).orderBy(F.desc("tier")).collect():  # some hundreds
+    for r in short.groupBy(tier.alias("tier")).agg(F.min("c").alias("c"), F.sum(F.octet_length("word") + 24).alias("bytes")).orderBy(F.desc("tier")).collect():  # some hundreds
         room -= r["bytes"]
         if room < 0:
             break
@@ -177,25 +178,43 @@ def prepare(counts: DataFrame) -> Model:
     return Model(lookup.slice(0, head), lookup, c, int(seen["n"]), int(seen["v"]), ends, class_tree(mass), rest_tokens, rest_words)
 
 
+def word_hashes(words: pa.Array) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.cast(pa.large_binary()).to_pylist()), dtype=np.uint64, count=len(words))
+
+
+def looked_up(words: pa.Array, hashes: np.ndarray, lookup: pa.Array, rank: np.ndarray) -> np.ndarray:
+    """The rank of each word in ``lookup``, which is in order of its ``hashes``; -1 for a word that isn't there, or is second under its hash."""
+    if not len(hashes):
+        return np.full(len(words), -1)
+    h = word_hashes(words)
+    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+    same = np.flatnonzero(hashes[at] == h)
+    out = np.full(len(words), -1)
+    equal = pc.equal(lookup.take(pa.array(at[same])).cast(pa.large_binary()), words.take(pa.array(same)))
+    same = same[equal.to_numpy(zero_copy_only=False)]
+    out[same] = rank[at[same]]
+    return out
+
+
 def encode(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, n, known, base, rest, ids, others`` of each row: words and end mark, how many of them are known, log10 shares of known
     words, log10 shares within ``rest``, the text's word numbers, and the words that had no place in the look-up table, with their counts."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.lookup, model.lookup_counts))
+    hashes = word_hashes(model.lookup)
+    order = np.argsort(hashes, kind="stable")
+    shared = docs.sparkSession.sparkContext.broadcast((hashes[order], model.lookup.take(pa.array(order)), order.astype(np.int32), model.lookup_counts))
     head, rest, tokens, distinct, ends = len(model.words), model.rest, model.tokens, model.distinct, model.ends
     rest_all = model.rest_tokens + 0.5 * (model.rest_words + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, counts = shared.value
-        lookup = lookup.cast(pa.large_binary())
+        hashes, lookup, rank, counts = shared.value
         share = np.log10((counts + 0.5) / (tokens + 0.5 * (distinct + 1)))
         in_rest = np.where(np.arange(len(counts)) < head, 0.0, np.log10((counts + 0.5) / rest_all))
         end_share = np.log10((ends + 0.5) / (tokens + 0.5 * (distinct + 1)))
         for table in _blocks(batches, 2):
             n_rows = table.num_rows
             found = split_words(_texts(table, "text"), KIND)
-            place = pc.fill_null(pc.index_in(found.words, value_set=lookup), -1).to_numpy().astype(np.int64)
-            at = place[found.codes]
-            known = at >= 0
+            at = looked_up(found.words, hashes, lookup, rank)[found.codes]
+            known = at >= 0  # the others' counts come by a join
             per = np.bincount(found.text, minlength=n_rows)
             base = np.bincount(found.text[known], weights=share[at[known]], minlength=n_rows) + end_share
             inner = np.bincount(found.text[known], weights=in_rest[at[known]], minlength=n_rows)
@@ -309,9 +328,17 @@ def summed(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ranked[heads].astype(np.int64), total
 
 
-def _lists(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
+def _lists(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word numbers and lengths of the rows, about ``PART_TOKENS`` tokens at once."""
     x = batch.column(column)
-    return x.flatten().to_numpy(), x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    ids, lengths = x.flatten().to_numpy(), x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.cumsum(lengths)
+    start = 0
+    while start < len(lengths):
+        used = upto[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(upto, used + PART_TOKENS, side="right")))
+        yield ids[used : upto[stop - 1]], lengths[start:stop]
+        start = stop
 
 
 def _round(encoded: DataFrame, model: Model, tokens: int) -> None:
@@ -324,7 +351,8 @@ def _round(encoded: DataFrame, model: Model, tokens: int) -> None:
         classes, weights, end = shared.value
         scorer = Scorer(classes, weights.copy(), end)
         for batch in batches:
-            scorer.learn(*_lists(batch, 0))
+            for part in _lists(batch, 0):
+                scorer.learn(*part)
         if scorer.squares is None:
             return
         change = np.rint((scorer.weights - weights) / UNIT).astype(np.int32)
@@ -382,7 +410,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.score(*_lists(batch, 1)))], ["row", "model"])
+            if batch.num_rows:
+                scores = np.concatenate([scorer.score(*part) for part in _lists(batch, 1)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["row", "model"])
 
     scored = stored(encoded.select("row", "ids").mapInArrow(run, "row long, model double"))
     shared.destroy()
