@@ -18,10 +18,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def l2_normalize(vec: Column, eps: float = EPS) -> Column:
     """``vec / max(||vec||, eps)`` in doubles, returned as ``array<float>``. Null stays null; a zero vector stays zero."""
-    doubles = vec.cast("array<double>")
-    norm = F.sqrt(F.aggregate(doubles, F.lit(0.0), lambda acc, x: acc + x * x))
-    bound = F.struct(doubles.alias("v"), F.greatest(norm, F.lit(eps)).alias("n"))
-    return let(bound, lambda s: F.transform(s["v"], lambda x: x / s["n"])).cast("array<float>")
+
+    def scaled(doubles: Column) -> Column:
+        norm = F.sqrt(F.aggregate(doubles, F.lit(0.0), lambda acc, x: acc + x * x))
+        return let(F.greatest(norm, F.lit(eps)), lambda n: F.transform(doubles, lambda x: x / n))
+
+    return let(vec.cast("array<double>"), scaled).cast("array<float>")
 
 
 def zero_vector(dim: int) -> Column:

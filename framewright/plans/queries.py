@@ -92,10 +92,10 @@ def transcript_strip(spark: SparkSession, d: str) -> DataFrame:
 def zero_fallback(spark: SparkSession, d: str) -> DataFrame:
     """All 384 values of every document; only labelled ones have a transcript, the others get zeros."""
     labels = read_table(spark, d, "labels").select("doc_id").distinct().withColumn("heard", F.lit(True))
-    docs = read_table(spark, d, "documents").select("doc_id", "text").join(labels, "doc_id", "left")
-    text = unicode_strip(F.when(F.col("heard"), F.col("text")))
-    encoded = F.transform(F.sequence(F.lit(1), F.lit(384)), lambda i: (F.length(text) + i).cast("double"))
-    return _long(docs.select("doc_id", F.when(text == "", zero_vector(384)).otherwise(l2_normalize(encoded)).alias("v")), "doc_id", F.col("v"), 5)
+    lengths = read_table(spark, d, "documents").select("doc_id", F.length(unicode_strip(F.col("text"))).alias("n"))  # once a text, which isn't shuffled
+    docs = lengths.join(labels, "doc_id", "left").select("doc_id", F.when(F.col("heard"), F.col("n")).otherwise(0).alias("n"))
+    encoded = F.transform(F.sequence(F.lit(1), F.lit(384)), lambda i: (F.col("n") + i).cast("double"))
+    return _long(docs.select("doc_id", F.when(F.col("n") == 0, zero_vector(384)).otherwise(l2_normalize(encoded)).alias("v")), "doc_id", F.col("v"), 5)
 
 
 def frame_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -11,6 +11,19 @@ def test_matches_duckdb(spark, sf, name):
     assert compare(spark, QUERIES[name], ORACLES[name], sf) > 0
 
 
+def test_zero_fallback_strips_a_text_once(spark, tmp_path):
+    """Not for each of the 384 values, of which a copy of the stripping in a lambda is a sign."""
+    rows = [(1, "heard"), (2, " \t\u3000"), (3, None), (4, ""), (5, "unlabelled"), (None, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i,) for i in (1, 1, 2, 3, 4)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
+    got = QUERIES["zero_fallback"](spark, str(tmp_path))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    norm = sum((5 + i) ** 2 for i in range(1, 385)) ** 0.5
+    values = {(r.doc_id, r.dim): r.value for r in got.collect()}
+    assert len(values) == 6 * 384
+    assert all(abs(v - ((6 + dim) / norm if doc == 1 else 0)) < 1e-5 for (doc, dim), v in values.items())
+
+
 def test_log_mel_matches_a_plain_version(spark, sf):
     """Every document, frame by frame."""
     import numpy as np
