@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,16 +19,12 @@ PLAN = Preparation(edge=4, crop=4, mean=(0.5, 0.5, 0.5), deviation=(0.25, 0.25,
 def planned_frames(spark: SparkSession, d: str) -> DataFrame:
     """Every document as an MP4 file, written by tasks; 16 frames of each are planned, and read with the packets since their keyframes."""
 
-    def muxed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                frames = [x.encode() for x in batch.column(1)[i].as_py()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([mp4_bytes(frames, [k % KEYED == 0 for k in range(len(frames))])], pa.binary())], ["doc_id", "content"])
+    def video(text: str) -> bytes:
+        frames = [text[k : k + CHARACTERS].encode() for k in range(0, len(text), CHARACTERS)]
+        return mp4_bytes(frames, [k % KEYED == 0 for k in range(len(frames))])
 
-    text = F.coalesce("text", F.lit(""))
-    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CHARACTERS}}}"), F.lit(0))
-    videos = read_table(spark, d, "documents").select("doc_id", pieces.alias("frames")).mapInArrow(muxed, "doc_id long, content binary")
-    index = mp4_index(write_files(videos, shared_folder(spark), "doc_id", "content", ".mp4"))
+    videos = read_table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    index = mp4_index(write_files(videos, shared_folder(spark), "doc_id", "text", ".mp4", lambda x: video(x.as_py())))
     read = read_packets(planned_packets(index))
     last = F.element_at("packets", -1)
     held = F.aggregate(F.transform("packets", lambda p: F.octet_length(p)), F.lit(0).cast("bigint"), lambda a, n: a + n)
