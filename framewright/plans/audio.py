@@ -27,7 +27,7 @@ def _tracks(texts: DataFrame, keys: list[str], of: Callable[[np.ndarray], np.nda
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                x = [of(np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)).astype(np.float32) for t in part.column(len(keys)).to_pylist()]
+                x = [of(_codes(t)).astype(np.float32) for t in part.column(len(keys)).to_pylist()]
                 n = np.array([len(v) for v in x], dtype=np.int64)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
                 samples = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x)))
@@ -36,6 +36,10 @@ def _tracks(texts: DataFrame, keys: list[str], of: Callable[[np.ndarray], np.nda
     return texts.select(*keys, "text").mapInArrow(run, f"{types}, start long, total long, samples array<float>")
 
 
+def _codes(text: str | None) -> np.ndarray:
+    return np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+
+
 def _wide(codes: np.ndarray) -> np.ndarray:
     return (codes * 257 % 65536 - 32768) / 32768
 
@@ -51,8 +55,7 @@ def _total(values: Column, start: Column) -> Column:
 
 def wave_samples(spark: SparkSession, d: str) -> DataFrame:
     """Every document as a 16-bit file, written by tasks, whose headers and byte ranges are read again; sums of each block of 4096 samples."""
-    tracks = _tracks(read_table(spark, d, "documents"), ["doc_id"], _wide)
-    files = write_waves(tracks, shared_folder(spark), "doc_id", "samples", 8000)
+    files = write_waves(read_table(spark, d, "documents"), shared_folder(spark), "doc_id", "text", 8000, lambda x: _wide(_codes(x.as_py())))
     blocks = wave_blocks(wave_headers(files), 4096)
     whole = F.transform("samples", lambda x: (x.cast("double") * 32768).cast("bigint"))
     placed = F.transform("samples", lambda x, i: (x.cast("double") * 32768).cast("bigint") * (i % 1000))

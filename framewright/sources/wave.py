@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.parts import in_parts
 from framewright.sources.files import write_files
 from framewright.sources.ranged import open_ranged, reader
 
@@ -163,20 +164,25 @@ def wave_blocks(headers: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, f = None, None
-        try:
+
+        def rows() -> Iterator[tuple[int, tuple]]:
+            nonlocal opened, f
             for batch in batches:
-                for r in batch.to_pylist():
-                    if opened != r["path"]:
+                for path, rate, channels, bits, floats, data_start, total, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if opened != path:
                         if f is not None:
                             f.close()
-                        opened, f = r["path"], open_ranged(r["path"])
-                    stride, start = r["channels"] * r["bits"] // 8, r["block"] * block
-                    n = min(block, r["total"] - start)
-                    f.seek(r["data_start"] + start * stride)
+                        opened, f = path, open_ranged(path)
+                    stride, start = channels * bits // 8, k * block
+                    n = min(block, total - start)
+                    f.seek(data_start + start * stride)
                     data = f.read(n * stride)
                     if len(data) < n * stride:
                         raise Damaged(f"{opened} got shorter while it was read")
-                    yield _rows([(opened, r["block"], start, r["total"], r["rate"], _mono(samples_of(data, r["bits"], r["floats"], r["channels"])))])
+                    yield 4 * n, (path, k, start, total, rate, _mono(samples_of(data, bits, floats, channels)))
+
+        try:
+            yield from in_parts(rows(), _rows)
         finally:
             if f is not None:
                 f.close()
@@ -215,15 +221,14 @@ def wave_bytes(samples: np.ndarray, rate: int) -> bytes:
     return b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, PCM, 1, rate, 2 * rate, 2, 16) + b"data" + struct.pack("<I", len(data)) + data
 
 
-def write_waves(tracks: DataFrame, folder: str, name: str, samples: str, rate: int) -> DataFrame:
-    """``path, length`` of one 16-bit file for each row (see ``write_files``)."""
+def write_waves(tracks: DataFrame, folder: str, name: str, samples: str, rate: int, of: Callable[[pa.Scalar], np.ndarray] | None = None) -> DataFrame:
+    """``path, length`` of one 16-bit file for each row (see ``write_files``). ``of`` makes the samples of a value of any other kind, in the
+    task that writes the file, so that only one track's samples are held."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, x in enumerate(batch.column(1)):
-                data = wave_bytes(x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0), rate)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([data], pa.binary())], ["name", "content"])
+    def encoded(x: pa.Scalar) -> bytes:
+        values = of(x) if of else x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0)
+        return wave_bytes(values, rate)
 
-    floats = F.col(samples) if tracks.schema[samples].dataType.simpleString() in ("array<float>", "array<double>") else F.col(samples).cast("array<double>")
-    rows = tracks.select(F.col(name).cast("string").alias("name"), floats).mapInArrow(run, "name string, content binary")
-    return write_files(rows, folder, "name", "content", ".wav")
+    numbers = of or tracks.schema[samples].dataType.simpleString() in ("array<float>", "array<double>")
+    rows = tracks.select(F.col(name).alias("name"), (F.col(samples) if numbers else F.col(samples).cast("array<double>")).alias("samples"))
+    return write_files(rows, folder, "name", "samples", ".wav", encoded)
