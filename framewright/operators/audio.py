@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 from math import gcd
 
 import numpy as np
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.parts import in_parts, lists
+
 #: Samples of a block that is made here, about.
 BLOCK = 1 << 16
 #: The resampling filter: zero crossings on each side, and the shape of its Kaiser window.
@@ -46,25 +49,36 @@ def reblock(blocks: DataFrame, keys: list[str], size: int, before: int = 0, afte
     return joined.select(*keys, "total", "k", F.col("p")[0]["at"].alias("first"), F.flatten(F.col("p.x")).alias("samples"))
 
 
-def by_row(df: DataFrame, keys: list[str], work: Callable[[int, int, int, np.ndarray], dict | None], fields: str) -> DataFrame:
-    """``keys`` and ``fields`` from ``work(k, first, total, samples)`` on each row of ``reblock``; None leaves the row out."""
-    kept = [f.strip().rsplit(" ", 1)[0].split(" ", 1)[0] for f in _split(fields)]
+def by_row(df: DataFrame, keys: list[str], work: Callable[..., dict | None], fields: str, extra: str | None = None) -> DataFrame:
+    """``keys`` and ``fields`` from ``work(k, first, total, samples)`` on each row of ``reblock``; None leaves the row out. ``extra`` names one
+    more column of arrays, which ``work`` gets last."""
     schema = pa.schema([(name, _arrow(kind)) for name, kind in (f.split(" ", 1) for f in _split(fields))])
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+    arrays = ["samples", *([extra] if extra else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, (k, first, total) = batch.columns[: len(keys)], (batch.column(len(keys) + i).to_pylist() for i in range(3))
-            for i in range(batch.num_rows):
-                x = batch.column(len(keys) + 3)[i].values.to_numpy(zero_copy_only=False)
-                out = work(k[i], first[i], total[i], np.nan_to_num(x.astype(np.float64)))
-                if out is None:
-                    continue
-                n = len(next(iter(out.values())))
-                one = pa.array(np.full(n, i))
-                yield pa.RecordBatch.from_arrays([*(c.take(one) for c in own), *(pa.array(out[name], schema.field(name).type) for name in kept)], [*keys, *kept])
+            k, first, total = (batch.column(len(keys) + i).to_pylist() for i in range(3))
+            columns = [batch.column(len(keys) + 3 + i) for i in range(len(arrays))]
+            flat = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in columns]
+
+            def rows() -> Iterator[tuple[int, tuple]]:
+                for i in range(batch.num_rows):
+                    x, *more = (values[at[i] : at[i + 1]].astype(np.float64) for at, values in flat)
+                    out = work(k[i], first[i], total[i], np.nan_to_num(x), *more)
+                    if out is not None:
+                        n = len(next(iter(out.values())))
+                        yield sum(sum(map(len, v)) if pa.types.is_list(kind) else n for v, kind in zip((out[f.name] for f in schema), schema.types, strict=True)) * 8, (i, n, out)
+
+            def made(part: list[tuple]) -> pa.RecordBatch:
+                place = pa.array(np.repeat([i for i, _, _ in part], [n for _, n, _ in part]))
+                values = [[x for _, _, out in part for x in out[f.name]] for f in schema]
+                own = [batch.column(i).take(place) for i in range(len(keys))]
+                return pa.RecordBatch.from_arrays([*own, *(lists(v, f.type) if pa.types.is_list(f.type) else pa.array(v, f.type) for v, f in zip(values, schema, strict=True))], [*keys, *schema.names])
+
+            yield from in_parts(rows(), made)
 
-    return df.select(*keys, "k", "first", "total", "samples").mapInArrow(run, f"{types}, {fields}")
+    return df.select(*keys, "k", "first", "total", *arrays).mapInArrow(run, f"{types}, {fields}")
 
 
 def _split(fields: str) -> list[str]:
@@ -142,6 +156,7 @@ def quantize(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("samples", step)
 
 
+@cache
 def hann(n: int) -> np.ndarray:
     """A periodic Hann window."""
     return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
@@ -202,13 +217,13 @@ def overlap_add(frames: DataFrame, keys: list[str], n_fft: int = GATE_FFT, hop:
 
 def added(frames: np.ndarray, number: np.ndarray, lo: int, hi: int, n_fft: int, hop: int) -> np.ndarray:
     """The sum over samples ``lo`` to ``hi`` of windowed frames by their numbers."""
-    out = np.zeros(hi - lo + 2 * n_fft)
-    start = (number + 1) * hop - n_fft - lo + n_fft
-    w = hann(n_fft)
-    for s, x in zip(start.tolist(), frames, strict=True):
-        if 0 <= s <= len(out) - n_fft:
-            out[s : s + n_fft] += x * w
-    return out[n_fft : n_fft + hi - lo]
+    each, since = n_fft // hop, lo // hop
+    near = (0 <= (number + 1) * hop - lo) & ((number + 1) * hop <= hi + n_fft)
+    place, x = number[near] - since, (frames[near] * hann(n_fft)).reshape(-1, each, hop)
+    out = np.zeros((-(-hi // hop) - since + 2 * each + 2, hop))  # by steps of the hop, as many ahead of the first as a frame has
+    for j in reversed(range(each)):  # a sample's frames in order
+        out[place + j + 1] += x[:, j]
+    return out.reshape(-1)[n_fft + lo - since * hop :][: hi - lo]
 
 
 def decibels(z: np.ndarray) -> np.ndarray:
@@ -290,16 +305,13 @@ def spectral_gate(
         return {"floor": [noise_floor(window_of(first, x, 0, max(1, min(profile, total))), n_fft, hop, deviations)]}
 
     floors = by_row(head, keys, floor_of, "floor array<double>")
-    width = n_fft // 2 + 1
 
-    def work(k: int, first: int, total: int, both: np.ndarray) -> dict:
-        x, limit = both[:-width], both[-width:]
+    def work(k: int, first: int, total: int, x: np.ndarray, limit: np.ndarray) -> dict:
         lo, hi = k * size, min(total, (k + 1) * size)
         return {"start": [lo], "total": [total], "samples": [gate.gated(first, x, lo, hi, total, limit).astype(np.float32)]}
 
     near = reblock(blocks, keys, size, halo, halo).join(floors, keys)
-    near = near.withColumn("samples", F.concat(F.col("samples").cast("array<double>"), "floor"))
-    return by_row(near, keys, work, "start long, total long, samples array<float>")
+    return by_row(near, keys, work, "start long, total long, samples array<float>", "floor")
 
 
 def _smoothed(mask: np.ndarray, w: np.ndarray, axis: int) -> np.ndarray:

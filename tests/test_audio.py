@@ -172,3 +172,19 @@ def test_empty_tables(spark):
     none = tracks_of(spark, noise([5]), 9).limit(0)
     for out in (audio.resample(none, ["track"], 8000), audio.spectral_gate(none, ["track"]), audio.mel_patches(none, ["track"]), audio.stft(none, ["track"]), audio.quantize(none)):
         assert out.count() == 0
+
+
+def test_frames_are_added_as_one_by_one():
+    rng = np.random.default_rng(3)
+    for n_fft, hop, lo, hi, number in [(16, 4, 300, 421, np.arange(70, 112)), (16, 4, 0, 30, np.arange(0, 11)), (16, 16, 5, 40, np.array([0, 2])), (16, 4, 10, 11, np.arange(0, 90))]:
+        frames, want = rng.normal(size=(len(number), n_fft)), np.zeros(hi + 99 * n_fft)
+        for f, x in zip(number, frames):
+            want[(f + 1) * hop : (f + 1) * hop + n_fft] += x * audio.hann(n_fft)  # n_fft ahead
+        assert (audio.added(frames, number, lo, hi, n_fft, hop) == want[n_fft + lo : n_fft + hi]).all()
+
+
+def test_the_gate_keeps_samples_as_they_are_shuffled(spark):
+    """Limits come as a column of their own, so samples aren't made doubles in the JVM."""
+    blocks = spark.createDataFrame([(1, 0, 3, [0.1, 0.2, 0.3])], "t int, start long, total long, samples array<float>")
+    plan = audio.spectral_gate(blocks, ["t"], rate=1000, profile=64, n_fft=16, hop=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array<double>" not in plan and "concat(" not in plan
