@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import fresh, small, stored
+from framewright.llm.common import batches_by_bytes, fresh, giving_back, small, stored
 
 #: Bytes of context.
 ORDER = 3
@@ -49,7 +49,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     """``lang, gram, n``: counts of ``ORDER + 1`` bytes in the lower-cased texts, the gram packed into a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches_by_bytes(batches, 1):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(langs, texts, strict=True):
@@ -63,7 +63,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
                 gram, n = np.unique(np.concatenate(grams), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    counts = labelled.select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
+    counts = labelled.select("lang", "text").mapInArrow(giving_back(run), "lang string, gram long, n long")
     return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -260,8 +260,8 @@ def identify(docs: DataFrame, trained: Trained, text: str = "text") -> DataFrame
         shared = docs.sparkSession.sparkContext.broadcast(trained.model(block))
 
         @F.pandas_udf("bits double, lang string, weight double, n long")
-        def predict(series: pd.Series) -> pd.DataFrame:
-            return _scores(shared.value, series)
+        def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            yield from giving_back(lambda parts: (_scores(shared.value, x) for x in parts))(batches)
 
         return predict(text), shared
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from framewright.llm.common import discard, small, stored
+from framewright.llm.common import discard, giving_back, small, stored
 from framewright.llm.components import components
 from framewright.llm.wordhash import TextWords, final_name, mix, names, shared_names, text_blocks
 
@@ -138,7 +138,7 @@ def _rows(docs: DataFrame, text: str, words: int, what: str, schema: str, percen
                 last = [bitmap(sets[i][1]) for i in new] if what == "bits" else [spelled[i] for i in new]
                 yield pa.RecordBatch.from_arrays([pa.array([name[i] for i in new], pa.int64()), pa.array([sets[i][0] for i in new], pa.int64()), pa.array(last, pa.binary())], ["v", "n", what])
 
-    return docs.select("doc_id", text).mapInArrow(run, schema)
+    return docs.select("doc_id", text).mapInArrow(giving_back(run), schema)
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -181,7 +181,7 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("v").alias("u"), F.col("n").alias("n1"), F.col("bits").alias("b1"))
     right = sets.select("v", F.col("n").alias("n2"), F.col("bits").alias("b2"))
     both = left.join(small(pairs), "u").join(right, "v").where(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
-    out = stored(both.select("u", "v", "n1", "b1", "n2", "b2").mapInArrow(run, "u long, v long"))
+    out = stored(both.select("u", "v", "n1", "b1", "n2", "b2").mapInArrow(giving_back(run), "u long, v long"))
     discard(pairs)
     return out
 
@@ -204,7 +204,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
             yield batch.select(["u", "v"]).filter(pa.array(hit))
 
     both = texts.select(F.col("v").alias("u"), F.col("n").alias("n1"), F.col("texts").alias("t1")).join(small(pairs), "u").join(texts.select("v", F.col("n").alias("n2"), F.col("texts").alias("t2")), "v")
-    out = stored(both.select("u", "v", "n1", "t1", "n2", "t2").mapInArrow(run, "u long, v long"))
+    out = stored(both.select("u", "v", "n1", "t1", "n2", "t2").mapInArrow(giving_back(run), "u long, v long"))
     discard(texts)
     return out
 
@@ -252,7 +252,7 @@ def _crossing(members: DataFrame, percent: int) -> DataFrame:
                 a, b = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
 
-    return dealt.select("key", "i", "j", "v", "r", "n", "c", "bits").mapInArrow(run, "u long, v long").distinct()
+    return dealt.select("key", "i", "j", "v", "r", "n", "c", "bits").mapInArrow(giving_back(run), "u long, v long").distinct()
 
 
 def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:

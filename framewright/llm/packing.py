@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from framewright.llm.common import batches_by_bytes, discard, fresh, small, stored
+from framewright.llm.common import batches_by_bytes, discard, fresh, giving_back, small, stored
 
 CAPACITY = 4096
 END_ID = 1
@@ -117,7 +117,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | Non
             lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pieces, pa.array(starts), pa.array(lengths), pa.array(ids, pa.binary())], ["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {key.dataType.simpleString()}, piece int, start long, length long, ids binary")
+    return docs.select("doc_id", text).mapInArrow(giving_back(run), f"doc_id {key.dataType.simpleString()}, piece int, start long, length long, ids binary")
 
 
 @dataclass(frozen=True)
